@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
+from .near_dedup import op3_near_dedup
 from .substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_near_dedup": op3_near_dedup,
 }
 SQL: dict[str, str] = {}

@@ -134,3 +134,48 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     """0..n-1 for each n of lengths, one after the other."""
     ends = np.cumsum(lengths)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From batches in which the rows of a key stand together: tables of whole groups, and where each group starts (with
+    the end). Holds one batch and the group that it ends in, so groups must be bounded by the caller."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and all(held[-1].column(k)[-1].as_py() == batch.column(k)[-1].as_py() for k in keys):
+            held.append(batch)
+            continue
+        t = pa.Table.from_batches([*held, batch]).combine_chunks()
+        at = starts(t)
+        cut = int(at[-1])
+        if cut:
+            yield t.slice(0, cut), at
+        held = t.slice(cut).to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        at = starts(t)
+        yield t, np.append(at, len(t))
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, smallest member) that connect what a symmetric boolean matrix connects."""
+    n = len(linked)
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
