@@ -15,15 +15,18 @@ columns of the input are kept (clashing names are an error of the caller only fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as X
+from .frames import without, written
 
 CORE = 8
 #: Words of one text handled at once.
@@ -93,8 +96,8 @@ def _edges_of(ids: np.ndarray, owner: np.ndarray, local: np.ndarray, hashes: np.
     start = np.flatnonzero(start)
     first = k[start]
     rows, more = len(first), len(done[0])
-    ends = np.append(start, len(k)) * 8
-    blob = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(win[k]))])
+    ends = np.append(start, len(k)) * 4
+    blob = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((win[k] >> _U(32)).astype(np.uint32))])
     none = lambda n, t: pa.nulls(n, t)
     i64 = pa.int64()
     cat = lambda a, b: pa.concat_arrays([a, b])
@@ -133,7 +136,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of edges that occurred before, from edge rows ordered by (anchor, doc_id, pos). Memory: one batch and the
     distinct edges of the anchor that the batch ends in."""
     names = [x.split()[0] for x in RUNS.split(", ")]
-    last, held = None, None  # the anchor that may go on, and its distinct edges: hash, offset, doc, pos
+    last, held = None, None  # the anchor that may go on, and its distinct edges: hash, doc, pos
     for batch in batches:
         settled = batch.filter(batch.column("hashes").is_null())
         if len(settled):
@@ -144,8 +147,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, doc, pos, off = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "pos", "off"))
         _, offs, data = batch.column("hashes").buffers()
         ends = np.frombuffer(offs, np.int32, len(batch) + 1, batch.column("hashes").offset * 4)
-        count = np.diff(ends) // 8
-        hashes = np.frombuffer(data, np.uint64, count=int(ends[-1] - ends[0]) // 8, offset=int(ends[0]))
+        count = np.diff(ends) // 4
+        hashes = np.frombuffer(data, np.uint32, count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
         many = np.zeros(len(anchor), bool)
         many[1:] = anchor[1:] == anchor[:-1]
         many[:-1] |= many[1:]
@@ -155,14 +158,15 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = np.repeat(many, count)
         row = np.repeat(np.arange(len(anchor)), count)[pick]
         step = X.ranges(count)[pick]
-        h, a, d, p, o = hashes[pick], anchor[row], doc[row], pos[row] + step, off[row] - step
+        # an edge is known by its anchor, its place against it, and its hash
+        h, a, d, p = hashes[pick] + ((off[row] - step).astype(np.uint64) << _U(32)), anchor[row], doc[row], pos[row] + step
         if held is not None and len(a) and a[0] == last:
-            h, o, d, p = (np.concatenate(x) for x in zip(held, (h, o, d, p), strict=True))
+            h, d, p = (np.concatenate(x) for x in zip(held, (h, d, p), strict=True))
             a = np.concatenate([np.full(len(h) - len(a), last), a])
-        order = np.lexsort((np.arange(len(h)), o, h, a))
+        order = np.lexsort((h, a))
         same = np.zeros(len(order), bool)
         x, y = order[1:], order[:-1]
-        same[1:] = (h[x] == h[y]) & (a[x] == a[y]) & (o[x] == o[y])
+        same[1:] = (h[x] == h[y]) & (a[x] == a[y])
         first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         here, there = order[same], first[same]
         keep = (d[here] != d[there]) | (p[here] != p[there])
@@ -174,7 +178,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = anchor[-1]
         tail = order[~same]
         tail = np.sort(tail[a[tail] == last])
-        held = (h[tail], o[tail], d[tail], p[tail])
+        held = (h[tail], d[tail], p[tail])
 
 
 def repeated_paths(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,18 +201,19 @@ def _cut(width: int, names: list[str]):
             spans = batch.column("_spans")
             for rows, data, offsets in X.chunks(batch, "_text"):
                 words = X.find_words(data, offsets)
-                n = len(words.starts)
+                n, raw = len(words.starts), data.tobytes()
                 edge = np.zeros(n + 1, np.int64)
                 part = spans.slice(rows.start, rows.stop - rows.start)
-                flat = part.flatten()
+                flat, lens = part.flatten(), part.value_lengths().fill_null(0).to_numpy()
+                digests = []
                 if len(flat):
-                    lens = np.diff(part.offsets.to_numpy())
-                    # a null list has no entries of its own
-                    base = words.first[:-1][np.repeat(np.arange(len(lens)), lens)]
-                    lo = base + flat.field("pos").to_numpy()
+                    lo = words.first[:-1][np.repeat(np.arange(len(lens)), lens)] + flat.field("pos").to_numpy()
                     hi = lo + flat.field("n").to_numpy() + width - 1
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi, -1)
+                    cut = flat.field("cut").to_numpy(zero_copy_only=False)
+                    np.add.at(edge, lo[cut], 1)
+                    np.add.at(edge, hi[cut], -1)
+                    for a, b in zip(words.starts[lo].tolist(), words.ends[hi - 1].tolist(), strict=True):
+                        digests.append(hashlib.blake2b(b" ".join(raw[a:b].split()), digest_size=16).digest())
                 gone = np.cumsum(edge)[:n] > 0
                 sums = np.concatenate([[0], np.cumsum(gone)])
                 removed = sums[words.first[1:]] - sums[words.first[:-1]]
@@ -225,28 +230,48 @@ def _cut(width: int, names: list[str]):
                 out[body] = data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
                 stop = np.concatenate([[0], ends])[np.searchsorted(kept, words.first)]
                 start, stop = stop[:-1], np.maximum(stop[1:] - 1, stop[:-1])
-                raw = out.tobytes()
-                texts = pa.array([raw[a:b].decode() for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.string())
+                joined = out.tobytes()
+                texts = pa.array([joined[a:b].decode() for a, b in zip(start.tolist(), stop.tolist(), strict=True)], pa.string())
+                flat = pa.StructArray.from_arrays([flat.field("pos"), flat.field("n"), flat.field("cut"), pa.array(digests, pa.binary())], names=["pos", "n", "cut", "digest"])
+                checks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), flat)
                 rest = [batch.column(c).slice(rows.start, rows.stop - rows.start) for c in names]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(words.first)), pa.array(removed), texts], names=[*names, "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(words.first)), pa.array(removed), texts, checks], names=[*names, "n_words", "n_removed", "kept_text", "_checks"])
 
     return run
 
 
 def remove_paths(docs: DataFrame, paths: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_removed and kept_text (the kept words joined by one space)."""
-    spans = paths.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("pos", "n")).alias("_spans"))
-    joined = docs.withColumn("_text", F.col(text_col)).join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id", text_col)
-    names = [c for c in docs.columns if c != text_col]
-    schema = joined.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    """docs with n_words, n_removed, kept_text (the kept words joined by one space) and _checks: the digest of the words
+    of each path that ends (cut) or starts (not cut) in the document. A document has at most one row for each of its spans."""
+    asked = paths.select("doc_id", "pos", "n", F.lit(True).alias("cut")).unionByName(paths.select(F.col("src_doc").alias("doc_id"), F.col("src_pos").alias("pos"), "n", F.lit(False).alias("cut")).distinct())
+    spans = asked.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("pos", "n", "cut")).alias("_spans"))
+    rest = without(docs, "n_words", "n_removed", "kept_text", "_checks", "_text", "_id", "_spans", text_col)
+    names = rest.columns
+    joined = docs.select(*[f"`{c}`" for c in names], F.col(text_col).alias("_text")).join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    schema = T.StructType([*rest.schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_text string, _checks array<struct<pos:long,n:long,cut:boolean,digest:binary>>").fields])
     return joined.mapInArrow(_cut(width, names), schema)
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs (without the text) with n_words, n_removed, kept_text."""
-    return remove_paths(docs, repeated_paths(docs, width, id_col, text_col), width, id_col, text_col)
+def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """docs (without the text) with n_words, n_removed and kept_text. `finish` is applied to the result before it is
+    written to the shared folder; it must keep the id and _checks, which goes at last."""
+    paths = written(repeated_paths(docs, width, id_col, text_col), "paths")
+    result = written(finish(remove_paths(docs, paths, width, id_col, text_col)), "cut")
+    ends = result.select(F.col(id_col).alias("doc_id"), F.explode("_checks").alias("c")).select("doc_id", "c.*").dropDuplicates(["doc_id", "pos", "n", "cut"])
+    copies = paths.join(ends.where("cut").drop("cut"), ["doc_id", "pos", "n"])
+    sources = ends.where("not cut").select(F.col("doc_id").alias("src_doc"), F.col("pos").alias("src_pos"), "n", F.col("digest").alias("there"))
+    wrong = copies.join(sources, ["src_doc", "src_pos", "n"]).where("digest != there").select(*paths.columns)
+    if wrong.isEmpty():
+        return result.drop("_checks")
+    # hashes agreed but words don't: the documents concerned are done again without those paths
+    wrong = written(wrong, "wrong")
+    at = wrong.select(F.col("doc_id").alias(id_col)).distinct()
+    right = paths.join(wrong, paths.columns, "left_anti")
+    again = finish(remove_paths(docs.join(at, id_col, "left_semi"), right.join(at, right.doc_id == at[id_col], "left_semi"), width, id_col, text_col))
+    return result.join(at, id_col, "left_anti").unionByName(again).drop("_checks")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    done = substring_dedup(docs, finish=lambda df: df.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text"))
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
