@@ -1,4 +1,11 @@
 """Registered queries over the driver's tables, and the SQL they must agree with."""
 
+from __future__ import annotations
+
+from . import curves, depth, petrophysics, tables, zones
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _part in (petrophysics, zones, depth, curves, tables):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
