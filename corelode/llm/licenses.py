@@ -100,13 +100,13 @@ def _blocks_with(t: Templates, words: X.Words, token: np.ndarray) -> dict[int, d
         return found
     owner = np.searchsorted(words.first, seeds, "right") - 1
     # the line of a word: line ends before it in the bytes, and texts before it
-    breaks = np.flatnonzero(words.data == LINE)
+    breaks = np.append(np.flatnonzero(words.data == LINE), len(words.data))
     line_of = lambda k: np.searchsorted(breaks, words.starts[k])
     low = np.where(line_of(seeds) > 0, breaks[np.maximum(line_of(seeds) - 1, 0)], -1)
     line_first = np.maximum(np.searchsorted(words.starts, low, "right"), words.first[owner])
     done = set()
     for k, o, begin in zip(seeds.tolist(), owner.tolist(), line_first.tolist(), strict=True):
-        high = breaks[b] if (b := int(np.searchsorted(breaks, words.starts[k]))) < len(breaks) else len(words.data)
+        high = breaks[int(np.searchsorted(breaks, words.starts[k]))]
         line_last = min(int(np.searchsorted(words.starts, high)), int(words.first[o + 1]))
         step = (k - begin) // STRIDE
         for block in (step - 1, step) if step else (step,):
