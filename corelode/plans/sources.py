@@ -56,8 +56,15 @@ SQL["las_survey"] = SURVEYED + "SELECT well_id, md, round(inc, 2) + 0.0 AS inc,
 
 
 def las_problems(spark, sf_dir):
-    rows, head, data, recs = _parsed(spark, sf_dir)
-    return las.diagnose(rows, head, data, recs).groupBy("level", "category").agg(F.count("*").alias("files"))
+    """Problems by kind, with a stray line in every fifth file."""
+    files = _files(spark, sf_dir).withColumn("value", F.when(F.col("file").cast("long") % 5 == 0, F.concat("value", F.lit("\nbad row here"))).otherwise(F.col("value")))
+    rows = las.lines(files)
+    head = las.headers(rows)
+    data = las.data_rows(rows, las.file_facts(head))
+    return las.diagnose(rows, head, data, las.records(data)).groupBy("level", "category").agg(F.count("*").alias("files"))
+
+
+SQL["las_problems"] = " UNION ALL ".join(f"SELECT 'warn' AS level, '{c}' AS category, count(*) AS files FROM supplier WHERE s_suppkey % 5 = 0" for c in ("rows", "width"))
 
 
 def page_tokens(spark, sf_dir):

@@ -58,7 +58,7 @@ def read_surveys(files: DataFrame) -> DataFrame:
     number to the column whose middle is nearest to its own."""
     rows = files.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line", "text")).where("trim(text) != ''")
     delimiter = F.when(F.col("text").contains("\t"), "\t").when(F.col("text").contains(";"), ";").when(F.col("text").contains(","), ",")
-    comma = F.transform(F.split("text", "[\t;,]"), F.trim)
+    comma = F.transform(F.split("text", "[\t;,]"), lambda w: F.trim(w))
     # aligned text: cells are apart by two blanks or more in the header, by any blank below it
     title = F.regexp_extract_all("text", F.lit(r"(\S+(?: \S+)*)"))
     cells = F.when(delimiter.isNotNull(), comma).otherwise(title)
