@@ -32,7 +32,7 @@ from .graph import components
 
 MINS, TREES, COORDINATES, DEPTH = 64, 4, 2, 3
 #: Members of a node or block that are compared at once; nodes of up to NODE members are compared instead of branching.
-BLOCK, NODE = 256, 1024
+BLOCK, NODE = 512, 1024
 #: Shingles of a block in the comparison on full sets.
 BLOCK_SHINGLES = 200_000
 #: Chance that the minwise comparison misses a pair just at the threshold.
@@ -123,7 +123,7 @@ def _children(level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketch = _sketches(batch.column("sketch"))
-            rep = batch.column("rep")
+            rep, known = batch.column("rep"), batch.column("known")
             nodes = [X.mix(np.full(len(batch), t + 1, np.uint64)) for t in range(TREES)] if level == 0 else [batch.column("node").to_numpy().view(np.uint64)]
             keys, row = [], np.arange(len(batch))
             for node in nodes:
@@ -134,17 +134,33 @@ def _children(level: int):
                     c = (start + step * _U(k)) % _U(MINS)
                     keys.append(X.mix(node ^ X.mix(sketch[row, c.astype(np.int64)].astype(np.uint64) + (c << _U(32)) + _U(1))))
             n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.concat_arrays([rep] * n)], names=["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.concat_arrays([rep] * n), pa.concat_arrays([known] * n)], names=["node", "rep", "known"])
+
+    return run
+
+
+def _star(least: int):
+    """Marks members of large nodes that are similar to their node's pivot: known becomes the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_sketches(batch.column("sketch")) == _sketches(batch.column("pivot_sketch"))).sum(axis=1) >= least
+            pivot, known = batch.column("pivot").to_numpy(), batch.column("known").fill_null(-1).to_numpy()
+            fresh = near & (known < 0)
+            known = pa.array(np.where(fresh, pivot, known), mask=~fresh & (known < 0))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "rep", "members", "sketch")], known, pa.array(np.where(near, pivot, -1), mask=~near)], names=["node", "rep", "members", "sketch", "known", "link"])
 
     return run
 
 
 def _similar(least: int):
-    """Spanning forests of the similar members of each node (or pair of its blocks)."""
+    """Spanning forests of the similar members of each node (or pair of its blocks); members that are known to be
+    linked with the same pivot are one vertex, so that only what is new is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in X.whole_groups(batches, ["node", "bi", "bj"]):
             rep, sketch = t.column("rep").to_numpy(), _sketches(t.column("sketch"))
+            known = t.column("known").fill_null(-1).to_numpy()
             size = np.diff(at)
             a, b = [], []
             two = at[:-1][size == 2]
@@ -152,12 +168,19 @@ def _similar(least: int):
             a.append(rep[hit]), b.append(rep[hit + 1])
             for lo in np.flatnonzero(size > 2):
                 part = slice(at[lo], at[lo + 1])
-                s, r = sketch[part], rep[part]
+                # known members first: then they are the roots of what joins them
+                order = np.argsort(known[part] < 0, kind="stable")
+                s, r, k = sketch[part][order], rep[part][order], known[part][order]
                 same = np.zeros((len(r), len(r)), np.uint8)
                 for c in range(MINS):
                     same += s[:, c][:, None] == s[:, c][None, :]
-                i, j = X.forest(same >= least)
-                a.append(r[i]), b.append(r[j])
+                joined = (k[:, None] == k[None, :]) & (k >= 0)[:, None]
+                i, j = X.forest((same >= least) | joined)
+                new = (k[i] < 0) | (k[i] != k[j])
+                i, j = i[new], j[new]
+                # members of one known group need one edge between them and the root
+                _, one = np.unique(np.where(k[i] >= 0, k[i], -1 - r[i]), return_index=True)
+                a.append(r[i[one]]), b.append(r[j[one]])
             if sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -181,19 +204,29 @@ def _blocks(members: DataFrame, key: str, n_blocks) -> DataFrame:
 def loose_links(reps: DataFrame, least: int) -> DataFrame:
     """Links (a, b) that connect all that the trees find similar by minwise tokens."""
     found, level = None, 0
-    rows = reps.mapInArrow(_children(0), "node long, rep long")
+    rows = reps.select("rep", "sketch", F.lit(None).cast("long").alias("known")).mapInArrow(_children(0), "node long, rep long, known long")
     while True:
         rows = written(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
         members = rows.join(sizes, "node").join(reps.select("rep", "sketch"), "rep")
+        few = members.where(F.col("members") <= BLOCK).select("node", "rep", "members", "sketch", "known")
+        pivots = reps.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        many = members.where(F.col("members") > BLOCK).join(pivots, "pivot").mapInArrow(_star(least), "node long, rep long, members long, sketch binary, known long, link long")
+        many = written(many, "stars")
+        # a node whose members all belong to one pivot has no more to say
+        open_ = many.groupBy("node").agg(F.count("known").alias("_k"), F.count("*").alias("_n"), F.min("known").alias("_a"), F.max("known").alias("_b")).where("_k < _n OR _a != _b").select("node")
+        stars = many.where("link IS NOT NULL AND link != rep").select(F.col("rep").alias("a"), F.col("link").alias("b"))
+        many = many.drop("link").join(open_, "node", "left_semi")
         last = level == DEPTH - 1
-        small = members if last else members.where(F.col("members") <= NODE)
-        links = _blocks(small, "node", F.ceil(F.col("members") / BLOCK)).select("node", "bi", "bj", "rep", "sketch").mapInArrow(_similar(least), "a long, b long").distinct()
+        near = many if last else many.where(F.col("members") <= NODE)
+        blocks = _blocks(few.unionByName(near), "node", F.ceil(F.col("members") / BLOCK)).select("node", "bi", "bj", "rep", "sketch", "known")
+        links = blocks.mapInArrow(_similar(least), "a long, b long").unionByName(stars)
         found = links if found is None else found.unionByName(links)
-        if last or sizes.where(F.col("members") > NODE).isEmpty():
-            return written(found.distinct(), "loose")
+        wide = many.where(F.col("members") > NODE)
+        if last or wide.isEmpty():
+            return found
         level += 1
-        rows = members.where(F.col("members") > NODE).select("node", "rep", "sketch").mapInArrow(_children(level), "node long, rep long").distinct()
+        rows = wide.select("node", "rep", "sketch", "known").mapInArrow(_children(level), "node long, rep long, known long").distinct()
 
 
 def _sets(size: int):
