@@ -80,14 +80,14 @@ def despike(samples: DataFrame, value: str, keys: list[str], window: int = 11, z
     x = F.when(F.col(value) > 0, F.log10(value)) if log else F.col(value)
     line = W.partitionBy(*keys).orderBy("md")
     frame = line.rowsBetween(-max(1, window // 2), max(1, window // 2))
-    around = samples.withColumn("_x", x).withColumns({"_v": F.collect_list("_x").over(frame), "_med": F.percentile("_x", F.lit(0.5)).over(frame)})
-    away = F.array_sort(F.transform("_v", lambda v: F.abs(v - F.col("_med"))))
-    n = F.size("_v")
+    around = samples.withColumn("_spike_x", x).withColumns({"_spike_v": F.collect_list("_spike_x").over(frame), "_spike_med": F.percentile("_spike_x", F.lit(0.5)).over(frame)})
+    away = F.array_sort(F.transform("_spike_v", lambda v: F.abs(v - F.col("_spike_med"))))
+    n = F.size("_spike_v")
     half = F.floor(n / 2).cast("int")
-    mad = F.when(n % 2 == 1, F.get("_a", half)).otherwise((F.get("_a", half - 1) + F.get("_a", half)) / 2.0)
-    spike = F.coalesce((n >= 5) & (F.col("_mad") > 0) & (F.abs(F.col("_x") - F.col("_med")) > z * 1.4826 * F.col("_mad")), F.lit(False))
-    median = F.pow(F.lit(10.0), "_med") if log else F.col("_med")
-    marked = around.withColumn("_a", away).withColumn("_mad", mad).withColumn("is_spike", spike)
+    mad = F.when(n % 2 == 1, F.get("_spike_a", half)).otherwise((F.get("_spike_a", half - 1) + F.get("_spike_a", half)) / 2.0)
+    spike = F.coalesce((n >= 5) & (F.col("_spike_mad") > 0) & (F.abs(F.col("_spike_x") - F.col("_spike_med")) > z * 1.4826 * F.col("_spike_mad")), F.lit(False))
+    median = F.pow(F.lit(10.0), "_spike_med") if log else F.col("_spike_med")
+    marked = around.withColumn("_spike_a", away).withColumn("_spike_mad", mad).withColumn("is_spike", spike)
     return marked.select(*samples.columns, "is_spike", F.when(F.col("is_spike"), median).otherwise(F.col(value)).alias(f"{value}_clean"))
 
 

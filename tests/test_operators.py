@@ -61,7 +61,7 @@ def test_resample_is_identity_on_its_own_grid_and_respects_gaps(spark):
     grid = s.select("well_id", "idx", "md")
     assert [r.v for r in D.resample(grid, s.select("well_id", "md", "v"), "v", 1.5).orderBy("idx").collect()] == [1.0, 2.0, None, 4.0, 5.0]
     fine = frame(spark, [(1, m) for m in (999.0, 1000.25, 1000.6, 1000.9, 1001.25, 1005.0)], "well_id long, md double")
-    assert [r.v for r in D.resample(fine, s.select("well_id", "md", "v"), "v", 1.5).orderBy("md").collect()] == [None, 1.5, 2.0, None, None, None]
+    assert [r.v for r in D.resample(fine, s.select("well_id", "md", "v"), "v", 1.5).orderBy("md").collect()] == [None, 1.5, 2.0, None, 4.0, None]
     wide = frame(spark, [(1, 0.0, 1.0), (1, 10.0, 2.0)], "well_id long, md double, v double")
     assert D.resample(frame(spark, [(1, 5.0)], "well_id long, md double"), wide, "v", 1.5).first().v is None
 
@@ -235,7 +235,7 @@ def test_plan_and_targets(spark):
 
 def test_surface_reproduces_a_plane_and_refuses(spark):
     r = np.random.default_rng(3)
-    pts = [(1, k, float(x), float(y), 100 + 0.01 * x - 0.02 * y) for k, (x, y) in enumerate(r.uniform(0, 5000, (12, 2)))]
+    pts = [(1, k, float(x), float(y), float(100 + 0.01 * x - 0.02 * y)) for k, (x, y) in enumerate(r.uniform(0, 5000, (12, 2)))]
     pts += [(2, k, 100.0 * k, 200.0 * k, 1.0) for k in range(5)] + [(3, 0, 0.0, 0.0, 1.0), (3, 1, 5.0, 0.0, 1.0), (3, 2, 900.0, 5.0, 1.0)]
     fits = M.fit_surfaces(frame(spark, pts, "surface_id long, point_id long, x double, y double, v double"), cells=20).cache()
     assert {x.surface_id: x.reason for x in fits.collect()} == {1: None, 2: "control points lie on a line", 3: "fewer than three control points"}
