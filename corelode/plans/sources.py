@@ -19,7 +19,8 @@ def _files(spark, sf_dir):
     """LAS text of every well, as whole files."""
     survey = D.minimum_curvature(B.stations(spark, sf_dir))
     lines = export.las_lines(B.log_samples(spark, sf_dir), CURVES, B.wells(spark, sf_dir), B.tops(spark, sf_dir), survey, digits=10)
-    return export.las_texts(lines).select(F.col("well_id").cast("string").alias("file"), "value")
+    # the text is read several times below, as files on disk would be
+    return export.las_texts(lines).select(F.col("well_id").cast("string").alias("file"), "value").cache()
 
 
 def _parsed(spark, sf_dir):
