@@ -234,3 +234,11 @@ def rule_tops(samples: DataFrame, rules: list[dict]) -> DataFrame:
         found = found.select("well_id", F.lit(r["name"]).alias("name"), "md")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def crossplot_rows(samples: DataFrame, x: str, y: str, log_x: bool = False, log_y: bool = False, clean: Column | None = None) -> DataFrame:
+    """Rows with both values, above zero on log axes and, where asked, in clean rock (a condition; null doesn't pass)."""
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    for name, log in ((x, log_x), (y, log_y)):
+        ok = ok & (F.col(name) > 0) if log else ok
+    return samples.where(ok if clean is None else ok & F.coalesce(clean, F.lit(False)))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import EARTH_RADIUS_M
+
 EXACT = 1e-6
 
 
@@ -101,7 +103,8 @@ def survey_difference(recomputed: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def inclination_from_positions(stations: DataFrame) -> DataFrame:
-    """inc and azi from md, tvd, north and east of consecutive stations; null where the step can't be one."""
+    """inc and azi from md, tvd, north and east of consecutive stations; null where the step can't be one. Offsets of more than 1e5 are
+    grid coordinates; only their differences count, as for any others."""
     line = W.partitionBy("well_id").orderBy("md")
     d = {c: F.col(c) - F.lag(c).over(line) for c in ("md", "tvd", "north", "east")}
     ratio = F.when(d["md"] > 0, d["tvd"] / d["md"])
@@ -207,3 +210,10 @@ def tvd_stations(curve: DataFrame, most: int = 2000) -> DataFrame:
     back = (F.col("tvd") - F.lag("tvd").over(line)) / (F.col("md") - F.lag("md").over(line))
     r = F.coalesce(ratio, back)
     return some.select("well_id", "md", F.degrees(F.acos(F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))).alias("inc"), "tvd")
+
+
+def path_positions(offsets: DataFrame, wells: DataFrame, metres_per_unit: float = 0.3048) -> DataFrame:
+    """offsets (well_id, md, north, east) with lat and lon along the path from each well's surface position."""
+    turn = F.degrees(F.lit(metres_per_unit) / EARTH_RADIUS_M)
+    w = wells.select("well_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    return offsets.join(w, "well_id").select(*offsets.columns, (F.col("_lat") + F.col("north") * turn).alias("lat"), (F.col("_lon") + F.col("east") * turn / F.cos(F.radians("_lat"))).alias("lon"))

@@ -185,6 +185,14 @@ SELECT w.name AS well, s.md, round(s.md - kb, 6) AS tvdss, round(gr, 6) AS gr, r
 FROM log_samples s JOIN wells w ON w.well_id = s.well_id ASOF JOIN zones z ON z.well_id = s.well_id AND s.md >= z.top WHERE s.idx % 2 = 0"""
 
 
+def crossplot_rows(spark, sf_dir):
+    s = C.crossplot_rows(B.log_samples(spark, sf_dir), "nphi", "rt", log_x=True, log_y=True, clean=F.col("gr") < 100.0)
+    return B.rounded(s.select("well_id", "idx", "nphi", "rt"))
+
+
+SQL["crossplot_rows"] = B.CTE + "SELECT well_id, idx, round(nphi, 6) AS nphi, round(rt, 6) AS rt FROM log_samples WHERE nphi > 0 AND rt > 0 AND gr < 100"
+
+
 def cuttings_stack(spark, sf_dir):
     s = B.log_samples(spark, sf_dir).select("well_id", "idx", F.col("gr").alias("clay"), F.col("nphi").alias("sand"), F.col("rhob").alias("lime"))
     return B.rounded(C.stacked(s, ["clay", "sand", "lime"]))
@@ -209,4 +217,4 @@ def sensor_shift(spark, sf_dir):
 
 SQL["sensor_shift"] = B.CTE + "SELECT a.well_id, a.idx, round(b.rt, 6) AS rt FROM log_samples a LEFT JOIN log_samples b ON b.well_id = a.well_id AND b.idx = a.idx + 20"
 
-QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, rule_tops, curve_export, cuttings_stack, decimated, sensor_shift)}
+QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, rule_tops, curve_export, crossplot_rows, cuttings_stack, decimated, sensor_shift)}

@@ -58,6 +58,14 @@ SQL["tvd_at_md"] = SURVEYED + "SELECT well_id, idx, round(tvd, 6) + 0.0 AS tvd F
 SQL["offset_at_md"] = SURVEYED + "SELECT well_id, idx, round(north, 6) + 0.0 AS north, round(east, 6) + 0.0 AS east FROM along"
 
 
+def path_positions(spark, sf_dir):
+    return B.rounded(D.path_positions(_along(spark, sf_dir).where("idx % 50 = 0"), B.wells(spark, sf_dir)).select("well_id", "idx", "lat", "lon"), digits=7)
+
+
+SQL["path_positions"] = SURVEYED + f"""SELECT a.well_id, idx, round(lat + north * degrees({d(0.3048)} / {d(6371008.8)}), 7) AS lat, round(lon + east * degrees({d(0.3048)} / {d(6371008.8)}) / cos(radians(lat)), 7) AS lon
+FROM along a JOIN wells w ON w.well_id = a.well_id WHERE idx % 50 = 0"""
+
+
 def md_from_tvd(spark, sf_dir):
     want = B.log_samples(spark, sf_dir).where("idx % 25 = 0").select("well_id", F.col("idx").alias("target_id"), (5000.3 + F.col("idx") * 0.4).alias("tvd"))
     return B.rounded(D.depth_from_tvd(want, _survey(spark, sf_dir)).select("well_id", "target_id", "md"))
@@ -247,4 +255,4 @@ def structure_contours(spark, sf_dir):
     return B.rounded(M.contour_lines(cells, M.contour_levels(cells)), digits=3)
 
 
-QUERIES |= {f.__name__: f for f in (min_curvature, tvd_at_md, offset_at_md, md_from_tvd, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours)}
+QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, tvd_at_md, offset_at_md, md_from_tvd, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours)}

@@ -259,3 +259,15 @@ def test_page_calibration(spark):
     assert solved[3].basis == "continued" and solved[3].top_md == pytest.approx(solved[2].base_md) and solved[5].top_md == pytest.approx(solved[4].base_md)
     spans = {r.page: (r.from_md, r.to_md) for r in K.page_spans(K.solve_pages(pages, fits), 5060.0, 5120.0).collect()}
     assert spans[1][0] == pytest.approx(5060.0)
+
+
+def test_places_from_api_numbers(spark):
+    w = frame(spark, [(1, "05123123450000", None, "123"), (2, "05123123450000", "Colorado", "Weld"), (3, "UWI 9", None, None)], "well_id long, api string, state string, county string")
+    places = frame(spark, [("05", "123", "CO", "Weld"), ("05", "001", "CO", "Adams")], "state_code string, county_code string, state string, county string")
+    assert {r.well_id: (r.state, r.county) for r in T.fill_place(w, places).collect()} == {1: ("CO", "Weld"), 2: ("Colorado", "Weld"), 3: (None, None)}
+
+
+def test_tvd_curve_stands_in_for_a_survey(spark):
+    s = frame(spark, [(1, float(m), 0.5 * m if m > 100 else float(m)) for m in range(0, 400, 10)] + [(2, 5.0, 5.0), (2, 6.0, 6.0)], "well_id long, md double, tvd double")
+    got = D.tvd_stations(s, most=10).orderBy("md").collect()
+    assert {r.well_id for r in got} == {1} and len(got) <= 14 and got[-1].inc == pytest.approx(60.0)
