@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +26,7 @@ from . import textops as X
 from .frames import without
 
 #: Entries kept of each memo.
-MEMO = 1 << 17
+MEMO = 1 << 16
 
 
 class _Memo(dict):
@@ -45,19 +44,29 @@ class _Memo(dict):
             self.clear()
 
 
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        out[r] = token
+    return out
+
+
 class Codec:
-    """Encoder and decoder for one vocabulary; made once in each Python worker."""
+    """Encoder for one vocabulary, with its inverse. Made once in each task and gone with it: workers are reused, and
+    would keep tens of megabytes for nothing."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         import ahocorasick
         import regex
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
-        self.ranks = ranks
-        self.size = max(ranks.values()) + 1
-        self.bytes: list[bytes] = [b""] * self.size
-        for token, r in ranks.items():
-            self.bytes[r] = token
+        ranks = self.ranks = read_ranks(rank_file)
+        self.bytes = token_bytes(ranks)
+        self.size = len(self.bytes)
         self.find = regex.compile(pattern).findall
         self.tree = ahocorasick.Automaton()
         for token, r in ranks.items():
@@ -141,14 +150,9 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-@lru_cache(1)
-def _codec(rank_file: bytes, pattern: str) -> Codec:
-    return Codec(rank_file, pattern)
-
-
 def _encoder(ranks, pattern: str, text_col: str, names: list[str], out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
+        codec = Codec(ranks.value, pattern)
         for batch in batches:
             for rows, data, offsets in X.chunks(batch, text_col):
                 raw, bounds = data.tobytes(), offsets.tolist()
@@ -161,16 +165,16 @@ def _encoder(ranks, pattern: str, text_col: str, names: list[str], out: str):
     return run
 
 
-def _decoder(ranks, pattern: str, ids_col: str, names: list[str], out: str):
+def _decoder(ranks, ids_col: str, names: list[str], out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
+        of = token_bytes(read_ranks(ranks.value)).__getitem__
         for batch in batches:
             step = 512
             for lo in range(0, len(batch), step):
                 part = batch.slice(lo, step)
                 lists = part.column(ids_col)
                 flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]).tolist()
-                texts = pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                texts = pa.array([b"".join(map(of, flat[a:b])) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], texts], names=[*names, out])
 
     return run
@@ -189,11 +193,11 @@ def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col
     return docs.mapInArrow(_encoder(ranks, pattern, text_col, docs.columns, ids_col), schema)
 
 
-def decode(docs: DataFrame, ranks, pattern: str, ids_col: str = "tokens", bytes_col: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, ranks, ids_col: str = "tokens", bytes_col: str = "decoded") -> DataFrame:
     """docs with the bytes that the token ids stand for (bytes: a cut sequence may end inside a character)."""
     docs = without(docs, bytes_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(bytes_col, T.BinaryType())])
-    return docs.mapInArrow(_decoder(ranks, pattern, ids_col, docs.columns, bytes_col), schema)
+    return docs.mapInArrow(_decoder(ranks, ids_col, docs.columns, bytes_col), schema)
 
 
 def public_codec(spark: SparkSession):
@@ -206,7 +210,7 @@ def public_codec(spark: SparkSession):
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coder = public_codec(spark)
-    done = decode(encode(docs, *coder).drop("text"), *coder)
+    done = decode(encode(docs, *coder).drop("text"), coder[0])
     return done.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),

@@ -33,8 +33,8 @@ from .graph import components
 MINS, TREES, COORDINATES, DEPTH = 64, 4, 2, 3
 #: Members of a node or block that are compared at once; nodes of up to NODE members are compared instead of branching.
 BLOCK, NODE = 512, 1024
-#: Shingles of a block in the comparison on full sets.
-BLOCK_SHINGLES = 200_000
+#: Shingles and members of a block in the comparison on full sets.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 256
 #: Chance that the minwise comparison misses a pair just at the threshold.
 MISS = 1e-5
 
@@ -288,7 +288,7 @@ def components_of(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (8
     solid = profile.where("n > 0 and doc_id is not null")
     reps = written(solid.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "reps")
     loose = components(loose_links(reps.select("rep", "sketch"), least_matches(share[0] / share[1]))).withColumnRenamed("id", "rep")
-    sizes = loose.join(reps.select("rep", "n"), "rep").groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    sizes = loose.join(reps.select("rep", "n"), "rep").groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
     close = written(loose.join(sizes, "component"), "close")
     members = given.join(close, given.doc_id == close.rep, "inner").select("rep", "component", "blocks", "text").dropDuplicates(["rep"]).mapInArrow(_sets(shingle), "rep long, component long, blocks long, shingles binary")
     links = _blocks(members, "component", F.col("blocks")).select("component", "bi", "bj", "rep", "shingles").mapInArrow(_confirmed(share), "a long, b long")

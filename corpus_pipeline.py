@@ -52,7 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text again."""
     coder = public_codec(spark)
-    done = decode(encode(docs, *coder), *coder)
+    done = decode(encode(docs, *coder), coder[0])
     return done.select("doc_id", "lang", "source", "n_chars", "tokens", F.size("tokens").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
 
 

@@ -127,13 +127,13 @@ def reference_encoding():
 def test_bpe_matches_library_and_round_trips(spark, docs, rows, codec):
     odd = ["a" * 5000, "ab" * 2000, "中文" * 50, "<|endoftext|>", "café \U0001f600  \n\n x", "  ", "'s 'll don't", "1234567890" * 30]
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(odd)], "doc_id long, text string")).withColumn("tokens", F.lit("clash"))
-    out = byte_bpe.decode(byte_bpe.encode(d, *codec), *codec).collect()
+    out = byte_bpe.decode(byte_bpe.encode(d, *codec), codec[0]).collect()
     plain = reference_encoding()
     assert len(out) == len(rows) + len(odd)
     for r in out:
         assert r.tokens == plain.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
-    assert byte_bpe.decode(byte_bpe.encode(empty(spark), *codec), *codec).count() == 0
+    assert byte_bpe.decode(byte_bpe.encode(empty(spark), *codec), codec[0]).count() == 0
 
 
 def shingles(text, k):
@@ -162,7 +162,8 @@ def test_near_dedup_large_family_of_edits(spark, monkeypatch):
     """One family of many different near copies, larger than a node, with blocks and branching."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     monkeypatch.setattr(near_dedup, "NODE", 40)
-    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 20)
     r = random.Random(5)
     base = [f"t{k}" for k in range(120)]
     rows = []
