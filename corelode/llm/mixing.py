@@ -141,7 +141,9 @@ def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, block: int = BLO
     sized = written(sizes(docs, id_col, text_col, source_col), "sizes")
     plan = written(targets(sized, ratio, most), "targets")
     documents, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = packed(sized, plan, documents, block).join(drawn(plan, int(words * ratio), block, seed), ["rank", "index"])
+    # the size of the slots can't be seen from the few targets that they are drawn from: without the hint they are broadcast
+    slots = drawn(plan, int(words * ratio), block, seed).hint("merge")
+    parts = packed(sized, plan, documents, block).join(slots, ["rank", "index"])
     return sized, plan, parts
 
 
