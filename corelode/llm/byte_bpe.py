@@ -26,7 +26,7 @@ from . import textops as X
 from .frames import without
 
 #: Entries kept of each memo.
-MEMO = 1 << 16
+MEMO = 1 << 17
 
 
 class _Memo(dict):
