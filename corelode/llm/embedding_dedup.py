@@ -1,14 +1,16 @@
 """Embedding near-dedup: vectors of one label whose cosine reaches a threshold, as links and components.
 
 Method: sorted projection passes. In each pass a vector's signs against random hyperplanes, concatenated, are its sort
-key; vectors of a label are ordered by that key (a range partitioning that also takes the id, so that equal keys spread
-over partitions) and each is compared with its next WINDOW neighbours in double precision. Passes are independent; the
-links they verify are united into components. Windows are bounded and end at partition borders, so a pass can miss a pair;
-a pair at cosine 0.98 is adjacent in about half of the passes, and PASSES of them leave about 1 in 10,000.
+key. All vectors of a label that share the key's first bits are a run, and a run is compared whole, block against block in
+double precision, however large it is, so neither dense groups nor partition borders hide a pair. How many bits a label
+takes follows from its number of distinct vectors (runs of spread-out vectors hold about RUN). A pair at the threshold shares
+`bits` signs with probability (1 - angle / pi) ** bits whatever the other vectors are, so the number of passes follows
+from that too: as many as leave at most MISS of such pairs unseen, at least PASSES. Where runs would save nothing over that many
+passes, the label is one run and the result is exact. Passes are independent; the links they verify are united into components.
+Dense groups cost the square of their size in each pass.
 
-Windows can't hold all partners inside a dense group. The exact way for the rest: the members of a component are compared
-block against block, which counts every link of every member without emitting a pair. Equal vectors are one vertex with a
-multiplicity, so copies cost nothing.
+The members of a component are then compared block against block, which counts every link of every member without
+emitting a pair. Equal vectors are one vertex with a multiplicity, so copies cost nothing.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and vectors without label,
 link with nothing; vectors of different length never link; a row with a null id is returned with no links. Ties go to the smallest id. An empty
@@ -17,6 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,9 @@ from . import textops as X
 from .frames import written
 from .graph import components
 
-PASSES, WINDOW, BITS, BLOCK = 16, 48, 62, 512
-#: Rows that the window kernel handles at once.
-ROWS = 4096
+PASSES, RUN, BITS, BLOCK = 16, 512, 62, 1024
+#: Share of the pairs at the threshold that all passes together may leave unseen.
+MISS = 1e-6
 
 
 def _matrix(column) -> np.ndarray:
@@ -46,59 +49,83 @@ def _units(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, seed: int):
+def _plan(cosine: float, least: int) -> list[tuple[int, int]]:
+    """For each number of bits that a label's size asks for: the bits it takes, and its passes."""
+    alike = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    plan = []
+    for bits in range(BITS + 1):
+        missed = 1 - alike**bits
+        passes = 1 if missed <= 0 else max(least, math.ceil(math.log(MISS) / math.log(missed))) if missed < 1 else 2**BITS
+        plan.append((bits, passes) if bits and passes < 2**bits else (0, 1))
+    return plan
+
+
+def _keys(seed: int, vectors: bool):
+    """A row for each vector and pass with the key of its run; without vectors, a count for each run of the batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("dim").to_numpy()
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                unit = _units(_matrix(part.column("embedding")))
-                for p in range(passes):
-                    planes = np.random.default_rng([seed, p, int(dim)]).standard_normal((int(dim), BITS))
-                    bits = (unit @ planes) > 0
-                    key = (bits << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), p, np.int32)), pa.array(key), *[part.column(c) for c in ("label", "dim", "rep", "embedding")]], names=["pass", "key", "label", "dim", "rep", "embedding"])
+                bits, passes, label = (part.column(c).to_numpy().astype(np.int64) for c in ("bits", "passes", "label"))
+                unit = _units(_matrix(part.column("embedding"))) if bits.any() else None
+                for p in range(int(passes.max())):
+                    key = np.zeros(len(part), np.int64)
+                    if unit is not None:
+                        planes = np.random.default_rng([seed, p, int(dim)]).standard_normal((int(dim), BITS))
+                        some = np.flatnonzero((bits > 0) & (passes > p))
+                        signs = (unit[some] @ planes) > 0
+                        key[some] = (signs << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1) >> (BITS - bits[some])
+                    pick = np.flatnonzero(passes > p)
+                    if vectors:
+                        rows = part.take(pa.array(pick))
+                        more, names = [rows.column(c) for c in ("rep", "embedding")], ["rep", "embedding"]
+                        key, own = key[pick], label[pick]
+                    else:
+                        runs, n = np.unique(np.stack([label[pick], key[pick]], axis=1), axis=0, return_counts=True)
+                        own, key, more, names = runs[:, 0], runs[:, 1], [pa.array(n.astype(np.int64))], ["n"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), pa.array(key), pa.array(own), pa.array(np.full(len(key), dim, np.int32)), *more], names=["pass", "key", "label", "dim", *names])
 
     return run
 
 
-def _windows(cosine: float, window: int):
-    """Links between neighbours, thinned to what connects them: all between next neighbours, and between two runs of linked next neighbours one."""
-
-    def linked(unit, rep, group):
-        a, b = [], []
-        run = np.zeros(len(rep), np.int64)
-        for d in range(1, min(window, len(rep) - 1) + 1):
-            x, y = slice(0, -d), slice(d, None)
-            hit = (group[x] == group[y]) & (np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine)
-            if d == 1:
-                run[1:] = np.cumsum(~hit)
-                i = np.flatnonzero(hit)
-            else:
-                i = np.flatnonzero(hit & (run[x] != run[y]))
-                _, one = np.unique(np.stack([run[i], run[i + d]], axis=1), axis=0, return_index=True) if len(i) else (None, i)
-                i = i[one]
-            a.append(rep[i]), b.append(rep[i + d])
-        return np.concatenate(a) if a else rep[:0], np.concatenate(b) if b else rep[:0]
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n vertices the smallest one that the edges (i, j) connect it with."""
+    of = np.arange(n)
+    while len(i):
+        low = np.arange(n)
+        np.minimum.at(low, np.maximum(i, j), np.minimum(i, j))
+        while (low[low] != low).any():
+            low = low[low]
+        of, i, j = low[of], low[i], low[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+    return of
+
+
+def _compared(cosine: float):
+    """Links inside a block or between two blocks of a run, thinned to what connects them."""
+    keys = ["pass", "label", "dim", "key", "bi", "bj"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            for lo in range(0, len(batch), ROWS):
-                part = batch.slice(lo, ROWS)
-                dims = part.column("dim").to_numpy()
-                label, turn = part.column("label").to_numpy().astype(np.int64), part.column("pass").to_numpy().astype(np.int64)
-                for dim in np.unique(dims):
-                    pick = np.flatnonzero(dims == dim)
-                    unit = _units(_matrix(part.take(pa.array(pick)).column("embedding")))
-                    rep, group = part.column("rep").to_numpy()[pick], np.stack([turn[pick], label[pick]], axis=1)
-                    group = group[:, 0] * np.int64(1 << 40) + group[:, 1]
-                    if held is not None and held[0].shape[1] == dim:
-                        unit, rep, group = (np.concatenate(z) for z in zip(held, (unit, rep, group), strict=True))
-                    a, b = linked(unit, rep, group)
-                    held = (unit[-window:], rep[-window:], group[-window:])
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for t, at in X.whole_groups(batches, keys):
+            rep, own, bi, bj = (t.column(c).to_numpy() for c in ("rep", "own", "bi", "bj"))
+            vectors = t.column("embedding").combine_chunks()
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                if hi - lo < 2:
+                    continue
+                unit, ids = _units(_matrix(vectors.slice(lo, hi - lo))), rep[lo:hi]
+                if bi[lo] == bj[lo]:
+                    i, j = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
+                else:
+                    a, b = np.flatnonzero(own[lo:hi] == bi[lo]), np.flatnonzero(own[lo:hi] == bj[lo])
+                    i, j = np.nonzero(unit[a] @ unit[b].T >= cosine)
+                    i, j = a[i], b[j]
+                of = _forest(len(ids), i, j)
+                linked = np.flatnonzero(of != np.arange(len(ids)))
+                if len(linked):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[of[linked]])], names=["a", "b"])
 
     return run
 
@@ -123,7 +150,7 @@ def _counted(cosine: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES, window: int = WINDOW, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id for every row."""
     given = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -131,9 +158,24 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASS
     good = given.where(sound)
     reps = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = written(reps.withColumn("dim", F.size("embedding")), "vectors")
-    keyed = reps.mapInArrow(_keys(passes, seed), "pass int, key long, label long, dim int, rep long, embedding array<double>")
-    ordered = keyed.repartitionByRange("pass", "label", "dim", "key", "rep").sortWithinPartitions("pass", "label", "dim", "key", "rep")
-    links = ordered.mapInArrow(_windows(cosine, window), "a long, b long")
+    plan = F.array(*[F.struct(F.lit(b).alias("bits"), F.lit(p).cast("long").alias("passes")) for b, p in _plan(cosine, passes)])
+    asked = F.greatest(F.ceil(F.log2(F.count("*") / RUN)), F.lit(0)).cast("int")
+    # written, so that a few labels or a few large runs are seen to be few and aren't dealt out by their keys
+    labels = written(reps.groupBy("label", "dim").agg(F.element_at(plan, asked + 1).alias("plan")).select("label", "dim", "plan.*"), "labels")
+    reps_of = reps.join(labels, ["label", "dim"])
+    run = ["pass", "label", "dim", "key"]
+    of = "pass int, key long, label long, dim int"
+    large = reps_of.mapInArrow(_keys(seed, False), f"{of}, n long").groupBy(*run).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    keyed = reps_of.mapInArrow(_keys(seed, True), f"{of}, rep long, embedding array<double>").join(written(large, "large"), run, "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    runs = (
+        keyed.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(*run, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "embedding")
+        .repartition(*run, "bi", "bj")
+        .sortWithinPartitions(*run, "bi", "bj")
+    )
+    links = runs.mapInArrow(_compared(cosine), "a long, b long")
     found = written(components(links).withColumnRenamed("id", "rep"), "found")
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = found.join(sizes, "component").join(reps, "rep")

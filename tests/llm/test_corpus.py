@@ -249,6 +249,29 @@ def test_embedding_links(spark):
     assert embedding_dedup.embedding_links(d.where("false")).count() == 0
 
 
+def test_embedding_links_of_a_dense_group(spark):
+    r = np.random.default_rng(4)
+    n, dim = 20_000, 64
+    centre = r.standard_normal(dim)
+    vectors = (centre / np.linalg.norm(centre) + 0.2 * r.standard_normal((n, dim)) / np.sqrt(dim)).astype(np.float32)
+    d = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").repartition(8)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.embedding_links(d).collect()}
+    unit = vectors.astype(np.float64)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    links, edges = np.zeros(n, np.int64), []
+    for lo in range(0, n, 1000):
+        i, j = np.nonzero(unit[lo : lo + 1000] @ unit.T >= 0.98)
+        i += lo
+        i, j = i[i != j], j[i != j]
+        links += np.bincount(i, minlength=n)
+        edges.append(np.stack([i, j]))
+    edges, label = np.concatenate(edges, axis=1), np.arange(n)
+    while (label[edges[0]] != label[edges[1]]).any():
+        np.minimum.at(label, edges[0], label[edges[1]])
+    assert 1000 < np.bincount(label).max() < n
+    assert [got[k] for k in range(n)] == list(zip(links.tolist(), label.tolist(), strict=True))
+
+
 def plain_lines(rows, least=5, chars=40):
     space = " \t\n\x0b\x0c\r"
     key = lambda line: line.strip(space).translate(LOWER)
