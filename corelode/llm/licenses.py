@@ -1,7 +1,8 @@
 """License scan: phrases at word level, and text blocks that contain most of a license template.
 
-Method: exact set-similarity join. A block is a stretch of WINDOW words of one line (stretches begin every STRIDE words, so
-any STRIDE consecutive words share one); a template is a set of words. The words of all templates are ordered by the number of documents that hold
+Method: exact set-similarity join. A block is a stretch of words of the text, over line ends too, since license texts are
+wrapped (stretches are two strides long and begin every stride, so any stride of consecutive words shares one; a stride is as long as the longest
+template, and STRIDE at least); a template is a set of words. The words of all templates are ordered by the number of documents that hold
 them (counted over the whole corpus; rarest first). A block can contain `share` of a template only if it holds one of the
 template's first |T| - need + 1 words in that order (prefix filter), has at least `need` words (length filter), and, where its
 first prefix word is the i-th, still leaves room for the need (positional filter: |T| - i >= need). What passes is compared in full, so every
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 from . import textops as X
 from .frames import without
 
-WINDOW, STRIDE = 64, 32
+#: Least words between the starts of blocks.
+STRIDE = 32
 
 # Phrases and the labels that they give.
 PHRASES = {
@@ -36,7 +38,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Sentences by which public licenses are usually named in a text (at most STRIDE words each).
+# Sentences by which public licenses are usually named in a text.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
@@ -54,7 +56,6 @@ TEMPLATES = (
 
 #: Bytes that end a word: ASCII but digits and letters.
 STOP = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
-LINE = 0x0A
 
 
 def _hash(word: str) -> int:
@@ -76,6 +77,7 @@ class Templates:
         rank = {w: (frequency.get(w, 0), w) for w in words}
         self.sets = [sorted(set(t[1].split()), key=rank.__getitem__) for t in templates]
         self.ids = [np.array([number[w] for w in s]) for s in self.sets]
+        self.stride = max([STRIDE, *(len(t[1].split()) for t in templates)])
         self.need = [max(1, math.ceil(share * len(s) - 1e-9)) for s in self.sets]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (s, need) in enumerate(zip(self.sets, self.need, strict=True)):
@@ -99,19 +101,12 @@ def _blocks_with(t: Templates, words: X.Words, token: np.ndarray) -> dict[int, d
     if not len(seeds):
         return found
     owner = np.searchsorted(words.first, seeds, "right") - 1
-    # the line of a word: line ends before it in the bytes, and texts before it
-    breaks = np.append(np.flatnonzero(words.data == LINE), len(words.data))
-    line_of = lambda k: np.searchsorted(breaks, words.starts[k])
-    low = np.where(line_of(seeds) > 0, breaks[np.maximum(line_of(seeds) - 1, 0)], -1)
-    line_first = np.maximum(np.searchsorted(words.starts, low, "right"), words.first[owner])
     done = set()
-    for k, o, begin in zip(seeds.tolist(), owner.tolist(), line_first.tolist(), strict=True):
-        high = breaks[int(np.searchsorted(breaks, words.starts[k]))]
-        line_last = min(int(np.searchsorted(words.starts, high)), int(words.first[o + 1]))
-        step = (k - begin) // STRIDE
+    for k, o, begin, end in zip(seeds.tolist(), owner.tolist(), words.first[owner].tolist(), words.first[owner + 1].tolist(), strict=True):
+        step = (k - begin) // t.stride
         for block in (step - 1, step) if step else (step,):
-            lo = begin + block * STRIDE
-            hi = min(lo + WINDOW, line_last)
+            lo = begin + block * t.stride
+            hi = min(lo + 2 * t.stride, end)
             for template, i in t.prefix[int(token[k])]:
                 need, size = t.need[template], len(t.sets[template])
                 if size - i < need or hi - lo < need or (lo, template) in done:

@@ -338,6 +338,30 @@ def test_licenses(spark):
     assert licenses.license_scan(empty(spark)).count() == 0
 
 
+def test_licenses_of_wrapped_texts(spark):
+    wrapped = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions",
+        "apache-2.0": " * you may not use this file except in compliance with the License.\r\n * You may obtain a copy of the License at\r\n *",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+        "gpl-3.0": "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3",
+    }
+    before = "some code\n" * 37
+    texts = [x + t for t in wrapped.values() for x in ("", before)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, label in enumerate(wrapped):
+        for i in (2 * k, 2 * k + 1):
+            assert label in got[i].labels.split(",") and got[i].score >= 0.8
+
+
+def test_licenses_of_a_long_template(spark):
+    long = [f"t{k}" for k in range(90)]
+    texts = [" ".join(["x"] * k + long) + " x\n" * 50 for k in (0, 1, 31, 45, 64, 89, 200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licenses.license_scan(d, templates=(("long", " ".join(long)),)).collect()
+    assert [(r.labels, r.score) for r in got] == [("long", 1.0)] * len(texts)
+
+
 def plain_targets(size, source, ratio=1.5, most=2.0):
     total = {}
     for k, s in source.items():
