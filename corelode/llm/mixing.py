@@ -129,7 +129,8 @@ def drawn(plan: DataFrame, total: int, block: int = BLOCK_WORDS, seed: int = SEE
     """(rank, shard, slot, epoch, index): the block that each slot of each source takes. total: words of all targets."""
     shards = max(8, int(total // (block * SHARD_SLOTS)))
     blocks = F.ceil(F.col("source_size") / block)
-    want = plan.select("rank", blocks.alias("blocks"), F.coalesce(F.least(F.round(F.col("target") / F.col("source_size") * blocks).cast("long"), 2 * blocks), F.lit(0).cast("long")).alias("slots")).where("slots > 0")
+    share = F.try_divide("target", "source_size")  # null where a source has no words
+    want = plan.select("rank", blocks.alias("blocks"), F.coalesce(F.least(F.round(share * blocks).cast("long"), 2 * blocks), F.lit(0).cast("long")).alias("slots")).where("slots > 0")
     counts = want.mapInArrow(_draw(shards, seed), "rank long, blocks long, shard long, first long, n long").where("n > 0").repartition("rank", "shard")
     slots = counts.select("rank", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     return slots.mapInArrow(_map_slots(seed), "rank long, shard long, slot long, epoch long, index long")

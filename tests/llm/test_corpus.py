@@ -400,6 +400,23 @@ def test_mixing(spark, rows):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+def test_mixing_source_without_words(spark, rows):
+    given = [*rows, (801, "", "en", "s1b", 0), (802, None, "en", "s1b", 0), (803, " \n", "en", "s1b", 2)]
+    d = spark.createDataFrame(given, SCHEMA)
+    got = {r.doc_id: r for r in mixing.taken(d, block=16).collect()}
+    assert len(got) == len(given)
+    assert all((got[k]["size"], got[k].source_size, got[k].target, got[k].taken) == (0, 0, 0.0, 0) for k in (801, 802, 803))
+    want, _ = plain_targets({r[0]: len(words(r[1])) for r in given}, {r[0]: r[3] for r in given})
+    by = Counter()
+    for r in given:
+        assert got[r[0]].target == pytest.approx(want[r[3]])
+        by[r[3]] += got[r[0]].taken
+    assert all(abs(by[s] - want[s]) <= 32 for s in want)
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(d, block=16).collect()) == sum(by.values())
+    alone = mixing.taken(d.where("source = 's1b'")).collect()
+    assert sorted((r.doc_id, r.target, r.taken) for r in alone) == [(k, 0.0, 0) for k in (801, 802, 803)]
+
+
 def test_mixed_documents(spark, rows):
     d = spark.createDataFrame(rows, SCHEMA)
     out = mixing.mixed_documents(d, block=16)
