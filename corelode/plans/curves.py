@@ -174,15 +174,25 @@ r AS (SELECT well_id, md, row_number() OVER (PARTITION BY well_id ORDER BY step
 SELECT well_id, 'A' AS name, md FROM r WHERE k = 1 UNION ALL SELECT well_id, 'B', min(md) FROM s WHERE md BETWEEN 5100 AND 5300 AND smooth > CAST(0.2 AS DOUBLE) GROUP BY well_id"""
 
 
+def _export(samples, spark, sf_dir):
+    s = D.zone_at(samples, B.zones(spark, sf_dir), keep_last=True).join(B.wells(spark, sf_dir).select("well_id", "name", "kb"), "well_id")
+    return B.rounded(s.select(F.col("name").alias("well"), "md", (F.col("md") - F.col("kb")).alias("tvdss"), "gr", F.col("rt").alias("rdeep"), "rhob", "nphi", F.col("zone").alias("formation")))
+
+
 def curve_export(spark, sf_dir):
     """Every second sample with its subsea depth and formation; the deepest keeps the last zone."""
-    s = D.zone_at(B.log_samples(spark, sf_dir).where("idx % 2 = 0"), B.zones(spark, sf_dir), keep_last=True).join(B.wells(spark, sf_dir).select("well_id", "name", "kb"), "well_id")
-    return B.rounded(s.select(F.col("name").alias("well"), "md", (F.col("md") - F.col("kb")).alias("tvdss"), "gr", F.col("rt").alias("rdeep"), "rhob", "nphi", F.col("zone").alias("formation")))
+    return _export(B.log_samples(spark, sf_dir).where("idx % 2 = 0"), spark, sf_dir)
+
+
+def curve_export_all(spark, sf_dir):
+    """Every sample with its subsea depth and formation; the deepest keeps the last zone."""
+    return _export(B.log_samples(spark, sf_dir), spark, sf_dir)
 
 
 SQL["curve_export"] = B.CTE + """
 SELECT w.name AS well, s.md, round(s.md - kb, 6) AS tvdss, round(gr, 6) AS gr, round(rt, 6) AS rdeep, round(rhob, 6) AS rhob, round(nphi, 6) + 0.0 AS nphi, z.zone AS formation
 FROM log_samples s JOIN wells w ON w.well_id = s.well_id ASOF JOIN zones z ON z.well_id = s.well_id AND s.md >= z.top WHERE s.idx % 2 = 0"""
+SQL["curve_export_all"] = SQL["curve_export"].removesuffix(" WHERE s.idx % 2 = 0")
 
 
 def crossplot_rows(spark, sf_dir):
@@ -217,4 +227,4 @@ def sensor_shift(spark, sf_dir):
 
 SQL["sensor_shift"] = B.CTE + "SELECT a.well_id, a.idx, round(b.rt, 6) AS rt FROM log_samples a LEFT JOIN log_samples b ON b.well_id = a.well_id AND b.idx = a.idx + 20"
 
-QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, rule_tops, curve_export, crossplot_rows, cuttings_stack, decimated, sensor_shift)}
+QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, rule_tops, curve_export, curve_export_all, crossplot_rows, cuttings_stack, decimated, sensor_shift)}

@@ -58,19 +58,36 @@ SQL["tvd_at_md"] = SURVEYED + "SELECT well_id, idx, round(tvd, 6) + 0.0 AS tvd F
 SQL["offset_at_md"] = SURVEYED + "SELECT well_id, idx, round(north, 6) + 0.0 AS north, round(east, 6) + 0.0 AS east FROM along"
 
 
+def _positions(samples, spark, sf_dir):
+    return B.rounded(D.path_positions(samples, B.wells(spark, sf_dir)).select("well_id", "idx", "lat", "lon"), digits=7)
+
+
 def path_positions(spark, sf_dir):
-    return B.rounded(D.path_positions(_along(spark, sf_dir).where("idx % 50 = 0"), B.wells(spark, sf_dir)).select("well_id", "idx", "lat", "lon"), digits=7)
+    return _positions(_along(spark, sf_dir).where("idx % 50 = 0"), spark, sf_dir)
+
+
+def path_positions_all(spark, sf_dir):
+    return _positions(_along(spark, sf_dir), spark, sf_dir)
 
 
 SQL["path_positions"] = SURVEYED + f"""SELECT a.well_id, idx, round(lat + north * degrees({d(0.3048)} / {d(6371008.8)}), 7) AS lat, round(lon + east * degrees({d(0.3048)} / {d(6371008.8)}) / cos(radians(lat)), 7) AS lon
 FROM along a JOIN wells w ON w.well_id = a.well_id WHERE idx % 50 = 0"""
+SQL["path_positions_all"] = SQL["path_positions"].removesuffix(" WHERE idx % 50 = 0")
 
 
-def md_from_tvd(spark, sf_dir):
-    want = B.log_samples(spark, sf_dir).where("idx % 25 = 0").select("well_id", F.col("idx").alias("target_id"), (5000.3 + F.col("idx") * 0.4).alias("tvd"))
+def _md_from_tvd(samples, spark, sf_dir):
+    want = samples.select("well_id", F.col("idx").alias("target_id"), (5000.3 + F.col("idx") * 0.4).alias("tvd"))
     return B.rounded(D.depth_from_tvd(want, _survey(spark, sf_dir)).select("well_id", "target_id", "md"))
 
 
+def md_from_tvd(spark, sf_dir):
+    return _md_from_tvd(B.log_samples(spark, sf_dir).where("idx % 25 = 0"), spark, sf_dir)
+
+
+def md_from_tvd_all(spark, sf_dir):
+    return _md_from_tvd(B.log_samples(spark, sf_dir), spark, sf_dir)
+
+
 SQL["md_from_tvd"] = SURVEYED + f""",
 want AS (SELECT well_id, idx AS target_id, {d(5000.3)} + idx * {d(0.4)} AS z FROM log_samples WHERE idx % 25 = 0),
 hits AS (
@@ -80,6 +97,7 @@ found AS (
   SELECT *, CASE WHEN z <= t0 THEN m0 - (t0 - z) WHEN tvd2 > t1 AND z >= t1 AND z <= tvd2 THEN m1 + (z - t1) / (tvd2 - t1) * (md2 - m1)
     WHEN md2 IS NULL AND z > t1 THEN m1 + (z - t1) / greatest(cos(radians(inc)), {d(0.05)}) END AS md FROM hits)
 SELECT w.well_id, w.target_id, round(min_by(md, m1) FILTER (WHERE md IS NOT NULL), 6) + 0.0 AS md FROM want w LEFT JOIN found f ON f.well_id = w.well_id AND f.target_id = w.target_id GROUP BY w.well_id, w.target_id"""
+SQL["md_from_tvd_all"] = SQL["md_from_tvd"].replace("FROM log_samples WHERE idx % 25 = 0)", "FROM log_samples)")
 
 
 def tvdss(spark, sf_dir):
@@ -255,4 +273,4 @@ def structure_contours(spark, sf_dir):
     return B.rounded(M.contour_lines(cells, M.contour_levels(cells)), digits=3)
 
 
-QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, tvd_at_md, offset_at_md, md_from_tvd, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours)}
+QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, path_positions_all, tvd_at_md, offset_at_md, md_from_tvd, md_from_tvd_all, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours)}

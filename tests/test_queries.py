@@ -35,6 +35,11 @@ def test_query_agrees_with_sql(spark, tables, name):
     assert sorted(plain(r) for r in df.select(*columns).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["path_positions_all", "md_from_tvd_all", "curve_export_all"])
+def test_query_covers_every_sample(spark, name):
+    assert plans.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries())
