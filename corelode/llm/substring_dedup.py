@@ -3,7 +3,8 @@
 Method: De Bruijn compaction. Every window of `width` words is an edge of the De Bruijn graph of (width - 1)-word
 nodes. Neighbouring edges that share their minimiser (the smallest hash of an inner `core`-word run) travel together as
 one row, so a shuffle on the minimiser brings equal edges together at a fraction of a row per edge. Edges that occur
-again are joined to the coordinate of their first occurrence, and consecutive repeated edges whose sources are also
+again are joined to the coordinate of their first occurrence (the edges of a minimiser that has too many distinct ones to
+hold go on as rows, and Spark's aggregation finds their first occurrence), and consecutive repeated edges whose sources are also
 consecutive are compacted into paths (one row per repeated span). Every path keeps its source coordinate; the words
 of both ends are digested and compared, and only paths whose words agree are removed.
 
@@ -33,6 +34,10 @@ CORE = 8
 BLOCK = 1 << 22
 EDGES = "anchor long, doc_id long, pos long, off int, hashes binary, n long, src_doc long, src_pos long"
 RUNS = "doc_id long, pos long, n long, src_doc long, src_pos long"
+#: Runs, and open edges: rows with a hash and without a source.
+FOUND = RUNS + ", anchor long, hash long"
+#: Distinct edges of one anchor that a task holds.
+HELD = 1 << 18
 _U = np.uint64
 
 
@@ -133,14 +138,19 @@ def _edge_rows(width: int):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of edges that occurred before, from edge rows ordered by (anchor, doc_id, pos). Memory: one batch and the
-    distinct edges of the anchor that the batch ends in."""
-    names = [x.split()[0] for x in RUNS.split(", ")]
+    """Runs of edges that occurred before, from edge rows ordered by (anchor, doc_id, pos). Memory: one batch and at
+    most HELD distinct edges of the anchor that the batch ends in; the distinct edges of a larger anchor are passed on open."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
     last, held = None, None  # the anchor that may go on, and its distinct edges: hash, doc, pos
+    passed = False  # whether the edges of that anchor are passed on
+
+    def rows(run: list, key: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*run, *(key or [pa.nulls(len(run[0]), pa.int64())] * 2)], names=names)
+
     for batch in batches:
         settled = batch.filter(batch.column("hashes").is_null())
         if len(settled):
-            yield pa.RecordBatch.from_arrays([settled.column(c) for c in names], names=names)
+            yield rows([settled.column(c) for c in names[:5]])
         batch = batch.filter(batch.column("hashes").is_valid())
         if not len(batch):
             continue
@@ -174,13 +184,31 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = np.lexsort((p[here], d[here]))
         here, there = here[by], there[by]
         if len(here):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in _runs(d[here], p[here], d[there], p[there])], names=names)
+            yield rows([pa.array(v) for v in _runs(d[here], p[here], d[there], p[there])])
+        distinct = order[~same]
+        on = (a[distinct] == last) if passed else np.zeros(len(distinct), bool)
+        passed = bool(passed and anchor[-1] == last)
         last = anchor[-1]
-        tail = order[~same]
-        tail = np.sort(tail[a[tail] == last])
+        tail = distinct[a[distinct] == last]
+        passed |= len(tail) > HELD
+        if passed:
+            on |= a[distinct] == last
+            tail = tail[:0]
+        if on.any():
+            k, none = np.sort(distinct[on]), pa.nulls(int(on.sum()), pa.int64())
+            yield rows([pa.array(d[k]), pa.array(p[k]), none, none, none], [pa.array(a[k]), pa.array(h[k].view(np.int64))])
+        tail = np.sort(tail)
         held = (h[tail], d[tail], p[tail])
 
 
+def _closed(found: DataFrame) -> DataFrame:
+    """The runs, and one for each open edge that occurs earlier among the open ones."""
+    runs, edges = found.where("hash is null").drop("anchor", "hash"), found.where("hash is not null").select("anchor", "hash", "doc_id", "pos")
+    first = edges.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count("*").alias("times")).where("times > 1").drop("times")
+    again = edges.join(first, ["anchor", "hash"]).where("doc_id != src.doc_id or pos != src.pos")
+    return runs.unionByName(again.select("doc_id", "pos", F.lit(1).cast("long").alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos")))
+
+
 def repeated_paths(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compacted repeated paths: doc_id, pos, n (edges), src_doc, src_pos. The words pos .. pos + n + width - 2 of
     doc_id equal those that start at src_pos in src_doc, which is earlier."""
@@ -188,7 +216,7 @@ def repeated_paths(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     edges = given.mapInArrow(_edge_rows(width), EDGES)
     # an edge without an anchor is settled; it is dealt out by its document
     edges = edges.repartition(F.coalesce("anchor", F.hash("doc_id").cast("long"))).sortWithinPartitions("anchor", "doc_id", "pos")
-    runs = edges.mapInArrow(_repeats, RUNS)
+    runs = _closed(written(edges.mapInArrow(_repeats, FOUND), "found"))
     line = W.partitionBy("doc_id").orderBy("src_doc", F.col("src_pos") - F.col("pos"), "pos")
     follows = (F.lag("src_doc").over(line) == F.col("src_doc")) & (F.lag(F.col("src_pos") + F.col("n")).over(line) == F.col("src_pos")) & (F.lag(F.col("pos") + F.col("n")).over(line) == F.col("pos"))
     runs = runs.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(line))

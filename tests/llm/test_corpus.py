@@ -4,9 +4,11 @@ tables and clashing columns."""
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +274,41 @@ def test_embedding_links_of_a_dense_group(spark):
     assert [got[k] for k in range(n)] == list(zip(links.tolist(), label.tolist(), strict=True))
 
 
+def hot_edges(n, distinct):
+    """Edge rows of one minimiser: n documents with two edges, of which the second repeats after `distinct` documents."""
+    doc = np.arange(n)
+    hashes = [np.array([2 * k, 2 * (k % distinct) + 1], np.uint32).tobytes() for k in range(n)]
+    none = pa.nulls(n, pa.int64())
+    zero = np.zeros(n, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(zero + 7), pa.array(doc), pa.array(zero), pa.array(zero.astype(np.int32) + 9), pa.array(hashes, pa.binary()), none, none, none], names=["anchor", "doc_id", "pos", "off", "hashes", "n", "src_doc", "src_pos"])
+
+
+def test_substring_memory_of_a_hot_minimiser():
+    batch = hot_edges(600_000, 600_000)
+    tracemalloc.start()
+    for _ in substring_dedup._repeats(batch.slice(lo, 10_000) for lo in range(0, len(batch), 10_000)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
+@pytest.mark.parametrize("most", [0, 10, 150, 10_000])
+def test_substring_edges_of_a_hot_minimiser(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "HELD", most)
+    batch = hot_edges(300, 100)
+    other = pa.RecordBatch.from_arrays([pa.array(np.full(300, 8)) if c == "anchor" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+    both = pa.Table.from_batches([batch, other]).combine_chunks().to_batches()[0]
+    found = [r for out in substring_dedup._repeats(both.slice(lo, 70) for lo in range(0, 600, 70)) for r in out.to_pylist()]
+    runs = substring_dedup._closed(spark.createDataFrame([tuple(r.values()) for r in found], substring_dedup.FOUND)).collect()
+    got = Counter()
+    for r in runs:
+        assert r.src_doc < r.doc_id and (r.doc_id - r.src_doc) % 100 == 0 and r.pos - r.src_pos == 0
+        for k in range(r.n):
+            got[r.doc_id, r.pos + k] += 1
+    assert got == {(k, 1): 2 for k in range(100, 300)}
+
+
 def plain_lines(rows, least=5, chars=40):
     space = " \t\n\x0b\x0c\r"
     key = lambda line: line.strip(space).translate(LOWER)
