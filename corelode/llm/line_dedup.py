@@ -148,7 +148,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's filter (first row) with hashes taken out (step -1) and put in (step 1)."""
+    """A shard's filter (first row) with hashes taken out (step -1) and put in (step 1); null where they don't fit."""
     for t, at in X.whole_groups(batches, ["shard"]):
         for a, b in zip(at, at[1:], strict=False):
             part = t.slice(a, b - a)
@@ -156,9 +156,8 @@ def _change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = [x for x in part.column("filter").to_pylist() if x is not None]
             made = CuckooFilter.of(old[0]) if old else CuckooFilter.sized(int((step == 1).sum()))
             made.delete(h1[step == -1])
-            if len(made.insert(h1[step == 1])):
-                raise ValueError("the shard's filter is full: build the index with more shards")
-            yield pa.RecordBatch.from_arrays([part.column("shard").combine_chunks().slice(0, 1), pa.array([made.bytes()], pa.binary())], names=["shard", "filter"])
+            full = len(made.insert(h1[step == 1])) > 0
+            yield pa.RecordBatch.from_arrays([part.column("shard").combine_chunks().slice(0, 1), pa.array([None if full else made.bytes()], pa.binary())], names=["shard", "filter"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +181,11 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([hit.column(c) for c in ("h1", "h2", "doc_id")], names=["h1", "h2", "doc_id"])
 
 
+def _filters(shared: DataFrame, shards: int) -> DataFrame:
+    keyed = shared.select(F.pmod("h1", F.lit(shards)).alias("shard"), "h1").repartition("shard").sortWithinPartitions("shard")
+    return keyed.mapInArrow(_build, "shard long, filter binary")
+
+
 class LineIndex:
     """Line counts of a corpus with the filters of its shared lines; immutable, changes give a new index."""
 
@@ -195,8 +199,7 @@ class LineIndex:
         counts = written(_counts(refs), "counts")
         shared = counts.where(F.col("documents") >= least)
         shards = max(1, -(-shared.count() // SHARD_KEYS))
-        keyed = shared.select(F.pmod("h1", F.lit(shards)).alias("shard"), "h1").repartition("shard").sortWithinPartitions("shard")
-        filters = written(keyed.mapInArrow(_build, "shard long, filter binary"), "filters")
+        filters = written(_filters(shared, shards), "filters")
         return cls(refs, counts, filters, shards, least, chars, id_col, text_col)
 
     def _changed(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
@@ -204,6 +207,11 @@ class LineIndex:
         keys = touched.select("h1", "h2").distinct()
         fresh = written(_counts(refs.join(keys, ["h1", "h2"], "left_semi")), "fresh")
         counts = written(self.counts.join(keys, ["h1", "h2"], "left_anti").unionByName(fresh), "counts")
+        shared = counts.where(F.col("documents") >= self.least)
+        asked = -(-shared.count() // SHARD_KEYS)
+        if asked > self.shards:  # twice as many at least, so that a growing index is seldom built anew
+            shards = max(asked, 2 * self.shards)
+            return LineIndex(refs, counts, written(_filters(shared, shards), "filters"), shards, self.least, self.chars, self.id_col, self.text_col)
         was = self.counts.where(F.col("documents") >= self.least).join(keys, ["h1", "h2"], "left_semi").select("h1", "h2")
         now = fresh.where(F.col("documents") >= self.least).select("h1", "h2")
         shard = F.pmod("h1", F.lit(self.shards)).alias("shard")
@@ -211,6 +219,10 @@ class LineIndex:
         steps = was.join(now, ["h1", "h2"], "left_anti").select(shard, "h1", F.lit(-1).alias("step"), none).unionByName(now.join(was, ["h1", "h2"], "left_anti").select(shard, "h1", F.lit(1).alias("step"), none))
         rows = self.filters.select("shard", F.lit(None).cast("long").alias("h1"), F.lit(0).alias("step"), "filter").unionByName(steps)
         filters = written(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_change, "shard long, filter binary"), "filters")
+        full = filters.where("filter is null").select("shard")
+        if not full.isEmpty():
+            again = _filters(shared.join(full, F.pmod(shared["h1"], F.lit(self.shards)) == full["shard"], "left_semi"), self.shards)
+            filters = written(filters.where("filter is not null").unionByName(again), "filters")
         return LineIndex(refs, counts, filters, self.shards, self.least, self.chars, self.id_col, self.text_col)
 
     def insert(self, docs: DataFrame) -> LineIndex:

@@ -349,6 +349,14 @@ def test_line_dedup_insert_and_delete(spark):
     assert line_dedup.LineIndex.build(d.where("false")).dedup(d.where("false")).count() == 0
 
 
+def test_line_dedup_grows_tenfold(spark):
+    text = lambda lo, hi: "\n".join(f"a line that several documents hold in common, number {k}" for k in range(lo, hi))
+    rows = [(k, text(0, 100) if k < 5 else text(100, 1000)) for k in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    grown = line_dedup.LineIndex.build(d.where("doc_id < 5")).insert(d.where("doc_id >= 5"))
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in grown.dedup(d).collect()} == plain_lines(rows)
+
+
 def test_cuckoo_filter():
     h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5000)
     f = line_dedup.filter_of(h)
