@@ -1,8 +1,8 @@
 """Depth-ordered joins: as-of carries, nearest pairs, resampling, directional surveys and depth frames.
 
 The core shape is union and carry: rows of both sides go through one shuffle by well and one sort by depth, and
-windows carry the previous and next row of the other side to each. No range join and no per-well Python is needed, and
-several results over the same window specification share its sort.
+windows carry the previous and next row of the other side to each (the next one over the descending order). No range
+join and no per-well Python is needed, and several results over the same window specification share its sort.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ def carry(left: DataFrame, right: DataFrame, values: list[str], keys: list[str],
     a = left.select(*keys, on, F.struct(*rest).alias("_left") if rest else F.lit(1).alias("_left"), F.lit(None).alias("_right"))
     b = right.where(F.col(on).isNotNull()).select(*keys, on, F.lit(None).alias("_left"), packed.alias("_right"))
     both = a.unionByName(b)
-    order = W.partitionBy(*keys).orderBy(F.col(on).asc_nulls_last())
-    # the default frame is RANGE and includes rows at the same depth
+    well = W.partitionBy(*keys)
+    # RANGE frames include rows at the same depth; both run from the start of their order, so that a row adds to what is
+    # there (frames to the end are computed anew for each row)
     frames = {
-        "prev": F.last("_right", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        "next": F.first("_right", ignorenulls=True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing)),
+        "prev": F.last("_right", ignorenulls=True).over(well.orderBy(F.col(on).asc_nulls_last()).rangeBetween(W.unboundedPreceding, W.currentRow)),
+        "next": F.last("_right", ignorenulls=True).over(well.orderBy(F.col(on).desc_nulls_last()).rangeBetween(W.unboundedPreceding, W.currentRow)),
     }
     for s in sides:
         both = both.withColumn(f"_{s}", F.when(F.col(on).isNotNull(), frames[s]))
@@ -136,27 +137,27 @@ def along_survey(depths: DataFrame, survey: DataFrame) -> DataFrame:
 
 def depth_from_tvd(targets: DataFrame, survey: DataFrame) -> DataFrame:
     """targets (well_id, tvd) with md: the first bracket of stations in which tvd increases past the target; above the first
-    station parallel to it, below the last along its direction (cosine not under 0.05)."""
+    station parallel to it, below the last along its direction (cosine not under 0.05); null where neither reaches it.
+
+    The first bracket that reaches a depth is one that raises the running maximum of tvd, and those are in the order of their tvd: a target takes
+    the first at or below it by one carry, whatever the number of stations."""
     line = W.partitionBy("well_id").orderBy("md")
-    last = F.lead("md").over(line).isNull()
-    pieces = survey.select(
+    above = F.max("tvd").over(line.rowsBetween(W.unboundedPreceding, -1))
+    steps = survey.select(
         "well_id",
-        F.col("md").alias("m1"),
-        F.col("tvd").alias("t1"),
-        F.lead("md").over(line).alias("m2"),
-        F.lead("tvd").over(line).alias("t2"),
-        F.first("md").over(line).alias("m0"),
-        F.first("tvd").over(line).alias("t0"),
-        F.when(last, F.greatest(F.cos(F.radians("inc")), F.lit(0.05))).alias("slope"),
+        F.lag("md").over(line).alias("m1"),
+        F.lag("tvd").over(line).alias("t1"),
+        F.col("md").alias("m2"),
+        F.col("tvd"),
+        above.alias("_above"),
     )
-    keys = targets.withColumn("_key", F.monotonically_increasing_id()) if "target_id" not in targets.columns else targets.withColumn("_key", F.col("target_id"))
-    z = F.col("tvd")
-    inside = (F.col("t2") > F.col("t1")) & (z >= F.col("t1")) & (z <= F.col("t2"))
-    hit = F.when(z <= F.col("t0"), F.col("m0") - (F.col("t0") - z)).when(inside, F.col("m1") + (z - F.col("t1")) / (F.col("t2") - F.col("t1")) * (F.col("m2") - F.col("m1"))).when(F.col("m2").isNull() & (z > F.col("t1")), F.col("m1") + (z - F.col("t1")) / F.col("slope"))
-    found = keys.join(pieces, "well_id", "left").withColumn("_hit", hit)
-    # of several pieces the first along the hole counts
-    best = found.groupBy("well_id", "_key").agg(F.min(F.when(F.col("_hit").isNotNull(), F.struct("m1", "_hit")))["_hit"].alias("md"))
-    return keys.join(best, ["well_id", "_key"]).drop("_key")
+    rising = steps.where("_above IS NULL OR tvd > _above").drop("_above")
+    end = survey.groupBy("well_id").agg(F.max_by(F.struct("md", "tvd", F.greatest(F.cos(F.radians("inc")), F.lit(0.05)).alias("slope")), "md").alias("_end"))
+    found = carry(targets, rising, ["m1", "t1", "m2"], ["well_id"], on="tvd", sides=("next",)).join(end, "well_id", "left")
+    z, t2 = F.col("tvd"), F.col("next_tvd")
+    inside = F.when(F.col("next_m1").isNull(), F.col("next_m2") - (t2 - z)).otherwise(F.col("next_m1") + (z - F.col("next_t1")) / (t2 - F.col("next_t1")) * (F.col("next_m2") - F.col("next_m1")))
+    below = F.when(z > F.col("_end.tvd"), F.col("_end.md") + (z - F.col("_end.tvd")) / F.col("_end.slope"))
+    return found.select(*targets.columns, F.when(F.col("next_m2").isNotNull(), inside).otherwise(below).alias("md"))
 
 
 def subsea(tvd, datum) -> Column:
@@ -172,13 +173,16 @@ def flattened(depths: DataFrame, tops: DataFrame, name: str, z: str = "md") -> D
 
 
 def depth_from_frame(targets: DataFrame, frame: DataFrame, z: str = "z") -> DataFrame:
-    """targets (well_id, z) with md: the first crossing of z along the hole; the ends of the log beyond it."""
+    """targets (well_id, z) with md: the first crossing of z along the hole; the ends of the log beyond it. As in
+    depth_from_tvd, the samples that raise the running maximum of z decide, by one carry."""
     line = W.partitionBy("well_id").orderBy("md")
-    pieces = frame.select("well_id", F.col("md").alias("m2"), F.col(z).alias("z2"), F.lag("md").over(line).alias("m1"), F.lag(z).over(line).alias("z1"), F.first("md").over(line).alias("top"), F.last("md").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("end"))
-    want = targets.withColumnRenamed(z, "_z")
-    hit = F.when((F.col("z2") >= F.col("_z")) & F.col("z1").isNull(), F.col("m2")).when((F.col("z2") >= F.col("_z")) & (F.col("z1") < F.col("_z")), F.col("m1") + (F.col("_z") - F.col("z1")) / (F.col("z2") - F.col("z1")) * (F.col("m2") - F.col("m1")))
-    found = want.join(pieces, "well_id").groupBy(*want.columns).agg(F.min(hit).alias("_hit"), F.max("end").alias("_end"))
-    return found.select(*[F.col(c) if c != "_z" else F.col("_z").alias(z) for c in want.columns], F.coalesce("_hit", "_end").alias("md"))
+    steps = frame.where(F.col(z).isNotNull()).select("well_id", F.lag("md").over(line).alias("m1"), F.lag(z).over(line).alias("z1"), F.col("md").alias("m2"), F.col(z), F.max(z).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("_above"))
+    rising = steps.where(F.col("_above").isNull() | (F.col(z) > F.col("_above"))).drop("_above")
+    end = frame.groupBy("well_id").agg(F.max("md").alias("_end"))
+    found = carry(targets, rising, ["m1", "z1", "m2"], ["well_id"], on=z, sides=("next",)).join(end, "well_id")
+    crossing = F.col("next_m1") + (F.col(z) - F.col("next_z1")) / (F.col(f"next_{z}") - F.col("next_z1")) * (F.col("next_m2") - F.col("next_m1"))
+    hit = F.when(F.col("next_m1").isNull(), F.col("next_m2")).otherwise(crossing)
+    return found.select(*targets.columns, F.coalesce(hit, F.when(F.col(z).isNotNull(), F.col("_end"))).alias("md"))
 
 
 def survey_summary(survey: DataFrame) -> DataFrame:

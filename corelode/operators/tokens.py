@@ -67,7 +67,8 @@ def solve_pages(pages: DataFrame, fits: DataFrame) -> DataFrame:
     start = F.coalesce(F.sum("height").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     j = j.withColumn("_start", start)
     own = F.when(F.col("slope").isNotNull(), F.struct("slope", "intercept", "_start", "page"))
-    j = j.withColumns({"_a": F.last(own, ignorenulls=True).over(up), "_b": F.first(own, ignorenulls=True).over(up.rowsBetween(W.currentRow, W.unboundedFollowing))})
+    down = W.partitionBy("doc_id").orderBy(F.col("page").desc())
+    j = j.withColumns({"_a": F.last(own, ignorenulls=True).over(up), "_b": F.last(own, ignorenulls=True).over(down)})
     # the nearer fit counts, the earlier one of two as near
     back = F.col("_a").isNull() | (F.col("_b").isNotNull() & (F.col("_b.page") - F.col("page") < F.col("page") - F.col("_a.page")))
     from_ = F.when(back, F.col("_b")).otherwise(F.col("_a"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -72,6 +73,48 @@ def test_nearest_takes_the_deeper_of_two(spark):
     assert [r.near_n for r in got] == ["a", "b", None]
 
 
+def test_carry_is_linear_in_the_samples_of_a_well(spark):
+    """40,000 samples of one well; a frame to the end of the well took minutes."""
+    n = 40_000
+    left = spark.range(n).select(F.lit(1).alias("well_id"), F.col("id").alias("k"), (F.col("id") * 0.5 + 0.1).alias("md")).cache()
+    right = spark.range(n).select(F.lit(1).alias("well_id"), (F.col("id") * 0.5).alias("md"), F.col("id").alias("v")).cache()
+    left.count(), right.count()
+    began = time.time()
+    got = D.carry(left, right, ["v"], ["well_id"]).agg(F.sum("prev_v"), F.sum("next_v"), F.count("next_v")).first()
+    assert time.time() - began < 5
+    assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, n - 1)
+
+
+def test_depths_from_tvd_and_frame_against_every_bracket(spark):
+    r = random.Random(4)
+    rows, want_t, want_f, targets = [], {}, {}, []
+    for well in range(4):
+        z, line = 0.0, []
+        for k in range(60):
+            z += r.uniform(-2.0, 4.0)
+            line.append((well, 10.0 * k + 100, round(z, 3), r.uniform(0, 100)))
+        rows += line
+        for t in range(80):
+            want = round(r.uniform(-5, line[-1][2] + 20), 2)
+            targets.append((well, t, want))
+            first = next((k for k, x in enumerate(line) if x[2] >= want), None)
+            if first is None:
+                want_t[well, t] = line[-1][1] + (want - line[-1][2]) / max(math.cos(math.radians(line[-1][3])), 0.05)
+                want_f[well, t] = line[-1][1]
+            elif first == 0:
+                want_t[well, t], want_f[well, t] = line[0][1] - (line[0][2] - want), line[0][1]
+            else:
+                a, b = line[first - 1], line[first]
+                want_t[well, t] = want_f[well, t] = a[1] + (want - a[2]) / (b[2] - a[2]) * 10.0
+    survey = frame(spark, rows, "well_id long, md double, tvd double, inc double")
+    asked = frame(spark, [*targets, (9, 0, 1.0)], "well_id long, k long, tvd double")
+    got = {(x.well_id, x.k): x.md for x in D.depth_from_tvd(asked, survey).collect()}
+    assert got.pop((9, 0)) is None
+    assert got == pytest.approx(want_t)
+    got = {(x.well_id, x.k): x.md for x in D.depth_from_frame(asked.withColumnRenamed("tvd", "z"), survey.select("well_id", "md", F.col("tvd").alias("z"))).collect()}
+    assert got == pytest.approx(want_f)
+
+
 def test_event_intervals(spark):
     e = frame(spark, [(1, 95.0, 305.0, "x"), (1, 400.0, None, "y")], "well_id long, top_md double, base_md double, class string")
     d = frame(spark, [(1, m) for m in (94.0, 100.0, 200.0, 305.0, 400.0)], "well_id long, md double")
