@@ -1,9 +1,10 @@
 """Mixing sources to target weights: which blocks of which source go into the mix, and how often.
 
 Method: the words of each source, in a fixed pseudorandom order of its documents, are packed into blocks of `block` words (a block may hold parts
-of several documents). Every source gets a number of slots from its target; how many of them fall to each output shard is
-drawn from a multinomial (so every shard is mixed like the whole and the totals are exact). The slots of a source are mapped to its
-blocks by index through pseudorandom permutations (one for each epoch: a Feistel network with cycle walking, so that no
+of several documents). Every source gets a number of slots from its target. For each output shard the numbers of its slots that fall to the
+sources are drawn from a multinomial over the sources' shares, so every shard is mixed like the whole; a source's slots are numbered through its
+shards, and the numbers are stretched by the small share by which all draws together miss its target, so that the totals are exact. The slots of a source are
+mapped to its blocks by index through pseudorandom permutations (one for each epoch: a Feistel network with cycle walking, so that no
 permutation is ever stored), and slots and blocks are joined by (source, index). A source is repeated at most twice, and each epoch takes a
 block at most once, so no document exceeds twice its size.
 
@@ -12,11 +13,13 @@ stops at `most` times its source's size and the excess goes to the others by wei
 ordering the sources by size against weight).
 
 The number of slots is the target in blocks, rounded, so a source's taken words miss its target by about a block at most.
-Everything is a function of the ids, sizes and the seed: reruns agree.
+Everything is a function of the rows and the seed: reruns agree. What is gathered on the driver is one row for each source.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own; rows with a
-null id take part like others; repeated rows of an id are packed as separate documents of that id and each get their share of its words. An empty
-table gives an empty result.
+null id take part like others; a row is known by the hashes of its id, source and whole text and by its number among equal rows, so repeated rows of
+an id are documents of their own and no text is read for another. Of rows equal in these, the other columns may be given in any order. Input columns named like the
+marks used here (`_k1`, `_k2`, `_copy`, `_epoch`, `_parts`) are kept by documents and don't disturb. A very long text is many parts of blocks, each cut from the whole text. Ties
+in size change nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,24 +38,40 @@ from .frames import written
 
 BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 100_000, 5
 #: Documents that a running sum goes over in one task.
-STRIDE = 4096
+STRIDE = 1024
+#: Slots that a task makes from their counts; and the most tasks that are asked for.
+TASK_SLOTS, MOST_TASKS = 50_000, 10_000
+KEY = ["k1", "k2", "copy"]
 # The weights of the sources in turn.
 WEIGHTS = (3, 1, 2)
 _U = np.uint64
 
 
+def _keys(doc_id, source, text) -> list:
+    """Two hashes (128 bits) of a row's id, source and whole text."""
+    parts = [F.isnull(doc_id), F.coalesce(doc_id, F.lit(0)), F.isnull(source), F.coalesce(source, F.lit("")), F.coalesce(text, F.lit(""))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def _copy(k1: str, k2: str, order: list):
+    """The number of a row among the rows with its hashes."""
+    return F.row_number().over(W.partitionBy(k1, k2).orderBy(*order)).cast("long")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in X.chunks(batch, "text"):
             part = batch.slice(rows.start, rows.stop - rows.start)
             size = np.diff(X.find_words(data, offsets).first)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(size)], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "source", "k1", "k2")], pa.array(size)], names=["doc_id", "source", "k1", "k2", "size"])
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size in words)."""
+    """(doc_id, source, k1, k2, size in words, copy)."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return given.mapInArrow(_count, "doc_id long, source string, size long")
+    k1, k2 = _keys(F.col("doc_id"), F.col("source"), F.col("text"))
+    counted = given.withColumns({"k1": k1, "k2": k2}).mapInArrow(_count, "doc_id long, source string, k1 long, k2 long, size long")
+    return counted.withColumn("copy", _copy("k1", "k2", ["size"]))
 
 
 def targets(sized: DataFrame, ratio: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -71,19 +90,19 @@ def targets(sized: DataFrame, ratio: float = 1.5, most: float = 2.0) -> DataFram
 
 
 def packed(sized: DataFrame, plan: DataFrame, documents: int, block: int = BLOCK_WORDS) -> DataFrame:
-    """(rank, index, doc_id, row, start, words): the parts of documents that each block holds. The running sum over a
+    """(rank, index, k1, k2, copy, start, words): the parts of documents that each block holds. The running sum over a
     source goes through strides of its documents, so a source of any size is many tasks' work."""
     strides = max(1, documents // STRIDE)
-    rows = sized.where("size > 0").join(plan.select("source", "rank"), sized.source.eqNullSafe(plan.source)).select("rank", "doc_id", "size")
-    rows = rows.withColumn("stride", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(strides)))
+    rows = sized.where("size > 0").join(plan.select("source", "rank"), sized.source.eqNullSafe(plan.source)).select("rank", *KEY, "size")
+    rows = rows.withColumn("stride", F.pmod(F.xxhash64("k1", "copy", F.lit(SEED)), F.lit(strides)))
     sums = rows.groupBy("rank", "stride").agg(F.sum("size").alias("all"))
     sums = sums.select("rank", "stride", (F.sum("all").over(W.partitionBy("rank").orderBy("stride")) - F.col("all")).alias("base"))
-    place = W.partitionBy("rank", "stride").orderBy("doc_id", "size")
-    rows = rows.withColumn("end", F.sum("size").over(place.rowsBetween(W.unboundedPreceding, 0))).withColumn("row", F.row_number().over(place)).join(sums, ["rank", "stride"])
+    place = W.partitionBy("rank", "stride").orderBy(*KEY)
+    rows = rows.withColumn("end", F.sum("size").over(place.rowsBetween(W.unboundedPreceding, 0))).join(sums, ["rank", "stride"])
     rows = rows.withColumn("end", F.col("base") + F.col("end")).withColumn("begin", F.col("end") - F.col("size"))
     parts = rows.withColumn("index", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))))
     low, high = F.greatest("begin", F.col("index") * block), F.least("end", (F.col("index") + 1) * block)
-    return parts.select("rank", "index", "doc_id", "row", (low - F.col("begin")).alias("start"), (high - low).alias("words"))
+    return parts.select("rank", "index", *KEY, (low - F.col("begin")).alias("start"), (high - low).alias("words"))
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -102,13 +121,17 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draw(shards: int, seed: int):
+def _draw(want: list[tuple[int, int, int]], shards: int, seed: int):
+    """For each shard a multinomial draw of its slots over the sources (rank, blocks, slots)."""
+    rank, blocks, slots = (np.array(x, np.int64) for x in zip(*want, strict=True))
+    total = int(slots.sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rank, blocks, slots in zip(*(batch.column(c).to_pylist() for c in ("rank", "blocks", "slots")), strict=True):
-                counts = np.random.default_rng([seed, rank]).multinomial(slots, np.full(shards, 1 / shards))
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rank)), pa.array(np.full(n, blocks)), pa.array(np.arange(n)), pa.array(np.cumsum(counts) - counts), pa.array(counts.astype(np.int64))], names=["rank", "blocks", "shard", "first", "n"])
+            for shard in batch.column("id").to_pylist():
+                size = total // shards + (shard < total % shards)
+                n = np.random.default_rng([seed, shard]).multinomial(size, slots / total)
+                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(blocks), pa.array(slots), pa.array(np.full(len(rank), shard)), pa.array(n.astype(np.int64))], names=["rank", "blocks", "slots", "shard", "n"])
 
     return run
 
@@ -125,38 +148,49 @@ def _map_slots(seed: int):
     return run
 
 
-def drawn(plan: DataFrame, total: int, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(rank, shard, slot, epoch, index): the block that each slot of each source takes. total: words of all targets."""
-    shards = max(8, int(total // (block * SHARD_SLOTS)))
+def drawn(plan: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """(rank, shard, slot, epoch, index): the block that each slot of each source takes; a source's slots are 0 .. its number - 1."""
     blocks = F.ceil(F.col("source_size") / block)
     share = F.try_divide("target", "source_size")  # null where a source has no words
-    want = plan.select("rank", blocks.alias("blocks"), F.coalesce(F.least(F.round(share * blocks).cast("long"), 2 * blocks), F.lit(0).cast("long")).alias("slots")).where("slots > 0")
-    counts = want.mapInArrow(_draw(shards, seed), "rank long, blocks long, shard long, first long, n long").where("n > 0").repartition("rank", "shard")
-    slots = counts.select("rank", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    return slots.mapInArrow(_map_slots(seed), "rank long, shard long, slot long, epoch long, index long")
+    # one row for each source
+    want = [tuple(r) for r in plan.select("rank", blocks, F.coalesce(F.least(F.round(share * blocks).cast("long"), 2 * blocks), F.lit(0).cast("long")).alias("slots")).where("slots > 0").collect()]
+    total = sum(w[2] for w in want)
+    spark, out = plan.sparkSession, "rank long, shard long, slot long, epoch long, index long"
+    if not total:
+        return spark.createDataFrame([], out)
+    shards = max(8, -(-total // SHARD_SLOTS))
+    counts = spark.range(shards).mapInArrow(_draw(want, shards, seed), "rank long, blocks long, slots long, shard long, n long")
+    whole = W.partitionBy("rank")
+    counts = counts.withColumn("end", F.sum("n").over(whole.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(whole))
+    # a source's drawn numbers, stretched to its target: each shard's count changes by the same small share
+    drawn_to = lambda c: F.when(c == F.col("all"), F.col("slots")).otherwise(F.least(F.floor(c * (F.col("slots") / F.col("all"))), F.col("slots")))
+    dealt_to = lambda k: F.floor(F.col("slots") * k / shards)
+    low = F.when(F.col("all") > 0, drawn_to(F.col("end") - F.col("n"))).otherwise(dealt_to(F.col("shard")))
+    high = F.when(F.col("all") > 0, drawn_to(F.col("end"))).otherwise(dealt_to(F.col("shard") + 1))
+    spans = counts.select("rank", "blocks", "shard", low.alias("low"), high.alias("high")).where("low < high")
+    # few rows that become many: without a number of its own the shuffle would end in one task
+    dealt = spans.repartition(min(max(8, total // TASK_SLOTS), MOST_TASKS))
+    slots = dealt.select("rank", "blocks", "shard", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("slot"))
+    return slots.mapInArrow(_map_slots(seed), out)
 
 
 def mix(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, targets, parts): parts holds one row for each part of a document that a slot takes: shard, slot, rank,
-    epoch, index, doc_id, row, start, words."""
+    epoch, index, k1, k2, copy, start, words."""
     sized = written(sizes(docs, id_col, text_col, source_col), "sizes")
     plan = written(targets(sized, ratio, most), "targets")
-    documents, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     # the size of the slots can't be seen from the few targets that they are drawn from: without the hint they are broadcast
-    slots = drawn(plan, int(words * ratio), block, seed).hint("merge")
-    parts = packed(sized, plan, documents, block).join(slots, ["rank", "index"])
+    slots = drawn(plan, block, seed).hint("merge")
+    parts = packed(sized, plan, sized.count(), block).join(slots, ["rank", "index"])
     return sized, plan, parts
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of docs."""
     sized, plan, parts = mix(docs, **options)
-    rows = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("doc_id", "size", "rank", "source_size", "target")
-    got = parts.groupBy(F.col("doc_id").alias("_id"), F.col("rank").alias("_rank")).agg(F.sum("words").alias("words"))
-    same = W.partitionBy("doc_id", "rank")
-    # repeated rows of an id share what was taken of it in proportion to their sizes
-    rows = rows.withColumn("all", F.sum("size").over(same)).join(got, rows.doc_id.eqNullSafe(F.col("_id")) & (rows["rank"] == F.col("_rank")), "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce(F.when(F.col("all") == F.col("size"), F.col("words")).otherwise(F.floor(F.col("words") * F.col("size") / F.col("all"))), F.lit(0)).cast("long").alias("taken"))
+    rows = sized.join(plan, sized.source.eqNullSafe(plan.source)).select("doc_id", *KEY, "size", "source_size", "target")
+    got = parts.groupBy(*KEY).agg(F.sum("words").alias("words"))
+    return rows.join(got, KEY, "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def _slice(names: list[str], text_col: str):
@@ -165,7 +199,7 @@ def _slice(names: list[str], text_col: str):
             for rows, data, offsets in X.chunks(batch, text_col):
                 part, words, raw = batch.slice(rows.start, rows.stop - rows.start), X.find_words(data, offsets), data.tobytes()
                 texts = []
-                for i, spans in enumerate(part.column("_parts").to_pylist()):
+                for i, spans in enumerate(part.column("_parts of the mix").to_pylist()):
                     lo, n = int(words.first[i]), int(words.first[i + 1] - words.first[i])
                     joined: list[list[int]] = []
                     for s in sorted(spans, key=lambda s: s["start"]):
@@ -184,11 +218,15 @@ def _slice(names: list[str], text_col: str):
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as rows of docs: one for each document and epoch with the parts of its text that were taken (all of it,
-    as it was, where all its blocks were). ids are expected to be unique."""
+    """The mix as rows of docs: one for each row and epoch with the parts of its text that were taken (all of it,
+    as it was, where all its blocks were)."""
     _, _, parts = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    of = parts.groupBy(F.col("doc_id").alias("_id"), F.col("epoch").alias("_epoch")).agg(F.collect_list(F.struct("start", "words")).alias("_parts"))
-    joined = docs.join(of, F.col(id_col).cast("long").eqNullSafe(F.col("_id"))).drop("_id", "_epoch")
+    of = parts.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("epoch").alias("_epoch")).agg(F.collect_list(F.struct("start", "words")).alias("_parts"))
+    # the rows go through as one struct, so no name of theirs can clash
+    k1, k2 = _keys(F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(k1.alias("_k1"), k2.alias("_k2"), row.alias("_row")).withColumn("_copy", _copy("_k1", "_k2", ["_k1"]))
+    joined = rows.join(of, ["_k1", "_k2", "_copy"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.col("_parts").alias("_parts of the mix"))
     return joined.mapInArrow(_slice(docs.columns, text_col), T.StructType(docs.schema.fields))
 
 

@@ -2,6 +2,7 @@
 tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import tracemalloc
@@ -445,6 +446,82 @@ def test_mixing(spark, rows):
     assert mixing.taken(empty(spark)).count() == 0
 
 
+def plain_place(x, n, rank, epoch, seed=mixing.SEED):
+    """The Feistel permutation with cycle walking, in plain integers."""
+    m64 = (1 << 64) - 1
+
+    def mixed(v):
+        v = v & m64
+        v = ((v ^ (v >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        v = ((v ^ (v >> 27)) * 0x94D049BB133111EB) & m64
+        return v ^ (v >> 31)
+
+    key = (mixed(rank + seed * 1_000_003) + mixed(epoch + 77)) & m64
+    half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    mask = (1 << half) - 1
+    while True:
+        a, b = x >> half, x & mask
+        for r in range(4):
+            a, b = b, a ^ (mixed(b + key + r * 0x9E3779B97F4A7C15 % 2**64) & mask)
+        x = (a << half) | b
+        if x < n:
+            return x
+
+
+def test_mixing_takes_what_a_plain_version_takes(spark, rows, monkeypatch):
+    """Every word of every slot by hand: packing in order, one block for each slot, and the sum for each row."""
+    monkeypatch.setattr(mixing, "STRIDE", 16)
+    given = [*rows, (5, "another text of the id five", "en", "s1", 0), (None, "no id at all", "en", None, 0), (None, "no id at all", "en", None, 0)]
+    d = spark.createDataFrame(given, SCHEMA)
+    block = 16
+    sized = mixing.sizes(d).withColumn("stride", F.pmod(F.xxhash64("k1", "copy", F.lit(mixing.SEED)), F.lit(len(given) // 16))).collect()
+    want, total = plain_targets({k: r["size"] for k, r in enumerate(sized)}, {k: r.source for k, r in enumerate(sized)})
+    ranks = {s: k + 1 for k, s in enumerate(sorted(total, key=lambda s: (s is None, (s or "").encode())))}
+    taken = Counter()
+    for s in total:
+        line = [r for r in sorted((r for r in sized if r.source == s), key=lambda r: (r.stride, r.k1, r.k2, r.copy)) for _ in range(r["size"])]
+        n = math.ceil(len(line) / block)
+        slots = min(math.floor(want[s] / total[s] * n + 0.5), 2 * n) if n else 0
+        for slot in range(slots):
+            k = plain_place(slot % n, n, ranks[s], slot // n)
+            for r in line[k * block : (k + 1) * block]:
+                taken[r.doc_id, r.k1, r.copy] += 1
+    got = sorted((str(r.doc_id), r["size"], r.taken) for r in mixing.taken(d, block=block).collect())
+    assert got == sorted((str(r.doc_id), r["size"], taken[r.doc_id, r.k1, r.copy]) for r in sized)
+
+
+def test_mixing_draws_each_shard_from_the_shares(spark, monkeypatch):
+    """Shards of nearly one size, each mixed like the whole; all slots once."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 500)
+    plan = spark.createDataFrame([(1, 160_000, 160_000.0), (2, 480_000, 800_000.0), (3, 16, 16.0), (4, 0, 0.0)], "rank long, source_size long, target double")
+    got = mixing.drawn(plan, block=16).collect()
+    by = Counter((r["rank"], r.shard) for r in got)
+    assert sorted((r["rank"], r.slot) for r in got) == [(1, k) for k in range(10_000)] + [(2, k) for k in range(50_000)] + [(3, 0)]
+    shards = 1 + max(r.shard for r in got)
+    assert shards == 121
+    for shard in range(shards):
+        size = sum(by[k, shard] for k in (1, 2, 3))
+        assert abs(size - 60_001 / shards) < 60
+        assert abs(by[1, shard] / size - 1 / 6) < 0.09
+    spread = np.std([by[1, k] for k in range(shards)])
+    assert 0.6 < spread / math.sqrt(496 * 5 / 36) < 1.5
+
+
+def test_mixing_reads_no_text_for_another(spark):
+    """Two rows of one id, one short: each gives its own words only."""
+    long, short, third = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 100), ("b", 3), ("c", 50)))
+    d = spark.createDataFrame([(1, long, "en", "s", 0), (1, short, "en", "s", 0), (2, third, "en", "s", 0), (2, third, "en", "s", 1)], SCHEMA).withColumn("_k1", F.lit("kept")).coalesce(1)
+    whole = {long: set(words(long)), short: set(words(short)), third: set(words(third))}
+    out = mixing.mixed_documents(d, block=4).collect()
+    assert all(r._k1 == "kept" and r.text and any(set(words(r.text)) <= w for w in whole.values()) for r in out)
+    assert sum(len(words(r.text)) for r in out) == sum(r.taken for r in mixing.taken(d, block=4).collect())
+    huge = " ".join(f"h{k}" for k in range(200_000))  # over a mebibyte
+    d = spark.createDataFrame([(1, huge, "en", "s", 0), (2, short, "en", "s", 0)], SCHEMA)
+    got = Counter(w for r in mixing.mixed_documents(d).collect() for w in words(r.text))
+    assert sum(got.values()) == sum(r.taken for r in mixing.taken(d).collect()) and max(got.values()) <= 2
+    assert set(got) <= set(words(huge)) | set(words(short))
+
+
 def test_mixing_source_without_words(spark, rows):
     given = [*rows, (801, "", "en", "s1b", 0), (802, None, "en", "s1b", 0), (803, " \n", "en", "s1b", 2)]
     d = spark.createDataFrame(given, SCHEMA)
