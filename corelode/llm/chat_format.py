@@ -1,7 +1,8 @@
 """Chat formatting: heterogeneous records to canonical turns, and turns to marked text with a loss mask.
 
 Method: schema fingerprinting. The nested field paths of a record (list places left out, sorted) are hashed; the
-fingerprint selects a declarative mapping that says where the turns of such a layout are. Layouts built in: role/text rows,
+fingerprint selects a declarative mapping that says where the turns of such a layout are: the one that reads most of these paths among those whose
+paths are all there (of equals the first), so fields that no mapping reads don't make a layout unknown. Layouts built in: role/text rows,
 prompt/completion, prompt/response, instruction/input/output, lists of messages with role/content, and lists with
 from/value. Others are added by passing more mappings.
 
@@ -9,8 +10,10 @@ Template: each turn is START role NEWLINE text END NEWLINE. A backslash or a con
 backslash (`\\` becomes `\\\\`, `<|` becomes `<\\|`, and a newline in a role becomes `\\n`), so that no text can open or close a turn and
 parse() gives back exactly what was formatted. The loss mask covers the texts of assistant turns.
 
-Defined results: a null text or role is empty; turns are ordered by turn, then role and text (repeated rows stay, nulls
-first); a null conversation id is a conversation of its own; an unknown layout gives no turns and is returned with its fingerprint by unmapped().
+Defined results: a null text or role is empty; turns are ordered by turn, then place in their record, then role and text (repeated rows stay, nulls
+first); a null conversation id is a conversation of its own; an unknown layout gives no turns and is returned with its fingerprint by unmapped(). An empty table gives
+an empty result. Columns of records named layout, place, role or text are replaced by those of the turns; other columns of turns are left out of the formatted
+conversations. A conversation is one row, however long its texts, so its length is bounded by what a string may hold.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>", "\\"
@@ -92,11 +96,16 @@ def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
     return turns
 
 
+def select(paths: frozenset, mappings: tuple) -> dict | None:
+    """The mapping that reads most of the paths of a layout, of those that find all they read."""
+    fit = [m for m in mappings if mapping_paths(m) <= paths]
+    return max(fit, key=lambda m: len(mapping_paths(m)), default=None)
+
+
 def _canonicalise(mappings: tuple, keys: list[str]):
-    table = {fingerprint(mapping_paths(m)): m for m in mappings}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple[str, dict | None]] = {}
+        seen: dict[frozenset, tuple[str, dict | None]] = {}
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
@@ -107,7 +116,7 @@ def _canonicalise(mappings: tuple, keys: list[str]):
                     if paths not in seen:
                         if len(seen) > 10_000:
                             seen.clear()
-                        seen[paths] = (f := fingerprint(paths), table.get(f))
+                        seen[paths] = fingerprint(paths), select(paths, mappings)
                     mark, mapping = seen[paths]
                     for k, (role, text) in enumerate(canonical(record, mapping) if mapping else [(None, None)]):
                         row.append(i), prints.append(mark), place.append(k if mapping else None), roles.append(role), texts.append(text)
@@ -142,24 +151,23 @@ def marked(role, text):
     return F.concat(F.lit(START), name, F.lit("\n"), escaped(text), F.lit(END), F.lit("\n"))
 
 
-def format_chat(turns: DataFrame, id_col: str = "conv_id", order: tuple[str, ...] = ("turn",)) -> DataFrame:
+def format_chat(turns: DataFrame, id_col: str = "conv_id", order: tuple[str, ...] = ("turn", "place")) -> DataFrame:
     """One row per conversation: id_col, n_turns, formatted, and loss_spans (start and length, in characters of
-    formatted, of each assistant text in order). The output holds a whole conversation in a row, so its length is bounded
-    by what a string may hold."""
+    formatted, of each assistant text in order). Columns of `order` that turns doesn't have are passed over; rows of turns_of()
+    that no mapping knows (a null place) are no turns."""
+    order = [c for c in order if c in turns.columns]
+    turns = turns.where("place IS NOT NULL") if "place" in turns.columns else turns
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    one = F.struct(*[F.col(c) for c in order], role.alias("role"), text.alias("text"), marked(role, text).alias("piece"))
-    convs = turns.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("_turns"))
+    rows = turns.select(id_col, *[F.col(c).alias(f"_{k}") for k, c in enumerate(order)], role.alias("role"), text.alias("text"), marked(role, text).alias("piece"))
+    line = W.partitionBy(id_col).orderBy(*[f"_{k}" for k in range(len(order))], "role", "text")
     # the length of a piece before its text is known from its role
-    lead = lambda x: F.length(marked(x["role"], F.lit(""))) - len(END) - 1
-    ends = F.aggregate(
-        "_turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["piece"])).alias("at"),
-            F.when(x["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + lead(x)).cast("bigint").alias("start"), F.length(escaped(x["text"])).cast("bigint").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    return convs.select(id_col, F.size("_turns").cast("long").alias("n_turns"), F.array_join(F.transform("_turns", lambda x: x["piece"]), "").alias("formatted"), ends["spans"].alias("loss_spans"))
+    lead = F.length(marked(F.col("role"), F.lit(""))) - len(END) - 1
+    span = F.struct((F.col("at") - F.length("piece") + lead).alias("start"), F.length(escaped(F.col("text"))).cast("bigint").alias("length"))
+    rows = rows.withColumns({"seq": F.row_number().over(line), "at": F.sum(F.length("piece")).over(line.rowsBetween(W.unboundedPreceding, 0))})
+    one = F.struct("seq", "piece", F.when(F.col("role") == "assistant", span).alias("span"))
+    convs = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("_turns"))
+    spans = F.transform(F.filter("_turns", lambda x: x["span"].isNotNull()), lambda x: x["span"])
+    return convs.select(id_col, F.size("_turns").cast("long").alias("n_turns"), F.array_join(F.transform("_turns", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def unescape(text: str) -> str:
@@ -202,11 +210,34 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return formatted.select(id_col, "formatted", "loss_spans").mapInArrow(_read_back(id_col), f"`{id_col}` {kind}, formatted string, turns array<struct<role:string,text:string>>, learned array<string>")
 
 
+def mixed_layouts(rows: DataFrame) -> DataFrame:
+    """conversations (conv_id, turn, role, text) as records (conv_id, turn, record) in five layouts, dealt by conv_id: role/text rows, lists of
+    messages, from/value lists, and prompt/response or instruction/output where an assistant follows a user."""
+    line = W.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    layout = F.coalesce(F.pmod("conv_id", F.lit(5)), F.lit(0))
+    pairs = layout >= 3
+    ahead, back = (f("s", 1).over(line) for f in (F.lead, F.lag))
+    asks = lambda a, b: pairs & (a["role"] == "user") & (b["role"] == "assistant") & (a["turn"] < b["turn"])
+    rows = rows.withColumn("s", F.struct("turn", "role", "text"))
+    rows = rows.withColumns({"ahead": ahead, "asks": F.coalesce(asks(F.col("s"), ahead), F.lit(False)), "told": F.coalesce(asks(back, F.col("s")), F.lit(False))}).where("not told")
+    known = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt", "system", "system")])
+    json = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    col = F.col
+    record = (
+        F.when(col("asks") & (layout == 3), json(col("text").alias("prompt"), col("ahead.text").alias("response")))
+        .when(col("asks"), json(col("text").alias("instruction"), col("ahead.text").alias("output")))
+        .when(layout == 1, json(F.array(F.struct("role", col("text").alias("content"))).alias("messages")))
+        .when((layout == 2) & F.array_contains(F.map_keys(known), col("role")), json(F.array(F.struct(F.try_element_at(known, col("role")).alias("from"), col("text").alias("value"))).alias("conversations")))
+        .otherwise(json("role", "text"))
+    )
+    return rows.select("conv_id", "turn", record.alias("record"))
+
+
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = f"{END}{START}assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
-    records = rows.unionByName(extra).select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    records = mixed_layouts(rows.unionByName(extra))
     back = read_back(format_chat(turns_of(records)))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     learned = F.array_join("learned", "")

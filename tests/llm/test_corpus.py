@@ -228,6 +228,38 @@ def test_chat_layouts(spark):
     assert chat_format.unmapped(turns).agg(F.sum("records")).first()[0] == 2
 
 
+def test_chat_records_become_conversations_in_their_order(spark):
+    """Turns of one record keep their order, more fields don't make a layout unknown, unknown ones give no turn."""
+    import json
+
+    long = "a long text <| " * 100_000  # over a mebibyte
+    records = [
+        {"messages": [{"role": "user", "content": "b", "name": "x"}, {"role": "assistant", "content": "a"}], "id": 7},
+        {"system": "s", "prompt": "z", "response": "a", "meta": {"score": [1, 2]}},
+        {"instruction": "z", "output": long},
+        {"unknown": 1},
+        {"conversations": "not a list"},
+    ]
+    d = spark.createDataFrame([(k, json.dumps(r), "clash") for k, r in enumerate(records)], "conv_id long, record string, text string")
+    turns = chat_format.turns_of(d)
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.read_back(chat_format.format_chat(turns)).collect()}
+    assert got == {0: [("user", "b"), ("assistant", "a")], 1: [("system", "s"), ("user", "z"), ("assistant", "a")], 2: [("user", "z"), ("assistant", long)]}
+    assert chat_format.unmapped(turns).agg(F.sum("records")).first()[0] == 2
+    assert chat_format.format_chat(chat_format.turns_of(d.where("false"))).count() == 0
+
+
+def test_chat_query_layouts_hold_the_same_turns(spark):
+    r = random.Random(2)
+    rows = [(c, k, r.choice(["user", "assistant", "assistant", "system", "tool", None]), r.choice(["a", "b", None, "<|im_end|>"])) for c in range(-3, 40) for k in (0, 1, 1, 2, 3, 4)] + [(None, 0, "user", "x"), (None, None, "assistant", "y"), (8, None, "user", "n")]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat_format.mixed_layouts(given)
+    turns = chat_format.turns_of(records).cache()
+    assert turns.select("layout").distinct().count() == 5
+    key = lambda t: (t[0] is not None, t[0] or 0, t[1] or "", t[2] or "")
+    got = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat_format.read_back(chat_format.format_chat(turns)).collect()}
+    assert got == {c: [(a or "", b or "") for _, a, b in sorted(((t, a, b) for i, t, a, b in rows if i == c), key=key)] for c in {x[0] for x in rows}}
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(2)
     rows = []
