@@ -6,9 +6,12 @@ least `least` documents hold). A document's lines are first looked up in the fil
 with the counts, so a false hit costs a row and never a line. insert() and delete() touch the counts of the keys concerned and add
 or remove fingerprints of keys that cross the threshold, so deleting documents brings back what their lines had removed.
 
+A line's key is known by the 128-bit hash of its stripped and lower-cased bytes, in all tables.
+
 Defined results: a null or empty text is one empty line; a line without `chars` code points (after stripping) is never
-dropped; repeated lines of one document count once as a document; each row counts as a document, so ids are expected to be unique; a row
-with a null id neither counts nor loses lines. An input column named like an output is replaced. An empty table gives an empty result.
+dropped; repeated lines of one document count once as a document, and so do all rows of one id; of the rows of the last id that holds a line each keeps it. A row
+with a null id neither counts nor loses lines. A very long text or line is handled whole. An input column named like an output is replaced. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +28,13 @@ from . import textops as X
 from .frames import without, written
 
 STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
-#: Keys per shard, and how many tasks share the lookups of a shard.
-SHARD_KEYS, SALTS = 500_000, 8
+#: Keys per shard, and lines that one task looks up.
+SHARD_KEYS, LOOKUPS = 500_000, 500_000
+#: Documents of one line that go to one task when the exact counts are joined; lines of more are dealt out.
+HOT = 100_000
 SLOTS = 4
+#: Partitions that are asked for at most; tasks of a larger number of lines just take more of them.
+MOST_TASKS = 10_000
 
 
 class CuckooFilter:
@@ -137,7 +144,7 @@ def line_refs(docs: DataFrame, chars: int, id_col: str, text_col: str) -> DataFr
 
 
 def _counts(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.max("doc_id").alias("last"))
+    return refs.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("documents"), F.max("doc_id").alias("last"))
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,25 +167,45 @@ def _change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("shard").combine_chunks().slice(0, 1), pa.array([None if full else made.bytes()], pa.binary())], names=["shard", "filter"])
 
 
+def _share(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of the shares of its line's documents each row belongs to; hot: rows h1, h2, shares, ordered by (h1, h2)."""
+    out = np.zeros(len(h1), np.int64)
+    some = np.flatnonzero(np.isin(h1, hot[:, 0]))
+    at = np.searchsorted(hot[:, 0], h1[some])
+    while len(some):  # lines that agree in the first hash only stand next to each other
+        found = hot[at, 1] == h2[some]
+        rows = some[found]
+        out[rows] = (X.mix(doc[rows].view(np.uint64)) % hot[at[found], 2].astype(np.uint64)).astype(np.int64)
+        some, at = some[~found], at[~found] + 1
+        more = at < len(hot)
+        some, at = some[more], at[more]
+        more = hot[at, 0] == h1[some]
+        some, at = some[more], at[more]
+    return out
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose hash may be in their shard's filter; the filter's row comes before the shard's others."""
-    shard, current = None, None
+    """Rows whose hash may be in their shard's filter, with their line's share; the filter's row (kind 0) and the hot lines
+    (kind 1, with the number of shares as their document) come before the shard's others."""
+    shard, current, hot = None, None, np.zeros((0, 3), np.int64)
     for batch in batches:
-        s, first = batch.column("shard").to_numpy(), batch.column("filter").is_valid().to_numpy(zero_copy_only=False)
-        h1 = batch.column("h1").fill_null(0).to_numpy()
-        keep = np.zeros(len(s), bool)
-        at = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | first[1:]])) if len(s) else []
+        s, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+        h1, h2, doc = (batch.column(c).fill_null(0).to_numpy() for c in ("h1", "h2", "doc_id"))
+        keep, share = np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+        at = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (kind[1:] != kind[:-1])])) if len(s) else []
         for a, b in zip(at, [*at[1:], len(s)], strict=True):
             if s[a] != shard:
-                shard, current = s[a], None
-            if first[a]:
+                shard, current, hot = s[a], None, np.zeros((0, 3), np.int64)
+            if kind[a] == 0:
                 current = CuckooFilter.of(batch.column("filter")[int(a)].as_py())
-                a += 1
-            if current is not None and b > a:
+            elif kind[a] == 1:
+                hot = np.unique(np.concatenate([hot, np.stack([h1[a:b], h2[a:b], doc[a:b]], axis=1)]), axis=0)
+            elif current is not None:
                 keep[a:b] = current.contains(h1[a:b])
+                share[a:b] = _share(h1[a:b], h2[a:b], doc[a:b], hot)
         if keep.any():
             hit = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([hit.column(c) for c in ("h1", "h2", "doc_id")], names=["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([*[hit.column(c) for c in ("h1", "h2", "doc_id")], pa.array(share[keep])], names=["h1", "h2", "doc_id", "share"])
 
 
 def _filters(shared: DataFrame, shards: int) -> DataFrame:
@@ -236,19 +263,26 @@ class LineIndex:
         return self._changed(written(self.refs.join(gone, "doc_id", "left_anti"), "refs"), touched)
 
     def drops(self, refs: DataFrame) -> DataFrame:
-        """(doc_id, h1, h2): the lines that documents lose."""
-        lines = refs.select(F.pmod("h1", F.lit(self.shards)).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "h1", "h2", "doc_id", F.lit(None).cast("binary").alias("filter"))
-        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-        none = [F.lit(None).cast("long").alias(c) for c in ("h1", "h2", "doc_id")]
-        rows = lines.unionByName(self.filters.select("shard", salts, *none, "filter"))
-        dealt = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
-        hits = dealt.mapInArrow(_probe, "h1 long, h2 long, doc_id long")
-        shared = self.counts.where(F.col("documents") >= self.least).select("h1", "h2", "last")
-        return hits.join(shared, ["h1", "h2"]).where("doc_id < last").select("doc_id", "h1", "h2")
+        """(doc_id, h1, h2): the lines that documents lose. refs: a written table. As many tasks look lines up as there are
+        LOOKUPS lines, each with its shard's filter."""
+        salts = max(1, -(-refs.count() // (LOOKUPS * self.shards)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+        null = lambda c: F.lit(None).cast("binary" if c == "filter" else "long").alias(c)
+        shares = F.ceil(F.col("documents") / HOT)
+        shared = self.counts.where(F.col("documents") >= self.least).select("h1", "h2", "last", shares.alias("shares"))
+        shard = F.pmod("h1", F.lit(self.shards)).alias("shard")
+        filters = self.filters.select("shard", every, F.lit(0).alias("kind"), null("h1"), null("h2"), null("doc_id"), "filter")
+        hot = shared.where("shares > 1").select(shard, every, F.lit(1).alias("kind"), "h1", "h2", F.col("shares").alias("doc_id"), null("filter"))
+        lines = refs.select(shard, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), F.lit(2).alias("kind"), "h1", "h2", "doc_id", null("filter"))
+        rows = lines.unionByName(filters).unionByName(hot)
+        dealt = rows.repartition(min(salts * self.shards, MOST_TASKS), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+        hits = dealt.mapInArrow(_probe, "h1 long, h2 long, doc_id long, share long")
+        shared = shared.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+        return hits.join(shared, ["h1", "h2", "share"]).where("doc_id < last").select("doc_id", "h1", "h2")
 
     def dedup(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-        """docs with n_lines, n_dropped and, as its text, the lines that stay. refs: its line_refs, where at hand."""
-        refs = line_refs(docs, self.chars, self.id_col, self.text_col) if refs is None else refs
+        """docs with n_lines, n_dropped and, as its text, the lines that stay. refs: its line_refs as a written table, where at hand."""
+        refs = written(line_refs(docs, self.chars, self.id_col, self.text_col), "refs") if refs is None else refs
         lost = self.drops(refs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_lost"))
         docs = without(docs, "n_lines", "n_dropped", "_id", "_lost")
         joined = docs.join(lost, F.col(self.id_col).cast("long") == F.col("_id"), "left").drop("_id")

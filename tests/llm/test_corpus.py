@@ -382,6 +382,34 @@ def test_line_dedup_insert_and_delete(spark):
     assert line_dedup.LineIndex.build(d.where("false")).dedup(d.where("false")).count() == 0
 
 
+def test_line_dedup_counts_ids_not_rows(spark):
+    line = "a line that is surely longer than forty characters"
+    five = spark.createDataFrame([(1, line)] * 5 + [(2, line)], "doc_id long, text string")
+    assert [(r.n_dropped, r.text) for r in line_dedup.LineIndex.build(five).dedup(five).collect()] == [(0, line)] * 6
+    six = spark.createDataFrame([(k, f"{line}\nown {k}") for k in (1, 1, 2, 3, 4, 5, 5)] + [(None, line)], "doc_id long, text string")
+    got = sorted(line_dedup.LineIndex.build(six).dedup(six).collect(), key=lambda r: (r.doc_id or 0, r.text))
+    assert [(r.doc_id, r.n_dropped) for r in got] == [(None, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (5, 0)]
+
+
+@pytest.mark.parametrize(("hot", "lookups"), [(1, 10), (3, 1000)])
+def test_line_dedup_of_lines_with_many_documents(spark, monkeypatch, hot, lookups):
+    """Hot lines are dealt out in shares and lookups in many tasks; texts of over a mebibyte are handled whole."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "LOOKUPS", lookups)
+    rows = [*line_rows(), (60, "\n".join([f"a line of its own in a very long text, number {k}" for k in range(25_000)] + [line_rows()[-1][1]]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.LineIndex.build(d).dedup(d).collect()} == plain_lines(rows)
+
+
+def test_shares_of_lines_that_agree_in_one_hash():
+    hot = np.array([[5, 1, 2], [5, 7, 3], [9, 0, 4]], np.int64)
+    h1, h2 = np.array([5, 5, 9, 5, 4]), np.array([7, 1, 0, 8, 1])
+    doc = np.arange(5)
+    got = line_dedup._share(h1, h2, doc, hot)
+    mixed = line_dedup.X.mix(doc.view(np.uint64))
+    assert got.tolist() == [int(mixed[0] % np.uint64(3)), int(mixed[1] % np.uint64(2)), int(mixed[2] % np.uint64(4)), 0, 0]
+
+
 def test_line_dedup_grows_tenfold(spark):
     text = lambda lo, hi: "\n".join(f"a line that several documents hold in common, number {k}" for k in range(lo, hi))
     rows = [(k, text(0, 100) if k < 5 else text(100, 1000)) for k in range(10)]
