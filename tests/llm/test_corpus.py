@@ -654,8 +654,11 @@ def test_attention_gradient_lowers_the_loss():
     assert ((p >= 0.5) == (y == 1)).mean() > 0.95
 
 
-def test_exact_dedup(spark):
-    rows = [(5, "a  b"), (2, "a b"), (9, "a\tb"), (1, None), (3, ""), (4, " "), (6, "\n\n"), (7, "x" * 10000), (8, "x" * 10000), (None, "a b"), (None, "alone"), (2, "a b"), (11, "A b")]
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_exact_dedup(spark, monkeypatch, most):
+    """Without salts, with salts of the larger groups, and with salts of all groups."""
+    monkeypatch.setattr(exact_dedup, "MOST", most)
+    rows = [(5, "a  b"), (2, "a b"), (9, "a\tb"), (1, None), (3, ""), (4, " "), (6, "\n\n"), (7, "x" * 2_000_000), (8, "x" * 2_000_000), (None, "a b"), (None, "alone"), (2, "a b"), (11, "A b")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keep_id", F.lit(0)).repartition(3)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
