@@ -460,6 +460,55 @@ def test_licenses_of_wrapped_texts(spark):
             assert label in got[i].labels.split(",") and got[i].score >= 0.8
 
 
+def plain_licenses(text, share=0.8, templates=licenses.TEMPLATES, phrases=licenses.PHRASES):
+    """Phrase places and template containment of every block, word by word."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+    w = split(text or "")
+    places = sorted((k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+    base = {label for _, label in places}
+    best = {}
+    for label, t in templates:
+        words_ = split(t)
+        want = set(words_)
+        need = len(want) if len(want) < licenses.WHOLE else math.ceil(share * len(want))
+        stride = licenses.STRIDE
+        while stride < len(words_):
+            stride *= 2
+        for lo in range(0, len(w), stride):
+            n = len(want & set(w[lo : lo + 2 * stride]))
+            if n >= need:
+                best[label] = max(best.get(label, 0.0), n / len(want))
+    score = 1.0 if places else max(best.values(), default=0.0)
+    return len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(best))), pytest.approx(score)
+
+
+def test_licenses_against_a_plain_version(spark):
+    r = random.Random(5)
+    own = [("one", " ".join(f"k{k}" for k in range(12))), ("two", " ".join(f"k{k}" for k in range(6, 40))), ("few", "k1 k2 k3"), ("twice", "k9 k9 " + " ".join(f"m{k}" for k in range(15)))]
+    vocabulary = [w for _, t in own for w in t.split()] + ["x", "MIT", "license", "cc", "By", "é"]
+    texts = [None, "", " ".join(t for _, t in own)]
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 6)):
+            t = r.choice(own)[1].split()
+            parts += [w for w in t if r.random() < 0.9] if r.random() < 0.6 else r.choices(vocabulary, k=r.randint(1, 30))
+            r.random() < 0.3 and r.shuffle(parts)
+        texts.append("".join(w + r.choice([" ", "\n# ", ", "]) for w in parts))
+    for templates, given in ((own, texts), (licenses.TEMPLATES, [t for _, t in licenses.TEMPLATES] + ["\n".join("// " + x for x in t.split(",")) for _, t in licenses.TEMPLATES] + [" ".join(r.sample(t.split(), k=len(t.split()) * 5 // 6)) for _, t in licenses.TEMPLATES])):
+        d = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+        got = {x.doc_id: x for x in licenses.license_scan(d, templates=templates).collect()}
+        for k, text in enumerate(given):
+            x = got[k]
+            assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score) == plain_licenses(text, templates=templates), text
+
+
+def test_licenses_of_repeats_and_long_texts(spark):
+    long = "word " * 400_000 + dict(licenses.TEMPLATES)["mit"]  # over a mebibyte
+    d = spark.createDataFrame([(1, long), (1, "mit license"), (1, "mit license"), (None, "mit license")], "doc_id long, text string")
+    got = licenses.license_scan(d).collect()
+    assert sorted((str(r.doc_id), r.n_words > 400_000, r.labels) for r in got) == [("1", False, "mit"), ("1", False, "mit"), ("1", True, "mit"), ("None", False, "mit")]
+
+
 def test_licenses_of_a_long_template(spark):
     long = [f"t{k}" for k in range(90)]
     texts = [" ".join(["x"] * k + long) + " x\n" * 50 for k in (0, 1, 31, 45, 64, 89, 200)]
