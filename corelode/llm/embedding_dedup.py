@@ -6,15 +6,16 @@ double precision, however large it is, so neither dense groups nor partition bor
 takes follows from its number of distinct vectors (runs of spread-out vectors hold about RUN). A pair at the threshold shares
 `bits` signs with probability (1 - angle / pi) ** bits whatever the other vectors are, so the number of passes follows
 from that too: as many as leave at most MISS of such pairs unseen, at least PASSES. Where runs would save nothing over that many
-passes, the label is one run and the result is exact. Passes are independent; the links they verify are united into components.
+passes, the label is one run and the result is exact. Passes are independent and run a few at a time; the links they verify are united into components.
 Dense groups cost the square of their size in each pass.
 
 The members of a component are then compared block against block, which counts every link of every member without
-emitting a pair. Equal vectors are one vertex with a multiplicity, so copies cost nothing.
+emitting a pair. Equal vectors (known by 128 bits of their label and components) are one vertex with a multiplicity, so copies cost nothing. Float vectors travel as floats;
+products are taken in double precision.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and vectors without label,
-link with nothing; vectors of different length never link; a row with a null id is returned with no links. Ties go to the smallest id. An empty
-table gives an empty result.
+link with nothing; vectors of different length never link; a row with a null id is returned with no links. Ties go to the smallest id. Repeated rows of an id
+each count as a vector. Other columns of the input, whatever their names, aren't returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .frames import written
+from .frames import join_dealt, written
 from .graph import components
 
-PASSES, RUN, BITS, BLOCK = 16, 512, 62, 1024
+PASSES, RUN, BITS, BLOCK = 16, 512, 62, 2048
+#: Passes that are shuffled at a time; what they wrote may go before the next.
+AT_ONCE = 4
 #: Share of the pairs at the threshold that all passes together may leave unseen.
 MISS = 1e-6
 
@@ -60,8 +63,8 @@ def _plan(cosine: float, least: int) -> list[tuple[int, int]]:
     return plan
 
 
-def _keys(seed: int, vectors: bool):
-    """A row for each vector and pass with the key of its run; without vectors, a count for each run of the batch."""
+def _keys(seed: int, vectors: bool, low: int, high: int):
+    """A row for each vector and pass low .. high - 1 with the key of its run; without vectors, a count for each run of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +73,7 @@ def _keys(seed: int, vectors: bool):
                 part = batch.filter(pa.array(sizes == dim))
                 bits, passes, label = (part.column(c).to_numpy().astype(np.int64) for c in ("bits", "passes", "label"))
                 unit = _units(_matrix(part.column("embedding"))) if bits.any() else None
-                for p in range(int(passes.max())):
+                for p in range(low, min(high, int(passes.max()))):
                     key = np.zeros(len(part), np.int64)
                     if unit is not None:
                         planes = np.random.default_rng([seed, p, int(dim)]).standard_normal((int(dim), BITS))
@@ -140,56 +143,62 @@ def _counted(cosine: float):
             vectors, links = t.column("embedding").combine_chunks(), np.zeros(len(t), np.int64)
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 unit = _units(_matrix(vectors.slice(lo, hi - lo)))
-                near = unit @ unit.T >= cosine
-                np.fill_diagonal(near, False)
-                if bi[lo] != bj[lo]:  # pairs inside a block count where it meets itself
-                    near &= own[lo:hi, None] != own[None, lo:hi]
-                links[lo:hi] = near @ copies[lo:hi]
+                if bi[lo] == bj[lo]:
+                    near = unit @ unit.T >= cosine
+                    np.fill_diagonal(near, False)
+                    links[lo:hi] = near @ copies[lo:hi]
+                else:  # pairs inside a block count where it meets itself
+                    a, b = np.flatnonzero(own[lo:hi] == bi[lo]), np.flatnonzero(own[lo:hi] == bj[lo])
+                    near = unit[a] @ unit[b].T >= cosine
+                    links[lo + a], links[lo + b] = near @ copies[lo + b], copies[lo + a] @ near
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], names=["rep", "links"])
 
     return run
 
 
+def _in_blocks(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Sends each row of a key with `blocks` blocks to all pairs of blocks that its own is part of."""
+    return (
+        rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(*keys, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "embedding", *more)
+        .repartition(*keys, "bi", "bj")
+        .sortWithinPartitions(*keys, "bi", "bj")
+    )
+
+
 def embedding_links(vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id for every row."""
-    given = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    given = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("embedding"), F.col(label_col).cast("long").alias("label"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce((F.size("embedding") > 0) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    good = given.where(sound)
-    reps = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    same = ["k1", "k2"]
+    good = given.where(sound).withColumns({k: F.xxhash64(F.lit(n), "label", F.size("embedding"), "embedding") for n, k in enumerate(same)})
+    reps = good.groupBy(*same, "label").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     reps = written(reps.withColumn("dim", F.size("embedding")), "vectors")
     plan = F.array(*[F.struct(F.lit(b).alias("bits"), F.lit(p).cast("long").alias("passes")) for b, p in _plan(cosine, passes)])
     asked = F.greatest(F.ceil(F.log2(F.count("*") / RUN)), F.lit(0)).cast("int")
     # written, so that a few labels or a few large runs are seen to be few and aren't dealt out by their keys
     labels = written(reps.groupBy("label", "dim").agg(F.element_at(plan, asked + 1).alias("plan")).select("label", "dim", "plan.*"), "labels")
-    reps_of = reps.join(labels, ["label", "dim"])
+    reps_of = reps.select("label", "dim", "rep", "embedding").join(labels, ["label", "dim"])
     run = ["pass", "label", "dim", "key"]
     of = "pass int, key long, label long, dim int"
-    large = reps_of.mapInArrow(_keys(seed, False), f"{of}, n long").groupBy(*run).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    keyed = reps_of.mapInArrow(_keys(seed, True), f"{of}, rep long, embedding array<double>").join(written(large, "large"), run, "left")
-    blocks = F.coalesce("blocks", F.lit(1))
-    runs = (
-        keyed.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(*run, F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "embedding")
-        .repartition(*run, "bi", "bj")
-        .sortWithinPartitions(*run, "bi", "bj")
-    )
-    links = runs.mapInArrow(_compared(cosine), "a long, b long")
+    links = None
+    for low in range(0, labels.agg(F.coalesce(F.max("passes"), F.lit(1))).first()[0], AT_ONCE):
+        span = low, low + AT_ONCE
+        large = reps_of.mapInArrow(_keys(seed, False, *span), f"{of}, n long").groupBy(*run).agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+        keyed = reps_of.mapInArrow(_keys(seed, True, *span), f"{of}, rep long, embedding {kind}").join(written(large, "large"), run, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        some = written(_in_blocks(keyed, run).mapInArrow(_compared(cosine), "a long, b long"), "links")
+        links = some if links is None else links.unionByName(some)
     found = written(components(links).withColumnRenamed("id", "rep"), "found")
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = found.join(sizes, "component").join(reps, "rep")
-    pairs = (
-        members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "copies", "embedding")
-        .repartition("component", "bi", "bj")
-        .sortWithinPartitions("component", "bi", "bj")
-    )
-    counts = pairs.mapInArrow(_counted(cosine), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    whole = reps.join(found, "rep", "left").join(counts, "rep", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    members = join_dealt(found, sizes, ["component"], "rep").join(reps.select("rep", "copies", "embedding"), "rep")
+    counts = _in_blocks(members, ["component"], "copies").mapInArrow(_counted(cosine), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    whole = reps.drop("embedding").join(found, "rep", "left").join(counts, "rep", "left").select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     alone = given.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.join(whole, ["label", "embedding"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return join_dealt(good.select("vec_id", *same), whole, same, "vec_id").select("vec_id", "n_links", "component_id").unionByName(alone)
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:

@@ -307,6 +307,25 @@ def test_embedding_links_of_a_dense_group(spark):
     assert [got[k] for k in range(n)] == list(zip(links.tolist(), label.tolist(), strict=True))
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """20,000 spread-out vectors of one label with 2,000 planted pairs at cosines of 0.98 to 0.985: the passes find all but one in a hundred
+    at most (by their plan one in a million)."""
+    r = np.random.default_rng(8)
+    n, pairs, dim = 20_000, 2_000, 64
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    v = unit(r.standard_normal((n, dim)))
+    side = r.standard_normal((pairs, dim))
+    side = unit(side - (side * v[:pairs]).sum(axis=1, keepdims=True) * v[:pairs])
+    c = r.uniform(0.98001, 0.985, (pairs, 1))
+    v = np.concatenate([v, c * v[:pairs] + np.sqrt(1 - c * c) * side])
+    d = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(8)
+    assert embedding_dedup._plan(0.98, embedding_dedup.PASSES)[6][0] == 6  # such a label is not compared whole
+    got = {x.vec_id: x.component_id for x in embedding_dedup.embedding_links(d).collect()}
+    assert len(got) == n + pairs
+    assert sum(got[n + k] == k for k in range(pairs)) >= 0.99 * pairs
+    assert all(got[k] == k for k in range(n))
+
+
 def hot_edges(n, distinct):
     """Edge rows of one minimiser: n documents with two edges, of which the second repeats after `distinct` documents."""
     doc = np.arange(n)
