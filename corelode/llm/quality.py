@@ -1,15 +1,16 @@
 """Quality classifier: a document is a bag of passages, scored by gated attention.
 
-Method: attention-based multiple-instance learning. A text is cut into passages of PASSAGE words; each passage is encoded from its words and
-bytes (letter case, digits, signs, word lengths, how much repeats) and a tanh layer; gated attention weights, learned from
-document labels alone, say how much each passage counts, and a logistic unit scores the weighted sum of the passages' encodings. Scoring takes every passage of
-every text and runs where the texts are; only the model (a few kilobytes) is broadcast.
+Method: attention-based multiple-instance learning. A text is cut into passages of PASSAGE words. The encoder of a passage adds the learned embeddings of its
+words (a table of BUCKETS rows, taken by the words' hashes; their mean) to a learned layer over its form (letter case, digits, signs, word lengths, how much repeats), under a
+tanh; gated attention weights, learned from document labels alone, say how much each passage counts, and a logistic unit scores the weighted sum of the passages'
+encodings. All of it is trained together. Scoring takes every passage of every text and runs where the texts are; only the model (some 70 kilobytes) is sent to the tasks.
 
-Training uses at most SAMPLE labelled documents (the first by a hash of the id; whole texts), whose passage encodings, a few megabytes, are fitted on
-the driver with a fixed seed. Rows whose crc32 of the id (as text) leaves 1 on division by 3 are never learned from.
+Training uses at most SAMPLE labelled documents and PASSAGES passages (documents in the order of a hash of their id, whole texts; one whose passages alone are more
+isn't learned from), which is 20 megabytes at most, fitted on the driver with a fixed seed. Rows whose crc32 of the id (as text) leaves 1 on division by 3 are never learned from.
 
 Defined results: a null or empty text is one passage without words; it gets a score like any other. Labels that are null are
-ignored; of several labels of one id the smallest counts. Without labelled rows of both kinds every score is 0.5. A row with a null id is scored and counts as held out
+ignored; of several labels of one id the smallest counts. Without labelled rows of both kinds, or with empty tables, every score is 0.5. Repeated rows and ids are scored row by row
+and learned from as rows of their own, within the bounds. A very long text is scored over all its passages. A row with a null id is scored and counts as held out
 only if its remainder says so (null: false). An input column named like an output is replaced.
 """
 
@@ -21,14 +22,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .frames import without
+from .frames import without, written
 
-PASSAGE, SAMPLE = 48, 3000
-HIDDEN, ATTENTION, STEPS, RATE = 16, 8, 300, 0.02
+PASSAGE, SAMPLE, PASSAGES = 48, 3000, 100_000
+#: Rows of the embedding table (a power of two), widths of the layers, and the fitting.
+BUCKETS, HIDDEN, ATTENTION = 1024, 16, 8
+BATCH, STEPS, RATE, DECAY = 256, 300, 0.02, 1e-4
 
 _CLASSES = np.full(256, 7, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"()-", b"!?", b"|/\\<>={}[]_", b"*#%&$@^~+`")):
@@ -39,8 +43,26 @@ KINDS = 9
 FEATURES = KINDS + 9
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Encodings of the passages of each text, and where each text's begin (every text has at least one)."""
+@dataclass
+class Bags:
+    """Passages of texts: their form (a row each), the buckets of their words (n words each), and where each text's passages begin."""
+
+    form: np.ndarray
+    words: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+
+    def of(self, texts: np.ndarray) -> Bags:
+        """The bags of these texts, in their order."""
+        size = np.diff(self.first)[texts]
+        at = np.repeat(self.first[:-1][texts], size) + X.ranges(size)
+        begin = np.cumsum(self.n) - self.n
+        words = self.words[np.repeat(begin[at], self.n[at]) + X.ranges(self.n[at])]
+        return Bags(self.form[at], words, self.n[at], np.concatenate([[0], np.cumsum(size)]))
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> Bags:
+    """The passages of each text (every text has at least one)."""
     words = X.find_words(data, offsets)
     n = np.diff(words.first)
     count = np.maximum(1, -(-n // PASSAGE))
@@ -48,7 +70,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     total = int(first[-1])
     out = np.zeros((total, FEATURES))
     if not len(words.starts):
-        return out, first
+        return Bags(out, np.zeros(0, np.uint16), np.zeros(total, np.int64), first)
     owner = words.owner()
     passage = first[owner] + (np.arange(len(owner)) - words.first[owner]) // PASSAGE
     size = (words.ends - words.starts).astype(np.float64)
@@ -85,62 +107,96 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     share = np.bincount(owner[order], new, len(n)) / np.maximum(n, 1)
     out[:, k + 8] = np.repeat(np.where(n >= PASSAGE, share, 1.0), count)
-    return out, first
+    return Bags(out, (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint16), in_passage.astype(np.int64), first)
 
 
 @dataclass
 class Model:
-    """Weights of the encoder (w1, b1), gated attention (v, u, a) and scorer (c, d), with the inputs' scale."""
+    """Weights of the encoder (word embeddings e, form layer w, b), gated attention (v, u, a) and scorer (c, d), with the form's scale."""
 
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
+    e: np.ndarray
+    w: np.ndarray
+    b: np.ndarray
     v: np.ndarray
     u: np.ndarray
     a: np.ndarray
     c: np.ndarray
     d: np.ndarray
 
-    def forward(self, x: np.ndarray, first: np.ndarray):
-        n = np.diff(first)
-        at = first[:-1]
-        z = (x - self.mean) / self.scale
-        h = np.tanh(z @ self.w1 + self.b1)
+    def embedded(self, bags: Bags) -> np.ndarray:
+        """The mean embedding of each passage's words; a few thousand passages at a time, so that a long text needs no more."""
+        out = np.zeros((len(bags.n), self.e.shape[1]))
+        end = np.cumsum(bags.n)
+        for lo in range(0, len(bags.n), 4096):
+            n = bags.n[lo : lo + 4096]
+            some = np.flatnonzero(n)
+            if len(some):
+                begin = end[lo] - n[0]
+                at = (end[lo : lo + 4096] - n - begin)[some]
+                out[lo + some] = np.add.reduceat(self.e[bags.words[begin : end[lo + len(n) - 1]]], at, axis=0) / n[some, None]
+        return out
+
+    def forward(self, bags: Bags):
+        n, at = np.diff(bags.first), bags.first[:-1]
+        z = (bags.form - self.mean) / self.scale
+        h = np.tanh(z @ self.w + self.embedded(bags) + self.b)
         t, g = np.tanh(h @ self.v), 1 / (1 + np.exp(-np.clip(h @ self.u, -40, 40)))
-        e = (t * g) @ self.a
-        e = np.exp(e - np.repeat(np.maximum.reduceat(e, at), n))
-        share = e / np.repeat(np.add.reduceat(e, at), n)
+        s = (t * g) @ self.a
+        s = np.exp(s - np.repeat(np.maximum.reduceat(s, at), n))
+        share = s / np.repeat(np.add.reduceat(s, at), n)
         m = np.add.reduceat(h * share[:, None], at, axis=0)
         return z, h, t, g, share, m, 1 / (1 + np.exp(-np.clip(m @ self.c + self.d, -40, 40)))
 
-    def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward(x, first)[-1]
+    def score(self, bags: Bags) -> np.ndarray:
+        return self.forward(bags)[-1]
+
+    def gradients(self, bags: Bags, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean log loss over the texts and its derivative by each weight."""
+        z, h, t, g, share, m, p = self.forward(bags)
+        n, at = np.diff(bags.first), bags.first[:-1]
+        err = (p - y) / len(y)
+        back = np.repeat(err[:, None] * self.c, n, axis=0)
+        dshare = (back * h).sum(axis=1)
+        ds = share * (dshare - np.repeat(np.add.reduceat(share * dshare, at), n))
+        dt, dg = ds[:, None] * self.a * g * (1 - t**2), ds[:, None] * self.a * t * g * (1 - g)
+        dh = (back * share[:, None] + dt @ self.v.T + dg @ self.u.T) * (1 - h**2)
+        word = np.repeat(dh / np.maximum(bags.n, 1)[:, None], bags.n, axis=0)
+        order = np.argsort(bags.words, kind="stable")
+        used, start = np.unique(bags.words[order], return_index=True)
+        de = np.zeros_like(self.e)
+        if len(used):
+            de[used] = np.add.reduceat(word[order], start, axis=0)
+        loss = -np.mean(y * np.log(np.maximum(p, 1e-12)) + (1 - y) * np.log(np.maximum(1 - p, 1e-12)))
+        return float(loss), {"e": de, "w": z.T @ dh, "b": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ dg, "a": ((t * g) * ds[:, None]).sum(axis=0), "c": m.T @ err, "d": err.sum(keepdims=True)}
 
 
-def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 3) -> Model | None:
-    """Full-batch Adam on the mean log loss; None without both kinds of label."""
+WEIGHTS = ("e", "w", "b", "v", "u", "a", "c", "d")
+
+
+def fresh(bags: Bags, seed: int = 3) -> Model:
+    """Weights to start from; all words start alike."""
+    rng = np.random.default_rng(seed)
+    start = lambda *s: rng.standard_normal(s) / np.sqrt(s[0])
+    return Model(bags.form.mean(axis=0), bags.form.std(axis=0) + 1e-3, np.zeros((BUCKETS, HIDDEN)), start(FEATURES, HIDDEN), np.zeros(HIDDEN), start(HIDDEN, ATTENTION), start(HIDDEN, ATTENTION), start(ATTENTION), start(HIDDEN), np.zeros(1))
+
+
+def fit(bags: Bags, y: np.ndarray, seed: int = 3) -> Model | None:
+    """Adam on the mean log loss of batches of texts, with weight decay; None without both kinds of label."""
     if not len(y) or y.min() == y.max():
         return None
-    rng, n, docs = np.random.default_rng(seed), np.diff(first), len(y)
-    start = lambda *s: rng.standard_normal(s) / np.sqrt(s[0])
-    model = Model(x.mean(axis=0), x.std(axis=0) + 1e-3, start(FEATURES, HIDDEN), np.zeros(HIDDEN), start(HIDDEN, ATTENTION), start(HIDDEN, ATTENTION), start(ATTENTION), start(HIDDEN), np.zeros(1))
-    names = ("w1", "b1", "v", "u", "a", "c", "d")
-    moments = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in names}
-    at = first[:-1]
+    rng, model = np.random.default_rng(seed), fresh(bags, seed)
+    moments = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in WEIGHTS}
+    order = np.zeros(0, np.int64)
     for step in range(1, STEPS + 1):
-        z, h, t, g, share, m, p = model.forward(x, first)
-        err = (p - y) / docs
-        dm = err[:, None] * model.c
-        back = np.repeat(dm, n, axis=0)
-        dshare = (back * h).sum(axis=1)
-        de = share * (dshare - np.repeat(np.add.reduceat(share * dshare, at), n))
-        dt, dg = de[:, None] * model.a * g * (1 - t**2), de[:, None] * model.a * t * g * (1 - g)
-        dh = (back * share[:, None] + dt @ model.v.T + dg @ model.u.T) * (1 - h**2)
-        grads = {"w1": z.T @ dh, "b1": dh.sum(axis=0), "v": h.T @ dt, "u": h.T @ dg, "a": ((t * g) * de[:, None]).sum(axis=0), "c": m.T @ err, "d": err.sum(keepdims=True)}
-        for k in names:
+        if len(order) < min(BATCH, len(y)):
+            order = np.concatenate([order, rng.permutation(len(y))])
+        some, order = order[:BATCH], order[BATCH:]
+        _, grads = model.gradients(bags.of(some), y[some])
+        for k in WEIGHTS:
             value, (one, two) = getattr(model, k), moments[k]
-            grad = grads[k] + 1e-4 * value / 10
+            grad = grads[k] + DECAY * value
             one += 0.1 * (grad - one)
             two += 0.001 * (grad**2 - two)
             value -= RATE * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
@@ -150,10 +206,17 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 3) -> Model
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in X.chunks(batch, "text"):
-            x, first = passages(data, offsets)
+            bags = passages(data, offsets)
             part = batch.slice(rows.start, rows.stop - rows.start)
-            blobs = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "bag"])
+            begin = np.concatenate([[0], np.cumsum(bags.n)])
+            spans = list(zip(bags.first, bags.first[1:], strict=False))
+            form = [bags.form[a:b].astype(np.float32).tobytes() for a, b in spans]
+            n = [bags.n[a:b].astype(np.uint16).tobytes() for a, b in spans]
+            words = [bags.words[begin[a] : begin[b]].tobytes() for a, b in spans]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("quality"), pa.array(np.diff(bags.first)), *[pa.array(x, pa.binary()) for x in (form, n, words)]],
+                names=["doc_id", "quality", "passages", "form", "n", "words"],
+            )
 
 
 def learnable(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
@@ -163,26 +226,33 @@ def learnable(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quali
     return free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model, from the labelled documents among docs."""
-    chosen = learnable(labels, id_col)
-    # at most SAMPLE rows of two numbers
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.mapInArrow(_encode, "doc_id long, quality int, bag binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["bag"]))
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
-    if not bags:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = PASSAGES) -> Model | None:
+    """The model, from the labelled documents among docs: `sample` documents and `most` passages at most."""
+    chosen = learnable(labels, id_col, sample=sample)
+    # at most `sample` rows of two numbers
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    bags = written(texts.mapInArrow(_encode, "doc_id long, quality int, passages long, form binary, n binary, words binary"), "bags")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("words", "form")]
+    small = bags.where(F.col("passages") <= most).select("*", order[2].alias("mark")).orderBy(order[0], "doc_id", "mark").limit(sample)
+    # a window over at most `sample` rows
+    so_far = F.sum("passages").over(W.orderBy(order[0], "doc_id", "mark").rowsBetween(W.unboundedPreceding, 0))
+    rows = small.withColumn("so_far", so_far).where(F.col("so_far") <= most).select("doc_id", "quality", "form", "n", "words", "so_far").collect()
+    rows.sort(key=lambda r: r["so_far"])
+    if not rows:
         return None
-    return fit(np.concatenate(bags).astype(np.float64), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), np.array([r["quality"] for r in rows], np.float64))
+    read = lambda c, t: [np.frombuffer(r[c], t) for r in rows]
+    n = read("n", np.uint16)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in n])])
+    whole = Bags(np.concatenate(read("form", np.float32)).reshape(-1, FEATURES).astype(np.float64), np.concatenate(read("words", np.uint16)), np.concatenate(n).astype(np.int64), first)
+    return fit(whole, np.array([r["quality"] for r in rows], np.float64))
 
 
 def _score(model: Model | None, names: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in X.chunks(batch, text_col):
-                x, first = passages(data, offsets)
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                scores = model.score(x, first) if model is not None else np.full(len(first) - 1, 0.5)
+                scores = model.score(passages(data, offsets)) if model is not None else np.full(len(offsets) - 1, 0.5)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(scores)], names=[*names, "score"])
 
     return run

@@ -712,14 +712,63 @@ def test_learnable_leaves_out_the_held_out_third(spark):
     assert got == {k for k in range(200) if zlib.crc32(str(k).encode()) % 3 != 1}
 
 
-def test_attention_gradient_lowers_the_loss():
-    r = np.random.default_rng(0)
-    n = r.integers(1, 5, 60)
-    first = np.concatenate([[0], np.cumsum(n)])
-    y = (np.arange(60) % 2).astype(float)
-    x = r.standard_normal((first[-1], quality.FEATURES)) + 2 * np.repeat(y, n)[:, None] * (np.arange(quality.FEATURES) == 3)
-    p = quality.fit(x, first, y).score(x, first)
-    assert ((p >= 0.5) == (y == 1)).mean() > 0.95
+def some_bags(r, docs=60):
+    size = r.integers(1, 5, docs)
+    first = np.concatenate([[0], np.cumsum(size)])
+    n = r.integers(0, 6, first[-1])
+    return quality.Bags(r.standard_normal((first[-1], quality.FEATURES)), r.integers(0, quality.BUCKETS, n.sum()).astype(np.uint16), n, first)
+
+
+def test_attention_gradients_are_those_of_the_loss():
+    r = np.random.default_rng(1)
+    bags, y = some_bags(r, 12), (np.arange(12) % 2).astype(float)
+    model = quality.fresh(bags)
+    model.e[:] = r.standard_normal(model.e.shape)
+    _, grads = model.gradients(bags, y)
+    for k in quality.WEIGHTS:
+        value = getattr(model, k)
+        spots = [np.unravel_index(i, value.shape) for i in r.choice(value.size, min(value.size, 6), replace=False)]
+        if k == "e":
+            spots = [(int(w), j) for w, j in zip(bags.words[:6], range(6), strict=True)]
+        for at in spots:
+            was, step, both = value[at], 1e-5, []
+            for s in (1, -1):
+                value[at] = was + s * step
+                both.append(model.gradients(bags, y)[0])
+            value[at] = was
+            assert grads[k][at] == pytest.approx((both[0] - both[1]) / (2 * step), rel=1e-4, abs=1e-9)
+
+
+def test_attention_finds_the_passage_that_counts():
+    """Labels that hang on one passage's form, or on one word somewhere in the text."""
+    for by_word in (False, True):
+        r = np.random.default_rng(0)
+        bags, y = some_bags(r, 400), (np.arange(400) % 2).astype(float)
+        one = bags.first[:-1] + r.integers(0, np.diff(bags.first))
+        if by_word:
+            bags.n[one] = np.maximum(bags.n[one], 1)
+            bags.words = r.integers(10, quality.BUCKETS, bags.n.sum()).astype(np.uint16)
+            bags.words[(np.cumsum(bags.n) - bags.n)[one[y == 1]]] = 7
+        else:
+            bags.form[one, 3] += 4 * y
+        p = quality.fit(bags, y).score(bags)
+        assert ((p >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_quality_sample_is_bounded_in_passages(spark):
+    rows = [(k, "word " * (48 * (k % 5 + 1)), k % 2) for k in range(60)] + [(100, "word " * 48 * 20_000, 1)]
+    d = spark.createDataFrame([x[:2] for x in rows] + [rows[0][:2]] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q, 0) for k, _, q in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    real = quality.fit
+    quality.fit = lambda bags, y: seen.append((len(bags.n), len(y))) or real(bags, y)
+    try:
+        model = quality.train(d, labels, most=50)
+    finally:
+        quality.fit = real
+    assert seen[0][0] <= 50 and seen[0][0] > 40 and model is not None
+    got = quality.scored(d, model).collect()
+    assert len(got) == 64 and all(0 <= x.score <= 1 for x in got)
 
 
 @pytest.mark.parametrize("most", [1, 2, 1000])
