@@ -3,15 +3,15 @@
 Method: De Bruijn compaction. Every window of `width` words is an edge of the De Bruijn graph of (width - 1)-word
 nodes. Neighbouring edges that share their minimiser (the smallest hash of an inner `core`-word run) travel together as
 one row, so a shuffle on the minimiser brings equal edges together at a fraction of a row per edge. Edges that occur
-again are joined to the coordinate of their first occurrence (the edges of a minimiser that has too many distinct ones to
-hold go on as rows, and Spark's aggregation finds their first occurrence), and consecutive repeated edges whose sources are also
-consecutive are compacted into paths (one row per repeated span). Every path keeps its source coordinate; the words
+again are joined to the coordinate of their first occurrence. The edges of a minimiser of more than HOT rows (a passage or line that very many documents hold) don't
+travel together: each goes on as a row of its own, keyed by its hash too, and Spark's aggregation finds its first occurrence; so do those of a minimiser that has too many
+distinct ones to hold. Consecutive repeated edges whose sources are also consecutive are compacted into paths (one row per repeated span). Every path keeps its source coordinate; the words
 of both ends are digested and compared, and only paths whose words agree are removed.
 
 Defined results: a null or empty text has no words; a text of fewer than `width` words has no window. Rows whose id is
 null are returned untouched, and are nobody's source. The id is expected to be unique; repeated rows of the same id and
-text don't count as copies of each other and each get the same result. An empty table gives an empty result. Extra
-columns of the input are kept (clashing names are an error of the caller only for the output names listed below).
+text don't count as copies of each other and each get the same result. A very long text is handled whole, in blocks of words that overlap by a window. An empty table gives an
+empty result. Extra columns of the input are kept; those named like an output or a mark used here (n_words, n_removed, kept_text, _checks, _text, _id, _spans) are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .frames import without, written
+from .frames import HOT_KEYS, for_shares, hot_keys, in_shares, join_dealt, without, written
 
 CORE = 8
 #: Words of one text handled at once.
@@ -36,8 +37,8 @@ EDGES = "anchor long, doc_id long, pos long, off int, hashes binary, n long, src
 RUNS = "doc_id long, pos long, n long, src_doc long, src_pos long"
 #: Runs, and open edges: rows with a hash and without a source.
 FOUND = RUNS + ", anchor long, hash long"
-#: Distinct edges of one anchor that a task holds.
-HELD = 1 << 18
+#: Distinct edges of one anchor that a task holds; and rows of an anchor, edge or source that go to one task where they meet.
+HELD, HOT = 1 << 18, 20_000
 _U = np.uint64
 
 
@@ -137,8 +138,34 @@ def _edge_rows(width: int):
     return run
 
 
+def _anchor_counts(width: int):
+    """(anchor, n): the edge rows of each anchor in a batch, and of all together (a null anchor)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _edge_rows(width)(batches):
+            anchor = rows.column("anchor").drop_null().to_numpy()
+            key, n = np.unique(anchor, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*key.tolist(), None], pa.int64()), pa.array([*n.tolist(), len(anchor)], pa.int64())], names=["anchor", "n"])
+
+    return run
+
+
+def _opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Edge rows as open edges, one row each."""
+    anchor, doc, pos, off = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "pos", "off"))
+    column = batch.column("hashes")
+    _, offs, data = column.buffers()
+    ends = np.frombuffer(offs, np.int32, len(batch) + 1, column.offset * 4)
+    count = np.diff(ends) // 4
+    hashes = np.frombuffer(data, np.uint32, count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
+    row, step = np.repeat(np.arange(len(anchor)), count), X.ranges(count)
+    h = hashes + ((off[row] - step).astype(np.uint64) << _U(32))
+    none = pa.nulls(len(row), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pos[row] + step), none, none, none, pa.array(anchor[row]), pa.array(h.view(np.int64))], names=[x.split()[0] for x in FOUND.split(", ")])
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of edges that occurred before, from edge rows ordered by (anchor, doc_id, pos). Memory: one batch and at
+    """Runs of edges that occurred before, from edge rows ordered by (anchor, doc_id, pos); rows marked _hot are opened. Memory: one batch and at
     most HELD distinct edges of the anchor that the batch ends in; the distinct edges of a larger anchor are passed on open."""
     names = [x.split()[0] for x in FOUND.split(", ")]
     last, held = None, None  # the anchor that may go on, and its distinct edges: hash, doc, pos
@@ -152,6 +179,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(settled):
             yield rows([settled.column(c) for c in names[:5]])
         batch = batch.filter(batch.column("hashes").is_valid())
+        if "_hot" in batch.schema.names:
+            hot = batch.filter(batch.column("_hot"))
+            if len(hot):
+                yield _opened(hot)
+            batch = batch.filter(pc.invert(batch.column("_hot")))
         if not len(batch):
             continue
         anchor, doc, pos, off = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "pos", "off"))
@@ -205,7 +237,7 @@ def _closed(found: DataFrame) -> DataFrame:
     """The runs, and one for each open edge that occurs earlier among the open ones."""
     runs, edges = found.where("hash is null").drop("anchor", "hash"), found.where("hash is not null").select("anchor", "hash", "doc_id", "pos")
     first = edges.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "pos")).alias("src"), F.count("*").alias("times")).where("times > 1").drop("times")
-    again = edges.join(first, ["anchor", "hash"]).where("doc_id != src.doc_id or pos != src.pos")
+    again = join_dealt(edges, first, ["anchor", "hash"], "doc_id", HOT).where("doc_id != src.doc_id or pos != src.pos")
     return runs.unionByName(again.select("doc_id", "pos", F.lit(1).cast("long").alias("n"), F.col("src.doc_id").alias("src_doc"), F.col("src.pos").alias("src_pos")))
 
 
@@ -213,10 +245,16 @@ def repeated_paths(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     """Compacted repeated paths: doc_id, pos, n (edges), src_doc, src_pos. The words pos .. pos + n + width - 2 of
     doc_id equal those that start at src_pos in src_doc, which is earlier."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    edges = given.mapInArrow(_edge_rows(width), EDGES)
-    # an edge without an anchor is settled; it is dealt out by its document
-    edges = edges.repartition(F.coalesce("anchor", F.hash("doc_id").cast("long"))).sortWithinPartitions("anchor", "doc_id", "pos")
-    runs = _closed(written(edges.mapInArrow(_repeats, FOUND), "found"))
+    counts = given.mapInArrow(_anchor_counts(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("anchor").isNull() | (F.col("n") > HOT)), "anchors")
+    total = counts.where("anchor is null").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    # fewer than HOT_KEYS rows: each has more than a HOT_KEYS-th part of all edge rows
+    hot = counts.where(F.col("anchor").isNotNull() & (F.col("n") > total // HOT_KEYS)).select("anchor", F.lit(True).alias("_hot"))
+    edges = given.mapInArrow(_edge_rows(width), EDGES).join(F.broadcast(hot), "anchor", "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    # an edge without an anchor is settled; it is dealt out by its document, and so are those of hot anchors
+    by = F.coalesce(F.when(~F.col("_hot"), F.col("anchor")), F.xxhash64("doc_id", "pos"))
+    found = edges.repartition(by).sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_repeats, FOUND)
+    runs = _closed(written(found, "found"))
     line = W.partitionBy("doc_id").orderBy("src_doc", F.col("src_pos") - F.col("pos"), "pos")
     follows = (F.lag("src_doc").over(line) == F.col("src_doc")) & (F.lag(F.col("src_pos") + F.col("n")).over(line) == F.col("src_pos")) & (F.lag(F.col("pos") + F.col("n")).over(line) == F.col("pos"))
     runs = runs.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(line))
@@ -288,7 +326,9 @@ def substring_dedup(docs: DataFrame, width: int = 20, id_col: str = "doc_id", te
     ends = result.select(F.col(id_col).alias("doc_id"), F.explode("_checks").alias("c")).select("doc_id", "c.*").dropDuplicates(["doc_id", "pos", "n", "cut"])
     copies = paths.join(ends.where("cut").drop("cut"), ["doc_id", "pos", "n"])
     sources = ends.where("not cut").select(F.col("doc_id").alias("src_doc"), F.col("pos").alias("src_pos"), "n", F.col("digest").alias("there"))
-    wrong = copies.join(sources, ["src_doc", "src_pos", "n"]).where("digest != there").select(*paths.columns)
+    source = ["src_doc", "src_pos", "n"]
+    hot = hot_keys(paths, source, HOT)
+    wrong = in_shares(copies, hot, source, "doc_id").join(for_shares(sources, hot, source), [*source, "_share"]).where("digest != there").select(*paths.columns)
     if wrong.isEmpty():
         return result.drop("_checks")
     # hashes agreed but words don't: the documents concerned are done again without those paths
