@@ -2,8 +2,9 @@
 
 Alternating stars: each round points every vertex at the smallest vertex that it knows (first over its larger
 neighbours, then over its smaller ones) until all edges are (vertex, smallest vertex of its component). A star of any
-size is a fixed point, so hot vertices cost one join row per link and no vertex's links are ever gathered. Rounds are
-written to the shared folder, which cuts the lineage and survives lost executors.
+size is a fixed point, so hot vertices cost one join row per link and no vertex's links are ever gathered. A row of these joins is two
+numbers, so a hub is a matter of megabytes until it has many millions of links, from where on adaptive execution splits its partition of the
+(inner) join. Rounds are written to the shared folder, which cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations

@@ -2,18 +2,20 @@
 
 Method: chosen-path set similarity join. Each set is embedded as MINS minwise tokens. In each of TREES independent trees
 a node sends every member on along COORDINATES chosen minwise tokens, one child per token value; small nodes are
-compared exhaustively (by the minwise tokens) and large ones branch again, up to DEPTH levels, after which they are
-compared exhaustively in blocks. With two chosen coordinates a pair of similarity s survives a level with probability
+compared exhaustively (by the minwise tokens) and large ones branch again, up to DEPTH levels (unless all their members are known to be similar to one), after which they
+are compared exhaustively in blocks. With two chosen coordinates a pair of similarity s survives a level with probability
 1 - (1 - s)^2 at least once, whatever the depth with at least the fixed point of p = 1 - (1 - s p)^2 (0.969 for 0.85), so
 four trees miss a pair in about a million. What a node passes on is a spanning forest of its similar members, never its pairs.
-Members of the resulting loose components are then compared on their full sets, block against block, which confirms
-every link and finds every other one inside the component.
+Members of the resulting loose components are then compared on their full sets, which confirms every link and finds every other one inside the component: a component that is
+one block at once; of a larger one every member with the component's first document, and the members that this doesn't link (the rest) block against block with each other and with all
+others. So a large group of near copies costs one comparison a member, and a large component of loosely related documents the product of its rest and its size.
 
 Equal sets are one vertex from the start, so groups of copies cost nothing later.
 
 Defined results: a null or empty text, or one without words, has the empty set and links with nothing; a text of fewer
 words than a shingle has its whole sequence as its only shingle. A row with a null id keeps its set size; it gets a null component and is kept.
-Repeated rows of an id count as one vertex. Ties go to the smallest id. Other input columns aren't returned by components_of().
+Repeated rows of an id count as one vertex. Ties go to the smallest id. Other input columns, whatever their names, aren't returned by components_of(). A very long text is one set, never
+a part of it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .frames import written
+from .frames import for_shares, hot_keys, in_shares, join_dealt, written
 from .graph import components
 
-MINS, TREES, COORDINATES, DEPTH = 64, 4, 2, 3
+MINS, TREES, COORDINATES, DEPTH = 64, 4, 2, 6
 #: Members of a node or block that are compared at once; nodes of up to NODE members are compared instead of branching.
 BLOCK, NODE = 512, 1024
 #: Shingles and members of a block in the comparison on full sets.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 256
+#: Rows of a node, component or set that go to one task where it is joined.
+HOT = 20_000
 #: Chance that the minwise comparison misses a pair just at the threshold.
 MISS = 1e-5
 
@@ -208,10 +212,13 @@ def loose_links(reps: DataFrame, least: int) -> DataFrame:
     while True:
         rows = written(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
-        members = rows.join(sizes, "node").join(reps.select("rep", "sketch"), "rep")
-        few = members.where(F.col("members") <= BLOCK).select("node", "rep", "members", "sketch", "known")
+        # large nodes carry their pivot's sketch, so that only the node's own key is joined, in shares
         pivots = reps.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        many = members.where(F.col("members") > BLOCK).join(pivots, "pivot").mapInArrow(_star(least), "node long, rep long, members long, sketch binary, known long, link long")
+        large = sizes.where(F.col("members") > BLOCK).join(pivots, "pivot")
+        nodes = written(sizes.where(F.col("members") <= BLOCK).withColumn("pivot_sketch", F.lit(None).cast("binary")).unionByName(large), "sizes")
+        members = written(join_dealt(rows, nodes, ["node"], "rep", HOT).join(reps.select("rep", "sketch"), "rep"), "members")
+        few = members.where(F.col("members") <= BLOCK).select("node", "rep", "members", "sketch", "known")
+        many = members.where(F.col("members") > BLOCK).mapInArrow(_star(least), "node long, rep long, members long, sketch binary, known long, link long")
         many = written(many, "stars")
         # a node whose members all belong to one pivot has no more to say
         open_ = many.groupBy("node").agg(F.count("known").alias("_k"), F.count("*").alias("_n"), F.min("known").alias("_a"), F.max("known").alias("_b")).where("_k < _n OR _a != _b").select("node")
@@ -235,7 +242,41 @@ def _sets(size: int):
             for rows, data, offsets in X.chunks(batch, "text"):
                 s, first = _shingles(data, offsets, size)
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("component"), part.column("blocks"), _binary(s, first)], names=["rep", "component", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("component"), part.column("rep"), pa.array(np.diff(first)), _binary(s, first)], names=["component", "rep", "n", "shingles"])
+
+    return run
+
+
+def _set_values(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of binary rows of 64-bit hashes, one after the other, and where each row's begin and the last ends."""
+    _, offs, data = column.buffers()
+    ends = np.frombuffer(offs, np.int32, len(column) + 1, column.offset * 4) // 8
+    return np.frombuffer(data, np.uint64, int(ends[-1])) if data is not None else np.zeros(0, np.uint64), ends
+
+
+def _near_first(share: tuple[int, int]):
+    """Whether each member is linked with the first document of its component, whose row (kind 0) comes before its share's others."""
+    num, den = share
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, root = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            component, rep, kind, n = (batch.column(c).to_numpy() for c in ("component", "rep", "kind", "n"))
+            values, ends = _set_values(batch.column("shingles"))
+            near = np.zeros(len(batch), bool)
+            at = np.flatnonzero(np.concatenate([[True], (component[1:] != component[:-1]) | (kind[1:] != kind[:-1])])) if len(batch) else []
+            for a, b in zip(at, [*at[1:], len(batch)], strict=True):
+                if kind[a] == 0:
+                    of, root = component[a], np.sort(values[ends[a] : ends[a + 1]])
+                elif of == component[a]:
+                    v = values[ends[a] : ends[b]]
+                    spot = np.minimum(np.searchsorted(root, v), len(root) - 1)
+                    sums = np.concatenate([[0], np.cumsum(root[spot] == v)])
+                    both = sums[ends[a + 1 : b + 1] - ends[a]] - sums[ends[a:b] - ends[a]]
+                    near[a:b] = den * both >= num * (n[a:b] + len(root) - both)
+            some = pa.array(kind == 1)
+            out = pa.RecordBatch.from_arrays([pa.array(component), pa.array(rep), pa.array(n), pa.array(near)], names=["component", "rep", "n", "near"])
+            yield out.filter(some)
 
     return run
 
@@ -246,10 +287,8 @@ def _confirmed(share: tuple[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in X.whole_groups(batches, ["component", "bi", "bj"]):
-            rep, column = t.column("rep").to_numpy(), t.column("shingles").combine_chunks()
-            _, offs, data = column.buffers()
-            ends = np.frombuffer(offs, np.int32, len(column) + 1, column.offset * 4) // 8
-            values = np.frombuffer(data, np.uint64, int(ends[-1]))
+            rep = t.column("rep").to_numpy()
+            values, ends = _set_values(t.column("shingles").combine_chunks())
             a, b = [], []
             for lo, hi in zip(at, at[1:], strict=False):
                 if hi - lo < 2:
@@ -280,25 +319,56 @@ def _confirmed(share: tuple[int, int]):
     return run
 
 
+def _block_count(n, which=None):
+    """Blocks of the members for which `which` holds."""
+    one = F.lit(1) if which is None else F.when(which, 1)
+    size = n if which is None else F.when(which, n)
+    return F.coalesce(F.greatest(F.ceil(F.sum(size) / BLOCK_SHINGLES), F.ceil(F.sum(one) / BLOCK_MEMBERS)), F.lit(0)).cast("int")
+
+
+def _large_links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect what is linked inside components of many blocks. sets: component, rep, n, shingles."""
+    hot = hot_keys(sets, ["component"], HOT)
+    first = for_shares(sets.where("rep = component"), hot, ["component"]).withColumn("kind", F.lit(0))
+    rows = in_shares(sets, hot, ["component"], "rep").withColumn("kind", F.lit(1)).unionByName(first)
+    dealt = rows.repartition("component", "_share").sortWithinPartitions("component", "_share", "kind").select("component", "rep", "kind", "n", "shingles")
+    star = written(dealt.mapInArrow(_near_first(share), "component long, rep long, n long, near boolean"), "star")
+    rest = star.groupBy("component").agg(_block_count(F.col("n"), ~F.col("near")).alias("rests"), _block_count(F.col("n"), F.col("near")).alias("cores")).where("rests > 0")
+    members = join_dealt(star, rest, ["component"], "rep", HOT).join(sets.select("rep", "shingles"), "rep")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("cores")).otherwise(F.col("rests"))).cast("int")
+    # blocks of the rest meet each other (bi <= bj) and those of all others (bj below zero)
+    across = F.transform(upto("rests"), lambda k: F.struct(k.alias("bi"), (-1 - F.col("own")).alias("bj")))
+    within = F.transform(upto("rests"), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
+    others = F.when(F.col("cores") > 0, F.transform(upto("cores"), lambda k: F.struct(F.col("own").alias("bi"), (-1 - k).alias("bj"))))
+    meets = F.when(F.col("near"), across).otherwise(F.concat(within, F.coalesce(others, F.array().cast("array<struct<bi:int,bj:int>>"))))
+    pairs = members.withColumn("own", own).select("component", F.explode(meets).alias("m"), "rep", "shingles").select("component", "m.bi", "m.bj", "rep", "shingles")
+    found = pairs.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_confirmed(share), "a long, b long")
+    return found.unionByName(star.where("near and rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b")))
+
+
 def components_of(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: components of the links between documents that share share[0] of share[1]
     parts of the union of their sets of `shingle`-word shingles (letters A-Z without case)."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = written(given.mapInArrow(_profile(shingle), "doc_id long, n long, s1 long, s2 long, sketch binary"), "profile")
+    same = ["n", "s1", "s2"]
     solid = profile.where("n > 0 and doc_id is not null")
-    reps = written(solid.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "reps")
-    loose = components(loose_links(reps.select("rep", "sketch"), least_matches(share[0] / share[1]))).withColumnRenamed("id", "rep")
-    sizes = loose.join(reps.select("rep", "n"), "rep").groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
-    close = written(loose.join(sizes, "component"), "close")
-    members = given.join(close, given.doc_id == close.rep, "inner").select("rep", "component", "blocks", "text").dropDuplicates(["rep"]).mapInArrow(_sets(shingle), "rep long, component long, blocks long, shingles binary")
-    links = _blocks(members, "component", F.col("blocks")).select("component", "bi", "bj", "rep", "shingles").mapInArrow(_confirmed(share), "a long, b long")
+    reps = written(solid.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "reps")
+    loose = written(components(loose_links(reps.select("rep", "sketch"), least_matches(share[0] / share[1]))).withColumnRenamed("id", "rep"), "loose")
+    sizes = loose.join(reps.select("rep", "n"), "rep").groupBy("component").agg(_block_count(F.col("n")).alias("blocks"))
+    close = written(join_dealt(loose, sizes, ["component"], "rep", HOT), "close")
+    held = "component long, rep long, n long, shingles binary"
+    members = lambda some: given.join(some, given.doc_id == some.rep).select("rep", "component", "text").dropDuplicates(["rep"]).mapInArrow(_sets(shingle), held)
+    small = members(close.where("blocks = 1")).withColumns({"bi": F.lit(0), "bj": F.lit(0)})
+    links = small.repartition("component").sortWithinPartitions("component").select("component", "bi", "bj", "rep", "shingles").mapInArrow(_confirmed(share), "a long, b long")
+    if not close.where("blocks > 1").isEmpty():
+        links = links.unionByName(_large_links(written(members(close.where("blocks > 1")), "sets"), share))
     final = components(links).withColumnRenamed("id", "rep")
-    of = reps.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    of = reps.select(*same, "rep").join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
-    return (
-        profile.where(~alone).select("doc_id", "n", "s1", "s2").join(of, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .unionByName(profile.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    )
+    linked = join_dealt(profile.where("n > 0").where(~alone).select("doc_id", *same), of, same, "doc_id", HOT)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(profile.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -111,6 +111,18 @@ def test_substring_paths_of_repeats_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("hot", [1, 5, 30])
+def test_substring_dedup_of_hot_passages(spark, docs, rows, monkeypatch, hot):
+    """The edges of hot minimisers are opened and dealt out; what is removed stays the same."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    r = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(45))
+    more = [(100 + k, " ".join(f"a{k}_{j}" for j in range(r.randint(0, 30))) + " " + passage + f" {passage[:90]} b{k}", "en", "s", 0) for k in range(40)]
+    d = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in substring_dedup.substring_dedup(d).collect()}
+    assert got == plain_substring([*rows, *more])
+
+
 @pytest.fixture(scope="module")
 def codec(spark):
     return byte_bpe.public_codec(spark)
@@ -161,16 +173,20 @@ def test_near_dedup(docs, rows, k, share):
     assert got == plain_components(rows, k, *share)
 
 
-def test_near_dedup_large_family_of_edits(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [10, 1000])
+def test_near_dedup_large_family_of_edits(spark, monkeypatch, hot):
     """One family of many different near copies, larger than a node, with blocks and branching."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     monkeypatch.setattr(near_dedup, "NODE", 40)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 20)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
     r = random.Random(5)
     base = [f"t{k}" for k in range(120)]
     rows = []
     for k in range(150):
+        if k % 50 == 0:
+            base = [*base[:100], *[f"t{k}_{j}" for j in range(20)]]  # near the threshold to what came before
         w = list(base)
         for _ in range(r.randint(0, 4)):
             w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
@@ -180,6 +196,15 @@ def test_near_dedup_large_family_of_edits(spark, monkeypatch):
     assert got == plain_components(rows, 3, 85, 100)
 
 
+def test_near_dedup_chain_of_blocks(spark, monkeypatch):
+    """A component of many blocks in which the first document is linked with few of the others: every link by the full sets."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 8)
+    rows = [(3 * k, " ".join(f"t{j}" for j in range(4 * k, 4 * k + 100))) for k in range(60)] + [(1000, " ".join(f"t{j}" for j in range(100)) + " x" * 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.components_of(d, 3, (85, 100)).collect()}
+    assert got == plain_components(rows, 3, 85, 100)
+
+
 def test_near_dedup_edges(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (3, "A B c d"), (7, None), (8, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit(1))
