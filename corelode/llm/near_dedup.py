@@ -2,8 +2,9 @@
 
 Method: chosen-path set similarity join. Each set is embedded as MINS minwise tokens. In each of TREES independent trees
 a node sends every member on along COORDINATES chosen minwise tokens, one child per token value; small nodes are
-compared exhaustively (by the minwise tokens) and large ones branch again, up to DEPTH levels (unless all their members are known to be similar to one), after which they
-are compared exhaustively in blocks. With two chosen coordinates a pair of similarity s survives a level with probability
+compared exhaustively (by the minwise tokens). In a large one every member is compared with one of them, the pivot: members that are like it are linked with it and so with
+each other. The others (the rest) are compared in blocks with each other and with all members if they are few, and otherwise the node branches again, up to DEPTH levels,
+after which the rest is compared in any case. With two chosen coordinates a pair of similarity s survives a level with probability
 1 - (1 - s)^2 at least once, whatever the depth with at least the fixed point of p = 1 - (1 - s p)^2 (0.969 for 0.85), so
 four trees miss a pair in about a million. What a node passes on is a spanning forest of its similar members, never its pairs.
 Members of the resulting loose components are then compared on their full sets, which confirms every link and finds every other one inside the component: a component that is
@@ -32,9 +33,9 @@ from . import textops as X
 from .frames import for_shares, hot_keys, in_shares, join_dealt, written
 from .graph import components
 
-MINS, TREES, COORDINATES, DEPTH = 64, 4, 2, 6
-#: Members of a node or block that are compared at once; nodes of up to NODE members are compared instead of branching.
-BLOCK, NODE = 512, 1024
+MINS, TREES, COORDINATES, DEPTH = 64, 4, 2, 3
+#: Members of a node or block that are compared at once; blocks of unlike members up to which a large node is compared instead of branching.
+BLOCK, WIDE = 512, 4
 #: Shingles and members of a block in the comparison on full sets.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 200_000, 256
 #: Rows of a node, component or set that go to one task where it is joined.
@@ -191,18 +192,20 @@ def _similar(least: int):
     return run
 
 
-def _blocks(members: DataFrame, key: str, n_blocks) -> DataFrame:
-    """Sends each member to the pairs of blocks that its own block is part of; every pair of members meets in one."""
-    return (
-        members.withColumn("_nb", n_blocks)
-        .withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_nb")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb").cast("int") - 1)))
-        .withColumn("bi", F.least("_own", "_other"))
-        .withColumn("bj", F.greatest("_own", "_other"))
-        .drop("_nb", "_own", "_other")
-        .repartition(key, "bi", "bj")
-        .sortWithinPartitions(key, "bi", "bj")
-    )
+def _crossed(members: DataFrame, key: str, near, *more: str) -> DataFrame:
+    """Members of a key in `rests` blocks of rest and `cores` blocks of others (near): each block of the rest meets every block in a group (key, bi, bj);
+    bi <= bj among the rest, and bj is below zero for the others."""
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"))
+    own = F.pmod(F.xxhash64("rep"), F.when(near, F.col("cores")).otherwise(F.col("rests")))
+    across = F.transform(upto("rests"), lambda k: pair(k, -1 - own))
+    within = F.transform(upto("rests"), lambda k: pair(F.least(k, own), F.greatest(k, own)))
+    others = F.when(F.col("cores") > 0, F.transform(upto("cores"), lambda k: pair(own, -1 - k))).otherwise(F.array().cast("array<struct<bi:int,bj:int>>"))
+    return members.select(key, F.explode(F.when(near, across).otherwise(F.concat(within, others))).alias("m"), "rep", *more).select(key, "m.bi", "m.bj", "rep", *more)
+
+
+def _dealt(blocks: DataFrame, key: str) -> DataFrame:
+    return blocks.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
 
 
 def loose_links(reps: DataFrame, least: int) -> DataFrame:
@@ -220,16 +223,16 @@ def loose_links(reps: DataFrame, least: int) -> DataFrame:
         few = members.where(F.col("members") <= BLOCK).select("node", "rep", "members", "sketch", "known")
         many = members.where(F.col("members") > BLOCK).mapInArrow(_star(least), "node long, rep long, members long, sketch binary, known long, link long")
         many = written(many, "stars")
-        # a node whose members all belong to one pivot has no more to say
-        open_ = many.groupBy("node").agg(F.count("known").alias("_k"), F.count("*").alias("_n"), F.min("known").alias("_a"), F.max("known").alias("_b")).where("_k < _n OR _a != _b").select("node")
         stars = many.where("link IS NOT NULL AND link != rep").select(F.col("rep").alias("a"), F.col("link").alias("b"))
-        many = many.drop("link").join(open_, "node", "left_semi")
+        rest = many.groupBy("node").agg(F.ceil(F.count_if(F.col("link").isNull()) / BLOCK).cast("int").alias("rests"), F.ceil(F.count("link") / BLOCK).cast("int").alias("cores")).where("rests > 0")
+        open_ = written(join_dealt(many, rest, ["node"], "rep", HOT), "open")
         last = level == DEPTH - 1
-        near = many if last else many.where(F.col("members") <= NODE)
-        blocks = _blocks(few.unionByName(near), "node", F.ceil(F.col("members") / BLOCK)).select("node", "bi", "bj", "rep", "sketch", "known")
+        now = open_ if last else open_.where(F.col("rests") <= WIDE)
+        one = few.select("node", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "rep", "sketch", "known")
+        blocks = _dealt(one.unionByName(_crossed(now, "node", F.col("link").isNotNull(), "sketch", "known")), "node")
         links = blocks.mapInArrow(_similar(least), "a long, b long").unionByName(stars)
         found = links if found is None else found.unionByName(links)
-        wide = many.where(F.col("members") > NODE)
+        wide = open_.where(F.col("rests") > WIDE)
         if last or wide.isEmpty():
             return found
         level += 1
@@ -335,15 +338,8 @@ def _large_links(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     star = written(dealt.mapInArrow(_near_first(share), "component long, rep long, n long, near boolean"), "star")
     rest = star.groupBy("component").agg(_block_count(F.col("n"), ~F.col("near")).alias("rests"), _block_count(F.col("n"), F.col("near")).alias("cores")).where("rests > 0")
     members = join_dealt(star, rest, ["component"], "rep", HOT).join(sets.select("rep", "shingles"), "rep")
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("cores")).otherwise(F.col("rests"))).cast("int")
-    # blocks of the rest meet each other (bi <= bj) and those of all others (bj below zero)
-    across = F.transform(upto("rests"), lambda k: F.struct(k.alias("bi"), (-1 - F.col("own")).alias("bj")))
-    within = F.transform(upto("rests"), lambda k: F.struct(F.least(k, F.col("own")).alias("bi"), F.greatest(k, F.col("own")).alias("bj")))
-    others = F.when(F.col("cores") > 0, F.transform(upto("cores"), lambda k: F.struct(F.col("own").alias("bi"), (-1 - k).alias("bj"))))
-    meets = F.when(F.col("near"), across).otherwise(F.concat(within, F.coalesce(others, F.array().cast("array<struct<bi:int,bj:int>>"))))
-    pairs = members.withColumn("own", own).select("component", F.explode(meets).alias("m"), "rep", "shingles").select("component", "m.bi", "m.bj", "rep", "shingles")
-    found = pairs.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj").mapInArrow(_confirmed(share), "a long, b long")
+    pairs = _crossed(members, "component", F.col("near"), "shingles")
+    found = _dealt(pairs, "component").mapInArrow(_confirmed(share), "a long, b long")
     return found.unionByName(star.where("near and rep != component").select(F.col("rep").alias("a"), F.col("component").alias("b")))
 
 

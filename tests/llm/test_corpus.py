@@ -173,11 +173,11 @@ def test_near_dedup(docs, rows, k, share):
     assert got == plain_components(rows, k, *share)
 
 
-@pytest.mark.parametrize("hot", [10, 1000])
-def test_near_dedup_large_family_of_edits(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "wide"), [(10, 0), (1000, 2)])
+def test_near_dedup_large_family_of_edits(spark, monkeypatch, hot, wide):
     """One family of many different near copies, larger than a node, with blocks and branching."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    monkeypatch.setattr(near_dedup, "NODE", 40)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 4000)
     monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 20)
     monkeypatch.setattr(near_dedup, "HOT", hot)
