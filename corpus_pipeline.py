@@ -3,6 +3,13 @@
 Quality classification, line dedup, near dedup, mixing and tokenisation, by the operators of corelode.llm. All stages but
 the last return the columns of documents; n_chars always is the length of the text. After mixing, a document has one row
 for each time that (parts of) it are in the mix: at most two.
+
+Defined results: the quality stage scores null and empty texts like any other; line dedup makes a null text an empty one; near dedup keeps texts
+without words and rows with a null id; the mix takes nothing of a text without words. Repeated rows of an id are one document to line and near dedup (all or none of them stay there) and
+documents of their own to the other stages. Very long texts go through every stage whole. Columns besides those of documents are left out, so their names can't clash. An empty table gives an
+empty result.
+
+Texts go to Python in batches of BATCH_ROWS rows at most (the session's limit is lowered to that), which bounds what executors hold of them outside their heap.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from corelode.llm.quality import scored, train
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Scores below this are rejected.
 QUALITY = 0.5
+#: Rows of a batch that goes to Python.
+BATCH_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -68,6 +77,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
