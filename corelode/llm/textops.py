@@ -6,6 +6,7 @@ finding and hashing the words of a whole batch takes a few numpy passes and no P
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Text bytes handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -126,6 +127,15 @@ def chunks(batch: pa.RecordBatch, text: str) -> Iterator[tuple[slice, np.ndarray
         hi = min(n, max(hi, lo + 1))
         yield slice(lo, hi), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free but still held back to the system: workers live on between batches and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def sha_hex(data: bytes) -> str:
@@ -167,6 +177,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         t = pa.Table.from_batches(held).combine_chunks()
         at = starts(t)
         yield t, np.append(at, len(t))
+    held = []
+    release()
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
