@@ -150,7 +150,7 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-def _encoder(ranks, pattern: str, text_col: str, names: list[str], out: str):
+def _encoder(ranks, pattern: str, text_col: str, names: list[str], out: str, exact: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value, pattern)
         for batch in batches:
@@ -160,7 +160,10 @@ def _encoder(ranks, pattern: str, text_col: str, names: list[str], out: str):
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], lists], names=[*names, out])
+                more = {out: lists}
+                if exact:
+                    more[exact] = pa.array([codec.decode(x.tolist()) == raw[a:b] for x, a, b in zip(ids, bounds, bounds[1:], strict=False)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *more.values()], names=[*names, *more])
 
     return run
 
@@ -186,11 +189,13 @@ def vocabulary(spark: SparkSession, rank_file: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "tokens") -> DataFrame:
-    """docs with the token ids of text_col."""
-    docs = without(docs, ids_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encoder(ranks, pattern, text_col, docs.columns, ids_col), schema)
+def encode(docs: DataFrame, ranks, pattern: str, text_col: str = "text", ids_col: str = "tokens", exact_col: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with the token ids of text_col. exact_col: also whether decoding them gives the text again, found where they are
+    made. keep_text=False leaves the text out of the result, so that it isn't sent back from Python."""
+    docs = without(docs, ids_col, *([exact_col] if exact_col else []))
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(exact_col, T.BooleanType())] if exact_col else [])]
+    return docs.mapInArrow(_encoder(ranks, pattern, text_col, [f.name for f in kept], ids_col, exact_col), T.StructType([*kept, *added]))
 
 
 def decode(docs: DataFrame, ranks, ids_col: str = "tokens", bytes_col: str = "decoded") -> DataFrame:
@@ -210,7 +215,7 @@ def public_codec(spark: SparkSession):
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coder = public_codec(spark)
-    done = decode(encode(docs, *coder).drop("text"), coder[0])
+    done = decode(encode(docs, *coder, keep_text=False), coder[0])
     return done.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),

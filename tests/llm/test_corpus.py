@@ -149,6 +149,10 @@ def test_bpe_matches_library_and_round_trips(spark, docs, rows, codec):
         assert r.tokens == plain.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.decode(byte_bpe.encode(empty(spark), *codec), codec[0]).count() == 0
+    checked = byte_bpe.encode(d, *codec, exact_col="same", keep_text=False)
+    assert "text" not in checked.columns and "same" in checked.columns
+    assert sorted((x.doc_id, list(x.tokens)) for x in checked.collect()) == sorted((x.doc_id, list(x.tokens)) for x in out)
+    assert checked.where("same IS NULL OR NOT same").count() == 0
 
 
 def shingles(text, k):
