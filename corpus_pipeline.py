@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelode.llm.byte_bpe import decode, encode, public_codec
+from corelode.llm.byte_bpe import encode, public_codec
 from corelode.llm.frames import written
 from corelode.llm.line_dedup import LineIndex
 from corelode.llm.mixing import mixed_documents
@@ -60,9 +60,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text again."""
-    coder = public_codec(spark)
-    done = decode(encode(docs, *coder), coder[0])
-    return done.select("doc_id", "lang", "source", "n_chars", "tokens", F.size("tokens").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+    done = encode(docs, *public_codec(spark), exact_col="exact", keep_text=False)
+    return done.select("doc_id", "lang", "source", "n_chars", "tokens", F.size("tokens").cast("long").alias("n_tokens"), "exact")
 
 
 STAGES = [
