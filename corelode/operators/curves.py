@@ -11,27 +11,33 @@ from pyspark.sql import functions as F
 from ..functions.scalars import unit_key
 from .depth import resample
 
-# Usual mnemonics of each curve family, in order of preference (public vendor mnemonics).
-FAMILIES: dict[str, tuple[str, ...]] = {
-    "GR": ("GR", "SGR", "GRC", "GAM", "GAMMA", "HSGR", "ECGR", "GRD", "GRS", "GR_EDTC", "MWD_GR", "CGR"),
-    "SP": ("SP", "SPC", "SSP"),
-    "CAL": ("CALI", "CAL", "HCAL", "CALS", "DCAL", "LCAL", "C1CAL"),
-    "BS": ("BS", "BIT", "BITSIZE"),
-    "RD": ("RDEEP", "RT", "RD", "ILD", "LLD", "AT90", "AHT90", "AF90", "RILD", "RLA5", "M2R9", "RPD"),
-    "RM": ("RMED", "RM", "ILM", "LLM", "AT30", "AT60", "AHT30", "AF30", "RILM", "RLA3", "M2R6", "RPM"),
-    "RS": ("RSHAL", "RS", "LLS", "SFL", "SFLU", "MSFL", "AT10", "AHT10", "AF10", "RXO", "RLA1", "M2R1", "RPS"),
-    "RHOB": ("RHOB", "RHOZ", "DEN", "ZDEN", "DENS"),
-    "NPHI": ("NPHI", "TNPH", "NPOR", "PHIN", "CNC", "NEU"),
-    "DPHI": ("DPHI", "DPOR", "DPHZ"),
-    "DRHO": ("DRHO", "HDRA", "ZCOR", "DCOR"),
-    "PE": ("PEF", "PE", "PEFZ", "PDPE"),
-    "DT": ("DT", "DTC", "DTCO", "AC", "DT24"),
-    "ROP": ("ROP", "ROPA", "ROP_AVG"),
-    "TG": ("TGAS", "TG", "GAS", "TOTGAS"),
-    "CCL": ("CCL", "CCLU"),
-    "BOND": ("BI", "BOND", "BONDIX"),
-    "AMP": ("CBL", "AMP", "AMP3FT"),
+# Public mnemonics by the kind of tool that records them, as "family: mnemonics". Where a well has several of a family, the
+# earlier kind and the earlier name of a kind are preferred.
+TOOLS: dict[str, str] = {
+    "plain names": """
+        GR: GR GAM GAMMA; SP: SP SSP; CAL: CALI CAL; BS: BS BIT BITSIZE; RD: RT RD RDEEP; RM: RM RMED; RS: RS RSHAL RXO; RHOB: RHOB DEN DENS;
+        NPHI: NPHI NPOR PHIN NEU; DPHI: DPHI DPOR; DRHO: DRHO DCOR; PE: PE PEF; DT: DT DTC AC; ROP: ROP; TG: TG TGAS GAS TOTGAS;
+        CCL: CCL; BOND: BOND BI BONDIX; AMP: AMP CBL""",
+    "natural gamma ray tools, total and then without uranium": "GR: SGR HSGR ECGR GRC GRD GRS GR_EDTC CGR",
+    "induction and laterolog tools": "RD: ILD LLD RILD; RM: ILM LLM RILM; RS: SFL SFLU LLS MSFL",
+    "array induction, by inches of investigation": "RD: AT90 AHT90 AF90; RM: AT60 AT30 AHT60 AHT30 AF60 AF30; RS: AT10 AHT10 AF10",
+    "array laterolog and high-definition induction": "RD: RLA5 M2R9; RM: RLA3 M2R6; RS: RLA1 M2R1",
+    "resistivity while drilling": "RD: RPD; RM: RPM; RS: RPS",
+    "nuclear and sonic tools": "RHOB: RHOZ ZDEN; NPHI: TNPH CNC; DPHI: DPHZ; DRHO: HDRA ZCOR; PE: PEFZ PDPE; DT: DTCO DT24",
+    "calipers": "CAL: HCAL CALS DCAL LCAL C1CAL",
+    "other channels": "GR: MWD_GR; SP: SPC; ROP: ROPA ROP_AVG; CCL: CCLU; AMP: AMP3FT",
 }
+
+
+def _families() -> dict[str, tuple[str, ...]]:
+    out: dict[str, tuple[str, ...]] = {}
+    for entry in "; ".join(TOOLS.values()).split(";"):
+        family, names = entry.split(":")
+        out[family.strip()] = (*out.get(family.strip(), ()), *names.split())
+    return out
+
+
+FAMILIES = _families()
 # Families that are shown and judged on a log scale.
 LOG_FAMILIES = ("RD", "RM", "RS", "TG")
 

@@ -314,3 +314,26 @@ def test_tvd_curve_stands_in_for_a_survey(spark):
     s = frame(spark, [(1, float(m), 0.5 * m if m > 100 else float(m)) for m in range(0, 400, 10)] + [(2, 5.0, 5.0), (2, 6.0, 6.0)], "well_id long, md double, tvd double")
     got = D.tvd_stations(s, most=10).orderBy("md").collect()
     assert {r.well_id for r in got} == {1} and len(got) <= 14 and got[-1].inc == pytest.approx(60.0)
+
+
+def test_fields_of_headers():
+    want = {
+        "Well Name": "name", "UWI": "api", "API 14": "api", "Operator Name": "company", "Well Status": "status", "KB to GL (ft)": "kbgl", "KB - final": "kb", "RKB Elevation": "kb",
+        "Ground Elevation": "gl", "Surface Latitude (WGS84)": "lat", "SHL_Long": "lon", "X": "x", "X (UTM)": "x", "X section": None, "Elevation Datum": "datum_ref", "Datum": "crs",
+        "Total Depth TVD (ft)": "td_tvd", "TD (ft MD)": "td_md", "Well Type": "type", "Completion Date": "completed", "County / Parish": "county", "GR": None, "": None,
+    }
+    assert {h: T.field_of(h) for h in want} == want
+    assert [T.header_unit(h) for h in ("Top (ft MD)", "depth_m", "TVD [metres]", "MD")] == ["ft", "m", "m", None]
+
+
+def test_guess_tells_kinds_apart(spark):
+    rows = [("A", str(100 * k), str(100 * k + 20), "sand" if k % 2 else "shale", str(k / 7)) for k in range(12)]
+    five = "`well` string, `from` string, `to` string, `description` string, `show` string"
+    g = T.guess(frame(spark, rows, five))
+    assert g["kind"] == "events" and (g["map"]["top"], g["map"]["base"], g["map"]["label"]) == ("from", "to", "description")
+    often = frame(spark, [("A", "sand", str(k)) for k in range(9)], "well string, formation string, md string")
+    assert T.guess(often)["kind"] == "events" and not T.guess(often)["sure"]
+    assert T.guess(frame(spark, rows[:0], five))["kind"] == "unknown"
+    profile = T.profile(frame(spark, [("A", "1,5"), ("A", " "), ("B", "x"), (None, "2")], "a string, b string"))
+    assert profile["a"] == {"rows": 4, "filled": 3, "numeric": 0.0, "distinct": 2}
+    assert profile["b"]["filled"] == 3 and profile["b"]["numeric"] == pytest.approx(2 / 3)
