@@ -131,3 +131,9 @@ def test_geodesy(one):
     assert one(S.haversine_km(P.col(0.0), P.col(0.0), P.col(0.0), P.col(90.0))) == pytest.approx(12742 * math.pi / 4)
     lat, lon = S.nad27_to_wgs84(P.col(40.0), P.col(-105.0))
     assert abs(one(lat) - 40.0) < 1e-3 and 1e-4 < abs(one(lon) + 105.0) < 1e-3
+
+
+def test_minus_zero_degrees_and_serial_dates(spark):
+    rows = [("-0°30'", -0.5, "-0°30'"), ("10000.5", 10000.5, "10000.5"), ("44308", 44308.0, "2021-04-22"), ("22 April, 2021", 22.0, "2021-04-22"), ("31-Feb-2021", 31.0, "31-Feb-2021")]
+    got = spark.createDataFrame([(t,) for t, *_ in rows], "t string").select("t", S.coordinate("t").alias("c"), S.clean_date("t").alias("d")).collect()
+    assert [tuple(r) for r in got] == rows
