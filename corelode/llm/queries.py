@@ -6,6 +6,7 @@ from .byte_bpe import op2_byte_bpe
 from .chat_format import OP4_SQL, op4_chat_format
 from .embedding_dedup import op5_embedding_dedup
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .licenses import op7_license_scan
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op8_mixing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 SQL: dict[str, str] = {
     "op4_chat_format": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
