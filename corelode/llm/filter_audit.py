@@ -8,7 +8,7 @@ The partner side holds one row for each text that occurs more than once, with it
 are shuffled, and a hash of many rows is dealt out over shares, so a text that a third of the corpus holds is nobody's single task.
 
 Defined results: a null text is empty (no words: it fails A alone, and E if an earlier text is empty too); a null part is the empty string; a row with a null id is
-no document's earlier copy and has none. Rows that share an id are documents of their own; a label holds for all of them, and of several labels of an id the highest.
+no document's earlier copy, has none, and no label. Rows that share an id are documents of their own; a label holds for all of them, and of several labels of an id the highest.
 Very long texts are read whole. Extra columns are left out. An empty table gives an empty result.
 """
 
