@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LATITUDE_M, LONGITUDE_M, haversine_km, nice_step
+from ..sources.store import written
+from .order import ranked, with_next
+from .proximity import merge_close
 
 SMOOTHING, CLOSE_M, MARGIN, LEAST_MARGIN, CELLS = 1e-4, 15.0, 0.15, 200.0, 160
 #: Control points that one surface may have: the solve is cubic in them.
@@ -39,20 +42,6 @@ def structure(wells: DataFrame, tops: DataFrame, name: str, tvd: str = "md") ->
     return wells.join(t, "well_id", "left").select(*wells.columns, F.when(reason.isNull(), F.col("_t") - F.col("kb")).alias("v"), reason.alias("reason"))
 
 
-def _merge_close(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points within CLOSE_M of an earlier kept one are averaged into it, in the given order."""
-    out = np.zeros((0, 4))
-    for p in zip(x, y, v, strict=True):
-        near = np.flatnonzero(np.hypot(out[:, 0] - p[0], out[:, 1] - p[1]) < CLOSE_M)
-        if len(near):
-            k = near[0]
-            out[k, :3] += (np.array(p) - out[k, :3]) / (out[k, 3] + 1)
-            out[k, 3] += 1
-        else:
-            out = np.vstack([out, [*p, 1]])
-    return out[:, 0], out[:, 1], out[:, 2]
-
-
 def convex_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Counterclockwise hull vertices, by the monotone chain."""
     points = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
@@ -84,62 +73,95 @@ def _basis(r2: np.ndarray) -> np.ndarray:
 FIT = "surface_id long, reason string, x0 double, y0 double, scale double, c0 double, c1 double, c2 double, px array<double>, py array<double>, w array<double>, hx array<double>, hy array<double>, pad double, cell double, nx int, ny int"
 
 
+def hulls(points: DataFrame, share: int = 100_000) -> DataFrame:
+    """(surface_id, hx, hy): the convex hull of each surface's points, counterclockwise. Hulls of shares of the points come first, then the hull of those."""
+
+    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = convex_hull(pdf.x.to_numpy(float), pdf.y.to_numpy(float))
+        return pd.DataFrame({"surface_id": pdf.surface_id.iloc[0], "x": h[:, 0], "y": h[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = convex_hull(pdf.x.to_numpy(float), pdf.y.to_numpy(float))
+        return pd.DataFrame([{"surface_id": pdf.surface_id.iloc[0], "hx": h[:, 0].tolist(), "hy": h[:, 1].tolist()}])
+
+    # of the points in one place, of one column and of one row only the ends can be corners
+    ends = points.groupBy("surface_id", "x").agg(F.min("y").alias("a"), F.max("y").alias("b")).select("surface_id", "x", F.explode(F.array("a", "b")).alias("y")).distinct()
+    sizes = ends.groupBy("surface_id").agg(F.ceil(F.count("*") / share).alias("shares"))
+    dealt = ends.join(sizes, "surface_id").withColumn("share", F.pmod(F.xxhash64("x", "y"), F.col("shares"))).select("surface_id", "share", "x", "y")
+    parts = dealt.groupBy("surface_id", "share").applyInPandas(outer, "surface_id long, x double, y double")
+    return parts.groupBy("surface_id").applyInPandas(whole, "surface_id long, hx array<double>, hy array<double>")
+
+
 def fit_surfaces(points: DataFrame, cells: int = CELLS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row per surface_id of points (surface_id, point_id, x, y, v): a thin-plate spline (Duchon 1977) in scaled coordinates, its hull and
-    grid; or the reason why there is none (too few, too many or collinear points, singular system). One small dense solve per surface, all surfaces in parallel."""
+    grid; or the reason why there is none (too few, too many or collinear points, singular system). Points closer than CLOSE_M share the first one's place and their mean
+    value. Merging, hull and grid are joins and aggregations; the dense solve of one surface is one task's work, all surfaces in parallel."""
+    merged = written(merge_close(points.select("surface_id", "point_id", "x", "y", "v"), CLOSE_M), "merged")
+    facts = merged.groupBy("surface_id").agg(
+        F.count("*").alias("n"), F.avg("x").alias("x0"), F.avg("y").alias("y0"), (F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy"), F.min("x").alias("x_low"), F.min("y").alias("y_low")
+    )
+    size = F.greatest("dx", "dy")
+    hull = hulls(merged)
+    turned = F.zip_with("hx", F.concat(F.slice("hy", 2, F.greatest(F.size("hy") - 1, F.lit(0))), F.slice("hy", 1, 1)), lambda a, b: a * b)
+    back = F.zip_with("hy", F.concat(F.slice("hx", 2, F.greatest(F.size("hx") - 1, F.lit(0))), F.slice("hx", 1, 1)), lambda a, b: a * b)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    area = (total(turned) - total(back)) / 2
+    known = points.select("surface_id").distinct().join(facts, "surface_id", "left").join(hull, "surface_id", "left")
+    reason = F.when(F.coalesce("n", F.lit(0)) < 3, "fewer than three control points").when(F.col("n") > MOST_POINTS, f"more than {MOST_POINTS} control points").when((F.size("hx") < 3) | (area < 0.002 * size * size), "control points lie on a line")
+    known = written(known.withColumns({"reason": reason, "scale": size}), "surfaces")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["x", "y", "v"]).sort_values("point_id")
-        row = dict.fromkeys([c.split()[0] for c in FIT.split(", ")])
-        row["surface_id"] = int(pdf.surface_id.iloc[0]) if len(pdf) else None
-        if len(pdf) > MOST_POINTS:
-            return pd.DataFrame([row | {"reason": f"more than {MOST_POINTS} control points"}])
-        x, y, v = _merge_close(*(pdf[c].to_numpy(float) for c in "xyv")) if len(pdf) else (np.zeros(0),) * 3
-        if len(x) < 3:
-            return pd.DataFrame([row | {"reason": "fewer than three control points"}])
-        hull, size = convex_hull(x, y), max(np.ptp(x), np.ptp(y))
-        if hull_area(hull) < 0.002 * size**2:
-            return pd.DataFrame([row | {"reason": "control points lie on a line"}])
-        x0, y0, n = x.mean(), y.mean(), len(x)
+        pdf = pdf.sort_values("point_id")
+        x, y, v = (pdf[c].to_numpy(float) for c in "xyv")
+        x0, y0, size, n = pdf.x0.iloc[0], pdf.y0.iloc[0], pdf.scale.iloc[0], len(pdf)
         px, py = (x - x0) / size, (y - y0) / size
         m = np.zeros((n + 3, n + 3))
         m[:n, :n] = _basis((px[:, None] - px) ** 2 + (py[:, None] - py) ** 2) + smoothing * np.eye(n)
         m[:n, n:] = np.column_stack([np.ones(n), px, py])
         m[n:, :n] = m[:n, n:].T
+        row = {"surface_id": pdf.surface_id.iloc[0], "px": px.tolist(), "py": py.tolist()}
         try:
             s = np.linalg.solve(m, np.concatenate([v, np.zeros(3)]))
         except np.linalg.LinAlgError:
-            return pd.DataFrame([row | {"reason": "singular system"}])
-        pad = max(LEAST_MARGIN, MARGIN * size)
-        cell = (size + 2 * pad) / cells
-        row |= {"x0": x0, "y0": y0, "scale": size, "c0": s[n], "c1": s[n + 1], "c2": s[n + 2], "px": px.tolist(), "py": py.tolist(), "w": s[:n].tolist(), "hx": hull[:, 0].tolist(), "hy": hull[:, 1].tolist(), "pad": pad, "cell": cell, "nx": int(np.ceil((np.ptp(x) + 2 * pad) / cell)) + 1, "ny": int(np.ceil((np.ptp(y) + 2 * pad) / cell)) + 1}
-        return pd.DataFrame([row])
-
-    return points.select("surface_id", "point_id", "x", "y", "v").groupBy("surface_id").applyInPandas(fit, FIT)
-
-
-def evaluate(fits: DataFrame, rows_at_once: int = 16) -> DataFrame:
-    """(surface_id, i, j, x, y, z): the grid of each surface, z null outside the hull and its margin. Bands of grid rows are
-    dealt out, so a large grid is many tasks' work."""
+            return pd.DataFrame([row | {"w": None, "c0": None, "c1": None, "c2": None}])
+        return pd.DataFrame([row | {"w": s[:n].tolist(), "c0": s[n], "c1": s[n + 1], "c2": s[n + 2]}])
+
+    ready = merged.join(known.where("reason IS NULL").select("surface_id", "x0", "y0", "scale"), "surface_id")
+    solved = ready.groupBy("surface_id").applyInPandas(fit, "surface_id long, px array<double>, py array<double>, w array<double>, c0 double, c1 double, c2 double")
+    pad = F.greatest(F.lit(LEAST_MARGIN), MARGIN * F.col("scale"))
+    out = known.join(solved, "surface_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("w").isNull(), "singular system"))).withColumn("pad", pad).withColumn("cell", (F.col("scale") + 2 * F.col("pad")) / cells)
+    count = lambda d: (F.ceil((F.col(d) + 2 * F.col("pad")) / F.col("cell")) + 1).cast("int")
+    fine = F.col("reason").isNull()
+    out = out.withColumns({"nx": count("dx"), "ny": count("dy")})
+    return out.select(*[(F.col(c) if c in ("surface_id", "reason") else F.when(fine, F.col(c))).cast(t).alias(c) for c, t in (x.split() for x in FIT.split(", "))])
+
+
+def evaluate(fits: DataFrame, rows_at_once: int = 16, points_at_once: int = 512) -> DataFrame:
+    """(surface_id, i, j, x, y, z): the grid of each surface, z null outside the hull and its margin. A product in blocks: each band of grid rows meets
+    each block of control points in a task of its own choosing, and their shares of z are summed up, so neither a large grid nor many points are one task's work."""
     good = fits.where("reason IS NULL")
-    ends = good.select("surface_id", F.array_min("hx").alias("x_low"), F.array_min("hy").alias("y_low"))
-    bands = good.join(ends, "surface_id").withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("ny") - 1) / rows_at_once).cast("int")))).repartition("surface_id", "band")
+    corner = good.select("surface_id", "x0", "y0", "scale", "c0", "c1", "c2", "hx", "hy", "pad", "cell", "nx", "ny", F.array_min("hx").alias("x_low"), F.array_min("hy").alias("y_low"))
+    bands = corner.withColumn("band", F.explode(F.sequence(F.lit(0), F.floor((F.col("ny") - 1) / rows_at_once).cast("int"))))
+    part = lambda c: F.slice(c, F.col("block") * points_at_once + 1, points_at_once).alias(c)
+    blocks = good.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("px") - 1) / points_at_once).cast("int")))).select("surface_id", "block", part("px"), part("py"), part("w"))
+    pairs = bands.join(blocks, "surface_id").repartition("surface_id", "band", "block")
 
-    def grid(batches):
+    def shares(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 j = np.arange(r.band * rows_at_once, min((r.band + 1) * rows_at_once, r.ny))
                 i, j = (a.ravel() for a in np.meshgrid(np.arange(r.nx), j))
                 x, y = r.x_low - r.pad + i * r.cell, r.y_low - r.pad + j * r.cell
                 sx, sy, px, py, w = (x - r.x0) / r.scale, (y - r.y0) / r.scale, np.array(r.px), np.array(r.py), np.array(r.w)
-                z = r.c0 + r.c1 * sx + r.c2 * sy
-                for k in range(0, len(px), 256):
-                    z = z + _basis((sx[:, None] - px[k : k + 256]) ** 2 + (sy[:, None] - py[k : k + 256]) ** 2) @ w[k : k + 256]
-                z[hull_distance(x, y, np.array(r.hx), np.array(r.hy)) > r.pad] = np.nan
-                yield pd.DataFrame({"surface_id": r.surface_id, "i": i.astype(np.int32), "j": j.astype(np.int32), "x": x, "y": y, "z": z})
+                z = _basis((sx[:, None] - px) ** 2 + (sy[:, None] - py) ** 2) @ w
+                inside = np.ones(len(z), bool)
+                if r.block == 0:  # the plane, and the margin, whose edge is inside
+                    z = z + r.c0 + r.c1 * sx + r.c2 * sy
+                    inside = hull_distance(x, y, np.array(r.hx), np.array(r.hy)) <= r.pad * (1 + 1e-12)
+                yield pd.DataFrame({"surface_id": r.surface_id, "i": i.astype(np.int32), "j": j.astype(np.int32), "x": x, "y": y, "z": z, "inside": inside})
 
-    cells = bands.mapInPandas(grid, "surface_id long, i int, j int, x double, y double, z double")
-    return cells.withColumn("z", F.nanvl("z", F.lit(None).cast("double")))
+    cells = pairs.mapInPandas(shares, "surface_id long, i int, j int, x double, y double, z double, inside boolean").groupBy("surface_id", "i", "j", "x", "y")
+    return cells.agg(F.sum("z").alias("z"), F.min("inside").alias("inside")).withColumn("z", F.when(F.col("inside"), F.col("z"))).drop("inside")
 
 
 def hull_distance(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray) -> np.ndarray:
@@ -153,43 +175,106 @@ def hull_distance(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray)
     return np.where(inside, 0.0, out)
 
 
+def contour_steps(cells: DataFrame, about: int = 10) -> DataFrame:
+    """(surface_id, step): a round interval for about so many levels."""
+    ends = cells.groupBy("surface_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi")).where("hi > lo")
+    return ends.select("surface_id", nice_step(F.col("hi") - F.col("lo"), about).alias("step"))
+
+
 def contour_levels(cells: DataFrame, about: int = 10) -> DataFrame:
     """(surface_id, level) at a round interval."""
-    ends = cells.groupBy("surface_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi")).where("hi > lo")
-    step = ends.withColumn("step", nice_step(F.col("hi") - F.col("lo"), about))
+    ends = cells.groupBy("surface_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    step = ends.join(contour_steps(cells, about), "surface_id")
     first, last = F.ceil(F.col("lo") / F.col("step")), F.floor(F.col("hi") / F.col("step"))
     return step.where(last >= first).select("surface_id", "step", F.explode(F.sequence(first, last)).alias("k")).select("surface_id", (F.col("k") * F.col("step")).alias("level"))
 
 
-def contour_lines(cells: DataFrame, levels: DataFrame) -> DataFrame:
-    """(surface_id, level, x1, y1, x2, y2): segments in which each level crosses the two triangles of every full grid cell."""
-    corner = F.struct("x", "y", "z")
+def contour_segments(cells: DataFrame, steps: DataFrame) -> DataFrame:
+    """(surface_id, level, a, b, x1, y1, x2, y2): segments in which the multiples of each surface's step cross the two triangles of every full grid cell, from the grid
+    edge a to b (three numbers each), with the higher ground to the left. Levels are made from each triangle's own lowest and highest corner, so there is nothing to join but the step. A
+    corner on a level counts as above it."""
+    corner = F.struct("x", "y", "z", "i", "j")
     row, column = W.partitionBy("surface_id", "j").orderBy("i"), W.partitionBy("surface_id", "i").orderBy("j")
     c = cells.withColumn("p", corner).withColumn("right", F.lead("p").over(row))
     c = c.withColumns({"up": F.lead("p").over(column), "diagonal": F.lead("right").over(column)}).where("p.z IS NOT NULL AND right.z IS NOT NULL AND up.z IS NOT NULL AND diagonal.z IS NOT NULL")
-    t = c.select("surface_id", F.explode(F.array(F.array("p", "right", "diagonal"), F.array("p", "diagonal", "up"))).alias("t"))
-    t = t.select("surface_id", F.array_sort("t", lambda a, b: F.when(a["z"] < b["z"], -1).when(a["z"] > b["z"], 1).otherwise(0)).alias("t"))
-    low, mid, high = F.get("t", F.lit(0)), F.get("t", F.lit(1)), F.get("t", F.lit(2))
-    hit = t.withColumns({"low": low, "mid": mid, "high": high}).join(levels, "surface_id").where("level > low.z AND level <= high.z")
-
-    def at(a, b):
-        s = (F.col("level") - F.col(f"{a}.z")) / (F.col(f"{b}.z") - F.col(f"{a}.z"))
-        return [F.col(f"{a}.{c}") + s * (F.col(f"{b}.{c}") - F.col(f"{a}.{c}")) for c in "xy"]
-
-    first, lower, upper = at("low", "high"), at("low", "mid"), at("mid", "high")
-    below = F.col("level") <= F.col("mid.z")
-    return hit.select("surface_id", "level", first[0].alias("x1"), first[1].alias("y1"), F.when(below, lower[0]).otherwise(upper[0]).alias("x2"), F.when(below, lower[1]).otherwise(upper[1]).alias("y2"))
+    both = F.array(*[F.struct(F.col("p").alias("c0"), F.col(a).alias("c1"), F.col(b).alias("c2")) for a, b in (("right", "diagonal"), ("diagonal", "up"))])  # both counterclockwise
+    t = c.join(steps, "surface_id").select("surface_id", "step", F.explode(both).alias("t")).select("surface_id", "step", *[F.col(f"t.c{k}.{v}").alias(f"{v}{k}") for k in range(3) for v in "xyzij"])
+    t = t.withColumns({"first": F.floor(F.least("z0", "z1", "z2") / F.col("step")) + 1, "last": F.floor(F.greatest("z0", "z1", "z2") / F.col("step"))}).where("last >= first")
+    t = t.withColumn("k", F.explode(F.sequence("first", "last"))).withColumn("level", F.col("k") * F.col("step"))
+    # going round the triangle, the level is crossed once downwards and once upwards: the segment leads from the one to the other
+    over = [F.col(f"z{k}") >= F.col("level") for k in range(3)]
+    side = lambda at: F.when(at(0, 1), 0).when(at(1, 2), 1).otherwise(2)
+    t = t.withColumns({"down": side(lambda k, m: over[k] & ~over[m]), "rise": side(lambda k, m: ~over[k] & over[m])})
+    of = lambda v, k: F.when(k == 0, F.col(f"{v}0")).when(k == 1, F.col(f"{v}1")).otherwise(F.col(f"{v}2"))
+    for name in ("down", "rise"):
+        here, there = F.col(name), F.pmod(F.col(name) + 1, F.lit(3))
+        # from the same end whichever triangle asks, so that both get the same point
+        swap = (of("i", here) > of("i", there)) | ((of("i", here) == of("i", there)) & (of("j", here) > of("j", there)))
+        t = t.withColumns({f"{name}_a": F.when(swap, there).otherwise(here), f"{name}_b": F.when(swap, here).otherwise(there)})
+        t = t.withColumns({f"{name}_{v}{e}": of(v, F.col(f"{name}_{e}")) for v in "xyzij" for e in "ab"})
+        t = t.withColumn(f"{name}_s", (F.col("level") - F.col(f"{name}_za")) / (F.col(f"{name}_zb") - F.col(f"{name}_za")))
+    at = lambda n, v: F.col(f"{n}_{v}a") + F.col(f"{n}_s") * (F.col(f"{n}_{v}b") - F.col(f"{n}_{v}a"))
+    edge = lambda n: F.struct(F.col(f"{n}_ia").alias("i"), F.col(f"{n}_ja").alias("j"), (F.col(f"{n}_ib") - F.col(f"{n}_ia") + 2 * (F.col(f"{n}_jb") - F.col(f"{n}_ja"))).alias("way"))
+    return t.select("surface_id", "level", edge("down").alias("a"), edge("rise").alias("b"), at("down", "x").alias("x1"), at("down", "y").alias("y1"), at("rise", "x").alias("x2"), at("rise", "y").alias("y2"))
+
+
+def contour_lines(cells: DataFrame, steps: DataFrame) -> DataFrame:
+    """(surface_id, level, x1, y1, x2, y2): contour_segments() without their edges."""
+    return contour_segments(cells, steps).select("surface_id", "level", "x1", "y1", "x2", "y2")
+
+
+def contour_paths(segments: DataFrame) -> DataFrame:
+    """(surface_id, level, line, seq, x, y, closed): contour_segments() linked to lines, by pointer jumping. Every grid edge that a line crosses ends one segment and begins the next, so
+    the segments are linked lists and rings; each round doubles how far a segment sees, and the rounds are as many as the logarithm of a level's segments. `line` numbers the lines
+    of a level by their first segment in the order of grid edges; rings begin there and return to it. Points that follow each other in one place (a corner on a level) are kept."""
+    key = ["surface_id", "level"]
+    rows = written(segments, "segments")
+    nodes = rows.select(*key, F.col("a").alias("id"), F.col("b").alias("next"))
+    nodes = nodes.join(nodes.select(*key, F.col("id").alias("next"), F.lit(True).alias("on")), [*key, "next"], "left")
+    # ends point nowhere; low is the smallest edge seen so far
+    state = written(nodes.select(*key, "id", F.when(F.col("on"), F.col("next")).alias("next"), F.col("id").alias("low")), "links")
+    most = rows.groupBy(*key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+    def joined(state: DataFrame, *more: str) -> DataFrame:
+        """What each segment sees, with what the one that it points at sees."""
+        far = state.select(*key, F.col("id").alias("next"), F.col("next").alias("next2"), *[F.col(c).alias(f"{c}2") for c in more])
+        return state.join(far, [*key, "next"], "left")
+
+    links = state.select(*key, "id", "next")
+    for _ in range(max(1, most.bit_length())):  # a ring sees all of itself after as many
+        if state.where("next IS NOT NULL").isEmpty():
+            break
+        state = written(joined(state, "low").select(*key, "id", F.col("next2").alias("next"), F.least("low", "low2").alias("low")), "links")
+    rings = state.where("next IS NOT NULL").select(*key, "id", "low")
+    # rings are cut before their smallest edge
+    cut = links.join(rings, [*key, "id"], "left").select(*key, "id", F.when(~F.coalesce(F.col("next") == F.col("low"), F.lit(False)), F.col("next")).alias("next"), "low")
+    begin = written(cut.select(*key, "id", "next", "low"), "cut")
+    state = begin.select(*key, "id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("far"))
+    # how far each segment is from the end of its line, and which end that is
+    state = state.withColumn("end", F.when(F.col("next").isNull(), F.col("id")))
+    while not (state := written(state, "ranks")).where("next IS NOT NULL").isEmpty():
+        state = joined(state, "far", "end").select(*key, "id", F.col("next2").alias("next"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.coalesce("end", "end2").alias("end"))
+    ranked_ = state.select(*key, "id", "far", "end")
+    lines = ranked_.groupBy(*key, "end").agg(F.max("far").alias("length"), F.max_by("id", "far").alias("first"))
+    lines = lines.withColumn("line", F.row_number().over(W.partitionBy(*key).orderBy("first")) - 1)
+    closed = rings.select(*key, "id", F.lit(True).alias("closed"))
+    at = ranked_.join(lines, [*key, "end"]).join(closed, [*key, "id"], "left").join(rows.withColumnRenamed("a", "id"), [*key, "id"])
+    seq = F.col("length") - F.col("far")
+    point = F.struct(seq.alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    # the last segment also gives the end of the line
+    tail = F.when(F.col("far") == 0, F.struct((seq + 1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")))
+    points = at.withColumn("p", F.explode(F.array_compact(F.array(point, tail))))
+    return points.select(*key, "line", "p.seq", "p.x", "p.y", F.coalesce("closed", F.lit(False)).alias("closed"))
 
 
 def section_order(wells: DataFrame) -> DataFrame:
     """wells with seq, from west to east, wells without position last."""
-    return wells.withColumn("seq", F.row_number().over(W.orderBy(F.col("lon").asc_nulls_last(), "well_id")))
+    return ranked(wells, [F.col("lon").asc_nulls_last(), "well_id"], "seq").withColumn("seq", F.col("seq") + 1)
 
 
 def neighbours(section: DataFrame) -> DataFrame:
     """(seq, well_id, next_id, km): consecutive wells of a section and their distance."""
-    line = W.orderBy("seq")
-    nxt = section.withColumns({"next_id": F.lead("well_id").over(line), "_lat": F.lead("lat").over(line), "_lon": F.lead("lon").over(line)})
+    nxt = with_next(section.withColumn("_at", F.col("seq") - 1), "_at", {"well_id": "next_id", "lat": "_lat", "lon": "_lon"})
     return nxt.where("next_id IS NOT NULL").select("seq", "well_id", "next_id", haversine_km("lat", "lon", "_lat", "_lon").alias("km"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import running
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -109,10 +111,13 @@ def weighted_quantiles(zoned: DataFrame, value: str, keys: list[str], at: tuple[
 
 def equal_count_breaks(samples: DataFrame, value: str, groups: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
     """min, max and the inner breaks b1.. that split a curve's values into groups of equal count (rank floor(k n / groups))."""
-    rows = samples.where(F.col(value).isNotNull())
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_m"))
-    upto = F.sum("_m").over(W.partitionBy(*keys).orderBy(value))
-    cum = counts.withColumns({"_upto": upto, "_n": F.sum("_m").over(W.partitionBy(*keys))})
+    counts = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_m"))
+    if keys:
+        upto = F.sum("_m").over(W.partitionBy(*keys).orderBy(value))
+        cum = counts.withColumns({"_upto": upto, "_n": F.sum("_m").over(W.partitionBy(*keys))})
+    else:  # the values of a whole table have no partition of their own
+        cum, n = running(counts, [value], "_m", "_upto")
+        cum = cum.withColumn("_n", F.lit(n))
     rank = lambda k: F.least(F.floor(F.col("_n") * k / groups), F.col("_n") - 1)
     return cum.groupBy(*keys).agg(F.min(value).alias("min"), *[F.min(F.when(F.col("_upto") > rank(k), F.col(value))).alias(f"b{k}") for k in range(1, groups)], F.max(value).alias("max"))
 

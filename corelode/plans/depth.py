@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import depth as D
+from ..operators import proximity as X
 from ..operators import surface as M
 from . import base as B
 from .petrophysics import d
@@ -270,7 +271,71 @@ def structure_surface(spark, sf_dir):
 
 def structure_contours(spark, sf_dir):
     cells = M.evaluate(M.fit_surfaces(_surfaces(spark, sf_dir), cells=40))
-    return B.rounded(M.contour_lines(cells, M.contour_levels(cells)), digits=3)
-
-
-QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, path_positions_all, tvd_at_md, offset_at_md, md_from_tvd, md_from_tvd_all, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours)}
+    return B.rounded(M.contour_lines(cells, M.contour_steps(cells)), digits=3)
+
+
+def plane_surface(spark, sf_dir):
+    """Wells on a lattice of 5 columns a surface, with control values on a plane: the spline is the plane."""
+    k = F.col("s_suppkey")
+    x, y = (1000.0 * (k % 5)).cast("double"), (1000.0 * F.floor((k % 100) / 5)).cast("double")
+    points = B.read(spark, sf_dir, "supplier").select(F.floor(k / 100).alias("surface_id"), F.col("s_suppkey").alias("point_id"), x.alias("x"), y.alias("y"), (100.0 + 0.01 * x - 0.02 * y).alias("v"))
+    return B.rounded(M.evaluate(M.fit_surfaces(points, cells=40)), digits=3)
+
+
+SQL["plane_surface"] = f"""
+WITH p AS (SELECT s_suppkey // 100 AS surface_id, {d(1000)} * (s_suppkey % 5) AS x, {d(1000)} * ((s_suppkey % 100) // 5) AS y FROM supplier),
+e AS (SELECT surface_id, max(x) AS w, max(y) AS h, greatest(max(x), max(y)) AS size FROM p GROUP BY surface_id HAVING count(*) >= 3 AND max(x) * max(y) >= 0.002 * pow(greatest(max(x), max(y)), 2)),
+g AS (SELECT *, greatest({d(200)}, {d(0.15)} * size) AS pad, (size + 2 * greatest({d(200)}, {d(0.15)} * size)) / 40 AS cell FROM e),
+n AS (SELECT *, unnest(range(0, CAST(ceil((w + 2 * pad) / cell) AS BIGINT) + 1)) AS i FROM g),
+m AS (SELECT *, unnest(range(0, CAST(ceil((h + 2 * pad) / cell) AS BIGINT) + 1)) AS j FROM n),
+c AS (SELECT *, i * cell - pad AS x, j * cell - pad AS y FROM m)
+SELECT surface_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y,
+  CASE WHEN sqrt(pow(greatest(-x, x - w, 0), 2) + pow(greatest(-y, y - h, 0), 2)) <= pad * (1 + {d(1e-12)}) THEN round(100 + {d(0.01)} * x - {d(0.02)} * y, 3) + 0.0 END AS z FROM c"""
+
+
+def merged_points(spark, sf_dir):
+    """Points 10 m apart in threes, 100 m from the next three: the earlier end takes the middle one, the other end is a centre of its own. Odd threes are counted backwards."""
+    s = B.log_samples(spark, sf_dir).select("well_id", "idx", "rt")
+    three, k = F.floor(F.col("idx") / 3), F.col("idx") % 3
+    order = F.col("idx") + F.when(three % 2 == 1, 2 - 2 * k).otherwise(0)
+    points = s.select(F.col("well_id").alias("surface_id"), order.alias("point_id"), (100.0 * (three % 20) + 10.0 * k).alias("x"), (100.0 * F.floor(three / 20)).cast("double").alias("y"), F.col("rt").alias("v"))
+    return B.rounded(X.merge_close(points, M.CLOSE_M), digits=6)
+
+
+SQL["merged_points"] = B.CTE + f""",
+s AS (SELECT well_id AS surface_id, idx // 3 AS three, idx % 3 AS k, CASE WHEN (idx // 3) % 2 = 1 THEN idx + 2 - 2 * (idx % 3) ELSE idx END AS point_id,
+  {d(100)} * ((idx // 3) % 20) + {d(10)} * (idx % 3) AS x, {d(100)} * ((idx // 3) // 20) AS y, rt AS v FROM log_samples),
+g AS (SELECT *, CASE WHEN three % 2 = 0 THEN CASE WHEN k = 2 THEN 2 ELSE 0 END WHEN k = 0 AND count(*) OVER t <> 2 THEN 0 ELSE count(*) OVER t - 1 END AS centre FROM s WINDOW t AS (PARTITION BY surface_id, three))
+SELECT surface_id, min(CASE WHEN k = centre THEN point_id END) AS point_id, max(CASE WHEN k = centre THEN x END) AS x, max(y) AS y, round(avg(v), 6) + 0.0 AS v, count(*) AS n
+FROM g GROUP BY surface_id, three, centre"""
+
+
+def _cone(spark, sf_dir):
+    """A cone on a grid of 24 by 24 cells of 10 m for each well with so many samples."""
+    i, j = (F.col("idx") % 24).cast("int"), F.floor(F.col("idx") / 24).cast("int")
+    x, y = 10.0 * i, 10.0 * j
+    s = B.log_samples(spark, sf_dir).where("idx < 576")
+    whole = s.groupBy("well_id").count().where("count = 576").select("well_id")
+    return s.join(whole, "well_id").select(F.col("well_id").alias("surface_id"), i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y"), F.sqrt((x - 117.0) * (x - 117.0) + (y - 113.0) * (y - 113.0)).alias("z"))
+
+
+def cone_contours(spark, sf_dir):
+    """Rings about the top of a cone, and arcs where the grid ends: lines, points, and how far those are from the ring's radius at most."""
+    cells = _cone(spark, sf_dir)
+    steps = cells.select("surface_id").distinct().withColumn("step", F.lit(20.0))
+    points = M.contour_paths(M.contour_segments(cells, steps))
+    radius = F.sqrt((F.col("x") - 117.0) * (F.col("x") - 117.0) + (F.col("y") - 113.0) * (F.col("y") - 113.0))
+    by = points.groupBy("surface_id", "level").agg(F.countDistinct("line").alias("lines"), F.countDistinct(F.when(F.col("closed"), F.col("line"))).alias("rings"), F.count(F.when(~F.col("closed") | (F.col("seq") > 0), 1)).alias("crossings"), F.max(F.abs(radius - F.col("level"))).alias("off"))
+    return by.select("surface_id", "level", "lines", "rings", "crossings", (F.col("off") < 1.3).alias("round"))
+
+
+SQL["cone_contours"] = B.CTE + f""",
+c AS (SELECT well_id, idx % 24 AS i, idx // 24 AS j, sqrt(pow(10 * (idx % 24) - {d(117)}, 2) + pow(10 * (idx // 24) - {d(113)}, 2)) AS z FROM log_samples WHERE idx < 576),
+w AS (SELECT well_id FROM c GROUP BY well_id HAVING count(*) = 576),
+l AS (SELECT {d(20)} * unnest(range(1, 10)) AS level),
+e AS (SELECT a.well_id, level FROM c AS a JOIN c AS b ON a.well_id = b.well_id AND b.i - a.i BETWEEN 0 AND 1 AND b.j - a.j BETWEEN 0 AND 1 AND (b.i, b.j) <> (a.i, a.j) JOIN l ON least(a.z, b.z) < level AND greatest(a.z, b.z) >= level)
+SELECT well_id AS surface_id, level, CASE WHEN level < 113 THEN 1 WHEN level < 159 THEN 4 ELSE 3 END AS lines, CASE WHEN level < 113 THEN 1 ELSE 0 END AS rings, count(*) AS crossings, true AS round
+FROM e JOIN w USING (well_id) GROUP BY well_id, level"""
+
+
+QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, path_positions_all, tvd_at_md, offset_at_md, md_from_tvd, md_from_tvd_all, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours, plane_surface, merged_points, cone_contours)}

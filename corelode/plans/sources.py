@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import depth as D
 from ..operators import tokens as K
-from ..sources import export, las
+from ..sources import export, las, store
+from ..streaming import replace
 from . import base as B
 from .depth import SURVEYED
 from .petrophysics import d
@@ -68,6 +69,89 @@ def las_problems(spark, sf_dir):
 SQL["las_problems"] = " UNION ALL ".join(f"SELECT 'warn' AS level, '{c}' AS category, count(*) AS files FROM supplier WHERE s_suppkey % 5 = 0" for c in ("rows", "width"))
 
 
+def _dialect_folder(spark, sf_dir):
+    """Logs as text files in the shared folder: every third well unwrapped, wrapped with swapped labels, and as LAS 3 with commas."""
+    number = lambda c: F.coalesce(F.round(c, 6).cast("string"), F.lit(export.NULL_TEXT))
+    s = B.log_samples(spark, sf_dir).select("well_id", F.col("well_id") % 3, *[number(c).alias(c) for c in ("md", "gr", "rhob", "rt")], F.col("md").alias("depth")).toDF("well_id", "kind", "md", "gr", "rhob", "rt", "depth")
+    wrapped = F.concat_ws("\n", "md", F.concat_ws(" ", "gr", "rhob"), "rt")
+    row = F.when(F.col("kind") == 0, F.concat_ws(" ", "md", "gr", "rhob", "rt")).when(F.col("kind") == 1, wrapped).otherwise(F.concat_ws(",", "md", "gr", "rhob", "rt"))
+    body = s.groupBy("well_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
+    version = F.when(F.col("kind") == 0, "~Version\nVERS. 2.0 :\nWRAP. NO :\n").when(F.col("kind") == 1, "~Version\nVERS. 1.2 :\nWRAP. YES :\n").otherwise("~Version\nVERS. 3.0 :\nDLM. COMMA :\n")
+    well = F.when(F.col("kind") == 1, F.concat(F.lit("WELL. WELL : "), F.col("name"))).otherwise(F.concat(F.lit("WELL. "), F.col("name"), F.lit(" : WELL")))
+    curves = F.concat(F.when(F.col("kind") == 2, "\n~Log_Definition\n").otherwise("\n~Curves\n"), F.lit("DEPT.FT :\nGR.GAPI :\nRHOB.G/CC :\nRT.OHMM :\n"), F.when(F.col("kind") == 2, "~Log_Data | Log_Definition\n").otherwise("~A\n"))
+    text = F.concat(version, F.lit(f"~Well\nNULL. {export.NULL_TEXT} : NULL\n"), well, curves, F.col("body"))
+    path = store.new_path(spark, "logs")
+    export.write_las(body.join(B.wells(spark, sf_dir).select("well_id", "name"), "well_id").select("well_id", text.alias("value")), path)
+    return path
+
+
+def _ranged(spark, sf_dir):
+    """(lines, their ranges) of those files, read in ranges of bytes."""
+    raw = las.read_ranges(spark, _dialect_folder(spark, sf_dir))
+    known = store.written(las.ranges(raw), "ranges")
+    return las.range_lines(raw, known), known
+
+
+_WELL = F.regexp_extract("file", "well_id=([0-9]+)", 1).cast("long").alias("well_id")
+
+
+def las_ranges(spark, sf_dir):
+    rows, known = _ranged(spark, sf_dir)
+    head = store.written(las.headers(rows), "headers")
+    recs = las.records(las.data_rows(rows, las.file_facts(head), known))
+    long = las.samples(recs, las.curves(head))
+    return B.rounded(long.select(_WELL, "mnemonic", F.col("idx").cast("long").alias("idx"), "md", "value"), digits=5)
+
+
+SQL["las_ranges"] = B.CTE + " UNION ALL ".join(f"SELECT well_id, '{c.upper()}' AS mnemonic, idx, md, round({c}, 5) + 0.0 AS value FROM log_samples" for c, _ in CURVES)
+
+
+def las_dialects(spark, sf_dir):
+    """The name of each well, also where label and value are swapped, and what kind of file it is."""
+    rows, _ = _ranged(spark, sf_dir)
+    head = store.written(las.headers(rows), "headers")
+    w = las.wells(head, las.curves(head)).join(las.file_facts(head), "file")
+    return w.select(_WELL, "name", "wrap", "las3", "delimiter", F.col("n_curves").cast("long").alias("n_curves"))
+
+
+SQL["las_dialects"] = "SELECT s_suppkey AS well_id, s_name AS name, s_suppkey % 3 = 1 AS wrap, s_suppkey % 3 = 2 AS las3, CASE WHEN s_suppkey % 3 = 2 THEN 'COMMA' ELSE 'SPACE' END AS delimiter, 4 AS n_curves FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)"
+
+
+def reopened_files(spark, sf_dir):
+    """Two batches of logs, the second of them twice. It opens every fifth file again, with doubled values and in every tenth the name of another well, and brings older copies of every seventh."""
+    s = B.log_samples(spark, sf_dir)
+
+    def batch(wells, factor, modified, moved=None):
+        gr = F.coalesce((F.col("gr") * factor).cast("string"), F.lit(export.NULL_TEXT))
+        rows = s.where(wells).groupBy("well_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("md", F.concat_ws(" ", F.col("md").cast("string"), gr).alias("row")))), lambda x: x["row"]), "\n").alias("body"))
+        name = F.when(F.lit(moved is not None) & (F.col("well_id") % 10 == 0), F.col("well_id") + (moved or 0)).otherwise(F.col("well_id"))
+        text = F.concat(F.lit("~V\nVERS. 2.0 :\n~W\nWELL. "), name.cast("string"), F.lit(" : WELL\n~C\nDEPT.FT :\nGR.GAPI :\n~A\n"), F.col("body"))
+        path = F.concat(F.lit(f"/in/{modified}/W"), F.col("well_id").cast("string"), F.lit(".las"))
+        return rows.select(path.alias("path"), F.lit(modified).cast("timestamp").alias("modified"), text.alias("value"))
+
+    def wells_of(files):
+        head = las.headers(las.lines(files.select("file", "value")))
+        return head.where("section = 'W' AND mnemonic = 'WELL'").select("file", F.col("value").alias("well_id"))
+
+    def build(files):
+        rows = las.lines(files.select("file", "value"))
+        head = las.headers(rows)
+        long = las.samples(las.records(las.data_rows(rows, las.file_facts(head))), las.curves(head))
+        by = long.groupBy("file").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
+        return files.select("file", "well_id").join(by, "file").groupBy(F.col("well_id").cast("long").alias("well_id")).agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
+
+    at = store.new_path(spark, "ingest")
+    handle = replace.replaced(replace.Files(spark, f"{at}/kept"), f"{at}/wells", wells_of, build)
+    second = batch("well_id % 5 = 0", 2, "2024-03-01", 1_000_000).unionByName(batch("well_id % 7 = 0", 9, "2023-01-01"))
+    for n, files in ((0, batch("true", 1, "2024-01-01")), (1, second), (1, second)):
+        handle(files, n)
+    return B.rounded(replace.table(spark, f"{at}/wells"), digits=4)
+
+
+SQL["reopened_files"] = B.CTE + f"""SELECT CASE WHEN well_id % 10 = 0 THEN well_id + 1000000 ELSE well_id END AS well_id, count(*) AS rows,
+  round(sum(gr) * CASE WHEN well_id % 5 = 0 THEN {d(2)} ELSE {d(1)} END, 4) + 0.0 AS total FROM log_samples GROUP BY well_id"""
+
+
 def page_tokens(spark, sf_dir):
     """Page text made of lineitem: a depth label every 60 samples of a well, pages of 300 samples, and stray numbers."""
     s = B.log_samples(spark, sf_dir)
@@ -89,4 +173,4 @@ SELECT well_id AS doc_id, CAST(idx // 300 AS INTEGER) AS page, {d(0.25)} AS slop
   CASE WHEN count(*) FILTER (WHERE idx % 60 = 0) >= 3 THEN 'fit' ELSE 'continued' END AS basis FROM log_samples GROUP BY well_id, idx // 300"""
 
 
-QUERIES |= {f.__name__: f for f in (las_round_trip, las_wells, las_survey, las_problems, page_scales)}
+QUERIES |= {f.__name__: f for f in (las_round_trip, las_wells, las_survey, las_problems, las_ranges, las_dialects, reopened_files, page_scales)}

@@ -284,7 +284,7 @@ def test_surface_reproduces_a_plane_and_refuses(spark):
     assert {x.surface_id: x.reason for x in fits.collect()} == {1: None, 2: "control points lie on a line", 3: "fewer than three control points"}
     cells = M.evaluate(fits).where("z IS NOT NULL").cache()
     assert cells.select(F.max(F.abs(F.col("z") - (100 + 0.01 * F.col("x") - 0.02 * F.col("y"))))).first()[0] < 0.05
-    lines = M.contour_lines(cells, M.contour_levels(cells)).collect()
+    lines = M.contour_lines(cells, M.contour_steps(cells)).collect()
     assert lines and all(abs(100 + 0.01 * x.x1 - 0.02 * x.y1 - x.level) < 0.1 for x in lines)
 
 
