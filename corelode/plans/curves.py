@@ -225,6 +225,6 @@ def sensor_shift(spark, sf_dir):
     return B.rounded(D.shift(B.log_samples(spark, sf_dir).select("well_id", "idx", "md", "rt"), "rt", 10.0, 0.5).select("well_id", "idx", "rt"))
 
 
-SQL["sensor_shift"] = B.CTE + "SELECT a.well_id, a.idx, round(b.rt, 6) AS rt FROM log_samples a LEFT JOIN log_samples b ON b.well_id = a.well_id AND b.idx = a.idx + 20"
+SQL["sensor_shift"] = B.CTE + "SELECT well_id, idx, round(lead(rt, 20) OVER (PARTITION BY well_id ORDER BY idx), 6) AS rt FROM log_samples"
 
 QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, rule_tops, curve_export, curve_export_all, crossplot_rows, cuttings_stack, decimated, sensor_shift)}

@@ -139,12 +139,14 @@ QUERIES |= {"interpretation": interpretation, "net_flags": net_flags, "organic_c
 SQL["interpretation"] = INTERPRETED + "SELECT well_id, idx, round(vsh, 6) + 0.0 AS vsh, round(phid, 6) + 0.0 AS phid, round(phit, 6) + 0.0 AS phit, round(phie, 6) + 0.0 AS phie, round(sw, 6) + 0.0 AS sw, round(bvw, 6) + 0.0 AS bvw FROM interpreted"
 SQL["net_flags"] = INTERPRETED + "SELECT well_id, idx, bad_hole, net_res, net_pay FROM interpreted"
 SQL["organic_carbon"] = INTERPRETED + f""",
+cuts AS (SELECT well_id, quantile_cont(rt, 0.5) AS cut FROM interpreted WHERE rt > 0 AND rhob IS NOT NULL AND vsh > {d(0.6)} GROUP BY well_id),
+above AS (SELECT well_id, top, base FROM zones WHERE zone_no = 0 AND zone <> 'Whole well'),
 lean AS (
-  SELECT i.well_id, rt, rhob FROM interpreted i JOIN zones z ON z.well_id = i.well_id AND z.zone_no = 0 AND z.zone <> 'Whole well' AND i.md >= z.top AND i.md < z.base
+  SELECT i.well_id, rt, rhob FROM interpreted i JOIN above z ON z.well_id = i.well_id AND i.md >= z.top AND i.md < z.base
   WHERE rt > 0 AND rhob IS NOT NULL AND NOT coalesce(vsh < {d(0.5)}, false)
   UNION ALL
-  SELECT u.well_id, rt, rhob FROM (SELECT well_id, rt, rhob, quantile_cont(rt, 0.5) OVER (PARTITION BY well_id) AS cut FROM interpreted WHERE rt > 0 AND rhob IS NOT NULL AND vsh > {d(0.6)}) u
-  WHERE rt <= cut AND well_id NOT IN (SELECT well_id FROM zones WHERE zone_no = 0 AND zone <> 'Whole well')),
+  SELECT u.well_id, rt, rhob FROM interpreted u JOIN cuts USING (well_id) LEFT JOIN above z USING (well_id)
+  WHERE rt > 0 AND rhob IS NOT NULL AND vsh > {d(0.6)} AND rt <= cut AND z.well_id IS NULL),
 tocbase AS (SELECT well_id, quantile_cont(rt, 0.5) AS rt_base, quantile_cont(rhob, 0.5) AS rhob_base FROM lean GROUP BY well_id HAVING count(*) >= 20)
 SELECT i.well_id, idx, round(rt_base, 6) AS rt_base, round(rhob_base, 6) AS rhob_base,
   CASE WHEN vsh >= {d(0.35)} AND NOT bad_hole THEN round(least(greatest((log10(rt / rt_base) - {d(2.5)} * (rhob - rhob_base)) * pow({d(10)}, {d(2.297)} - {d(0.1688)} * {d(10)}), 0), 20), 6) + 0.0 END AS toc

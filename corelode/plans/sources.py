@@ -92,7 +92,8 @@ def _ranged(spark, sf_dir):
     return las.range_lines(raw, known), known
 
 
-_WELL = F.regexp_extract("file", "well_id=([0-9]+)", 1).cast("long").alias("well_id")
+def _well():
+    return F.regexp_extract("file", "well_id=([0-9]+)", 1).cast("long").alias("well_id")
 
 
 def las_ranges(spark, sf_dir):
@@ -100,7 +101,7 @@ def las_ranges(spark, sf_dir):
     head = store.written(las.headers(rows), "headers")
     recs = las.records(las.data_rows(rows, las.file_facts(head), known))
     long = las.samples(recs, las.curves(head))
-    return B.rounded(long.select(_WELL, "mnemonic", F.col("idx").cast("long").alias("idx"), "md", "value"), digits=5)
+    return B.rounded(long.select(_well(), "mnemonic", F.col("idx").cast("long").alias("idx"), "md", "value"), digits=5)
 
 
 SQL["las_ranges"] = B.CTE + " UNION ALL ".join(f"SELECT well_id, '{c.upper()}' AS mnemonic, idx, md, round({c}, 5) + 0.0 AS value FROM log_samples" for c, _ in CURVES)
@@ -111,7 +112,7 @@ def las_dialects(spark, sf_dir):
     rows, _ = _ranged(spark, sf_dir)
     head = store.written(las.headers(rows), "headers")
     w = las.wells(head, las.curves(head)).join(las.file_facts(head), "file")
-    return w.select(_WELL, "name", "wrap", "las3", "delimiter", F.col("n_curves").cast("long").alias("n_curves"))
+    return w.select(_well(), "name", "wrap", "las3", "delimiter", F.col("n_curves").cast("long").alias("n_curves"))
 
 
 SQL["las_dialects"] = "SELECT s_suppkey AS well_id, s_name AS name, s_suppkey % 3 = 1 AS wrap, s_suppkey % 3 = 2 AS las3, CASE WHEN s_suppkey % 3 = 2 THEN 'COMMA' ELSE 'SPACE' END AS delimiter, 4 AS n_curves FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)"

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -44,3 +46,8 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_imports_without_a_session():
+    at = os.path.dirname(os.path.abspath(entry.__file__))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=at, check=True, timeout=120)
