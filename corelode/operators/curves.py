@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import unit_key
+from ..sources.store import written
 from .depth import resample
 
 # Public mnemonics by the kind of tool that records them, as "family: mnemonics". Where a well has several of a family, the
@@ -154,20 +155,21 @@ def merge_grid(samples: DataFrame, most: int = 2_000_000) -> DataFrame:
     return g.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).select("well_id", "i", F.round(F.col("top") + F.col("i") * F.col("grid_step"), 6).alias("md"), "grid_step")
 
 
-def merge_runs(samples: DataFrame, files: Iterable[int]) -> DataFrame:
-    """(well_id, mnemonic, i, md, value): the files of each well on one grid. samples: well_id, file_no, mnemonic, unit, md, value.
+def merge_runs(samples: DataFrame, files: Iterable[int], lineage: bool = False) -> DataFrame:
+    """(well_id, mnemonic, i, md, value): the files of each well on one grid; with lineage also file_no, the file that each value is from. samples: well_id, file_no, mnemonic, unit, md, value.
     A file's curve is spliced into the one of the same name and unit (the earlier file wins) unless they overlap in more
     than max(20, a tenth of the smaller) rows; then it stays beside it as NAME:2, NAME:3. `files` are the file numbers, which are folded in order."""
     grid = merge_grid(samples)
     steps = median_step(samples, ["well_id", "file_no"])
     base = None
-    for f in files:
+    files = list(files)
+    for k, f in enumerate(files):
         part = samples.where(F.col("file_no") == f)
         curves = part.select("well_id", "mnemonic", unit_key("unit").alias("unit")).distinct()
         gap = F.greatest(3.0 * F.coalesce("step", F.lit(0.0)), 1.5 * F.col("grid_step"))
         target = grid.join(steps.where(F.col("file_no") == f).drop("file_no"), "well_id").join(curves, "well_id")
         placed = resample(target.withColumn("_gap", gap), part.select("well_id", "mnemonic", "md", "value"), "value", F.col("_gap"), ("well_id", "mnemonic"))
-        new = placed.where("value IS NOT NULL").select("well_id", plain_mnemonic("mnemonic").alias("name"), "unit", F.lit(1).alias("copy"), "i", "md", "value")
+        new = placed.where("value IS NOT NULL").select("well_id", plain_mnemonic("mnemonic").alias("name"), "unit", F.lit(1).alias("copy"), "i", "md", "value", F.lit(f).alias("file_no"))
         if base is None:
             base = new
             continue
@@ -180,9 +182,24 @@ def merge_runs(samples: DataFrame, files: Iterable[int]) -> DataFrame:
         fate = overlap.join(have, ["well_id", "name", "unit"], "left").select("well_id", "name", "unit", F.when(F.col("have").isNull(), 1).when(F.col("overlap") > F.greatest(F.lit(20.0), 0.1 * F.least("have", "add")), F.col("last") + 1).otherwise(F.col("last")).cast("int").alias("copy"))
         new = new.drop("copy").join(fate, ["well_id", "name", "unit"])
         base = base.unionByName(new.join(base.select("well_id", "name", "unit", "copy", "i"), ["well_id", "name", "unit", "copy", "i"], "left_anti").select(*base.columns))
+        if 0 < k < len(files) - 1:  # else the plan of every file holds those of all before it, several times
+            base = written(base, "merged")
     # names that differ only in unit or copy are numbered in order
     number = F.dense_rank().over(W.partitionBy("well_id", "name").orderBy("copy", "unit"))
-    return base.withColumn("_k", number).select("well_id", F.when(F.col("_k") > 1, F.concat_ws(":", "name", "_k")).otherwise(F.col("name")).alias("mnemonic"), "i", "md", "value")
+    return base.withColumn("_k", number).select("well_id", F.when(F.col("_k") > 1, F.concat_ws(":", "name", "_k")).otherwise(F.col("name")).alias("mnemonic"), "i", "md", "value", *(["file_no"] if lineage else []))
+
+
+def provenance(merged: DataFrame) -> DataFrame:
+    """(well_id, mnemonic, file_no, first_i, last_i, top, base, n): which file gave which stretch of each curve, from merge_runs() with lineage. A stretch goes on over rows without value."""
+    found = runs(merged.withColumn("_at", F.struct("i", "md")), F.col("file_no"), ["well_id", "mnemonic"], "_at")
+    return found.select("well_id", "mnemonic", F.col("state").alias("file_no"), F.col("top.i").alias("first_i"), F.col("base.i").alias("last_i"), F.col("top.md").alias("top"), F.col("base.md").alias("base"), "n")
+
+
+def unmerged(merged: DataFrame, stretches: DataFrame, rows_at_once: int = 4096) -> DataFrame:
+    """merged (well_id, mnemonic, i, md, value) taken apart again: with the file_no of the stretch that each value lies in, from provenance(). A range join by blocks of the grid."""
+    block = lambda c: F.floor(F.col(c) / rows_at_once)
+    s = stretches.select("well_id", "mnemonic", "file_no", "first_i", "last_i", F.explode(F.sequence(block("first_i"), block("last_i"))).alias("_block"))
+    return merged.withColumn("_block", block("i")).join(s, ["well_id", "mnemonic", "_block"]).where("i BETWEEN first_i AND last_i").drop("_block", "first_i", "last_i")
 
 
 def first_filled(parts: DataFrame, fields: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import petro as P
 from ..operators import curves as C
 from ..operators import depth as D
 from ..operators import quality as Q
+from ..sources import store
 from . import base as B
 from .petrophysics import d
 
@@ -159,6 +160,32 @@ SELECT well_id, 'GR' AS mnemonic, idx AS i, round(CASE WHEN idx < 300 AND gr IS
 UNION ALL SELECT well_id, 'RT', idx, round(rt, 6) FROM log_samples WHERE idx >= 290"""
 
 
+def merge_lineage(spark, sf_dir):
+    """Which run gave which stretch, where two runs overlap as in merge_runs."""
+    s = B.log_samples(spark, sf_dir)
+    one = lambda n, m, v, w: s.where(w).select("well_id", F.lit(n).alias("file_no"), F.lit(m).alias("mnemonic"), F.lit("API").alias("unit"), "md", v.alias("value"))
+    merged = C.merge_runs(one(0, "GR", F.col("gr"), "idx < 300").unionByName(one(1, "GR", F.col("gr") + 1, "idx >= 290")).unionByName(one(1, "RT", F.col("rt"), "idx >= 290")), [0, 1], lineage=True)
+    return B.rounded(C.provenance(merged))
+
+
+SQL["merge_lineage"] = B.CTE + """
+SELECT well_id, 'GR' AS mnemonic, CASE WHEN idx < 300 THEN 0 ELSE 1 END AS file_no, min(idx) AS first_i, max(idx) AS last_i, min(md) AS top, max(md) AS base, count(*) AS n
+FROM log_samples WHERE gr IS NOT NULL GROUP BY well_id, idx < 300
+UNION ALL SELECT well_id, 'RT', 1, min(idx), max(idx), min(md), max(md), count(*) FROM log_samples WHERE idx >= 290 GROUP BY well_id"""
+
+
+def unmerged_files(spark, sf_dir):
+    """Three runs below each other, merged and taken apart by the stretches alone."""
+    s = B.log_samples(spark, sf_dir)
+    runs = s.select("well_id", F.least(F.floor(F.col("idx") / 200), F.lit(2)).cast("int").alias("file_no"), F.explode(F.array(F.struct(F.lit("GR").alias("mnemonic"), F.col("gr").alias("value")), F.struct(F.lit("RT").alias("mnemonic"), F.col("rt").alias("value")))).alias("c"), "md").select("well_id", "file_no", "c.mnemonic", F.lit("X").alias("unit"), "md", "c.value")
+    merged = store.written(C.merge_runs(runs, [0, 1, 2], lineage=True), "merged")
+    parts = C.unmerged(merged.drop("file_no"), C.provenance(merged))
+    return B.rounded(parts.select("well_id", "file_no", "mnemonic", "md", "value"))
+
+
+SQL["unmerged_files"] = B.CTE + " UNION ALL ".join(f"SELECT well_id, CAST(least(idx // 200, 2) AS INTEGER) AS file_no, '{c.upper()}' AS mnemonic, md, round({c}, 6) + 0.0 AS value FROM log_samples WHERE {c} IS NOT NULL" for c in ("gr", "rt"))
+
+
 def rule_tops(spark, sf_dir):
     rules = [
         {"name": "A", "kind": "step", "value": "rt", "half": 5, "low": 5050.0, "high": 5150.0},
@@ -227,4 +254,4 @@ def sensor_shift(spark, sf_dir):
 
 SQL["sensor_shift"] = B.CTE + "SELECT well_id, idx, round(lead(rt, 20) OVER (PARTITION BY well_id ORDER BY idx), 6) AS rt FROM log_samples"
 
-QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, rule_tops, curve_export, curve_export_all, crossplot_rows, cuttings_stack, decimated, sensor_shift)}
+QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, merge_lineage, unmerged_files, rule_tops, curve_export, curve_export_all, crossplot_rows, cuttings_stack, decimated, sensor_shift)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import petro as P
+from ..functions import sql
 from ..operators import interpret as I
 from . import base as B
 
@@ -151,3 +152,30 @@ tocbase AS (SELECT well_id, quantile_cont(rt, 0.5) AS rt_base, quantile_cont(rho
 SELECT i.well_id, idx, round(rt_base, 6) AS rt_base, round(rhob_base, 6) AS rhob_base,
   CASE WHEN vsh >= {d(0.35)} AND NOT bad_hole THEN round(least(greatest((log10(rt / rt_base) - {d(2.5)} * (rhob - rhob_base)) * pow({d(10)}, {d(2.297)} - {d(0.1688)} * {d(10)}), 0), 20), 6) + 0.0 END AS toc
 FROM interpreted i LEFT JOIN tocbase USING (well_id)"""
+
+
+def sql_functions(spark, sf_dir):
+    """The equations called in SQL text."""
+    sql.register(spark)
+    text = """
+    SELECT well_id, idx, vshale_larionov_older(gr, 20, 150) AS vsh, porosity_density(rhob) AS phid, porosity_neutron_density_rms(nphi, porosity_density(rhob, 2.65)) AS phit,
+      saturation_archie(rt, nphi, 0.05) AS sw, saturation_simandoux(rt, nphi, rw => 0.05, vsh => gr / 200, rsh => 4) AS shaly, water_resistivity(0.05, 75, temperature_at(md, 60, 180, 6000)) AS rw,
+      organic_carbon(delta_log_r_density(rt, 5, rhob, 2.5)) AS toc, washout(cali, 8.5) AS wash, quick_lithology(gr / 200, 1 + nphi * 12) AS lithology
+    FROM {samples}"""
+    return B.rounded(spark.sql(text, samples=B.log_samples(spark, sf_dir)))
+
+
+_V, _D65, _D71 = f"least(greatest((gr - 20) / {d(130)}, 0), 1)", f"(({d(2.65)} - rhob) / {d(1.65)})", f"(({d(2.71)} - rhob) / {d(1.71)})"
+_RT, _NPHI = "CASE WHEN rt > 0 THEN rt END", "CASE WHEN nphi > 0 THEN nphi END"
+_CLAY, _LEAD = f"(gr / {d(200)} / {d(4)})", f"(pow({_NPHI}, {d(2)}) / {d(0.05)})"
+_ARCHIE = f"pow({d(0.05)} / (pow({_NPHI}, {d(2)}) * {_RT}), {d(0.5)})"
+_bounded = lambda x: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, 0), 1) END"
+_SHALY = f"((sqrt({_CLAY} * {_CLAY} + 4 * {_LEAD} / ({_RT})) - {_CLAY}) / (2 * {_LEAD}))"
+SQL["sql_functions"] = B.CTE + f"""
+SELECT well_id, idx, round(CASE WHEN gr IS NOT NULL THEN {d(0.33)} * (pow({d(2)}, 2 * {_V}) - 1) END, 6) + 0.0 AS vsh, round({_D71}, 6) + 0.0 AS phid,
+  round(sqrt((nphi * nphi + {_D65} * {_D65}) / 2), 6) + 0.0 AS phit, round({_bounded(_ARCHIE)}, 6) + 0.0 AS sw,
+  round(CASE WHEN gr > 0 THEN {_bounded(_SHALY)} ELSE {_bounded(_ARCHIE)} END, 6) + 0.0 AS shaly,
+  round({d(0.05)} * {d(81.77)} / ({d(60)} + {d(120)} * md / {d(6000)} + {d(6.77)}), 6) + 0.0 AS rw, round(greatest({DLR} * pow({d(10)}, {d(2.297)} - {d(0.1688)} * {d(10)}), 0), 6) + 0.0 AS toc, cali - {d(8.5)} > 1 AS wash,
+  CASE WHEN gr IS NULL THEN NULL WHEN {_PE} >= 4 AND gr / {d(200)} < {d(0.4)} THEN 'limestone' WHEN {_PE} >= {d(3.5)} AND gr / {d(200)} < {d(0.75)} THEN 'marl' WHEN {_PE} < {d(2.6)} AND gr / {d(200)} < {d(0.4)} THEN 'sandstone' WHEN gr / {d(200)} < {d(0.65)} THEN 'siltstone' ELSE 'shale' END AS lithology
+FROM log_samples"""
+QUERIES["sql_functions"] = sql_functions
