@@ -144,15 +144,18 @@ def median_step(samples: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.median("d").alias("step"))
 
 
-def merge_grid(samples: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """(well_id, i, md, grid_step): one grid per well over all its files, at the smallest median step, doubled until it has at most `most` rows."""
+def merge_grid(samples: DataFrame, most: int | None = None, rows_at_once: int = 1 << 16) -> DataFrame:
+    """(well_id, i, md, grid_step): one grid per well over all its files, at the smallest median step; with `most`, doubled until it has at most so many rows. The rows of
+    a well are made in stretches, so that a long grid isn't one array."""
     steps = median_step(samples, ["well_id", "file_no"]).groupBy("well_id").agg(F.min("step").alias("step"))
     ends = samples.groupBy("well_id").agg(F.min("md").alias("top"), F.max("md").alias("bot"))
     g = ends.join(steps, "well_id", "left").withColumn("step", F.coalesce("step", F.lit(0.5)))
-    over = F.greatest(F.lit(0.0), F.ceil(F.log2((F.col("bot") - F.col("top")) / F.col("step") / most)))
+    over = F.greatest(F.lit(0.0), F.ceil(F.log2((F.col("bot") - F.col("top")) / F.col("step") / most))) if most else F.lit(0.0)
     g = g.withColumn("grid_step", F.col("step") * F.pow(F.lit(2.0), F.when(F.col("bot") > F.col("top"), over).otherwise(0.0)))
-    n = F.round((F.col("bot") - F.col("top")) / F.col("grid_step")).cast("long")
-    return g.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n))).select("well_id", "i", F.round(F.col("top") + F.col("i") * F.col("grid_step"), 6).alias("md"), "grid_step")
+    g = g.withColumn("n", F.round((F.col("bot") - F.col("top")) / F.col("grid_step")).cast("long"))
+    g = g.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / rows_at_once))))
+    g = g.withColumn("i", F.explode(F.sequence(F.col("k") * rows_at_once, F.least(F.col("n"), (F.col("k") + 1) * rows_at_once - 1))))
+    return g.select("well_id", "i", F.round(F.col("top") + F.col("i") * F.col("grid_step"), 6).alias("md"), "grid_step")
 
 
 def merge_runs(samples: DataFrame, files: Iterable[int], lineage: bool = False) -> DataFrame:

@@ -172,6 +172,35 @@ def flattened(depths: DataFrame, tops: DataFrame, name: str, z: str = "md") -> D
     return joined.select(*depths.columns, F.coalesce(F.col(z) - F.col("_top"), F.col("md")).alias("flat_z"), F.when(F.col("_top").isNull(), F.lit("no such top: measured depth")).alias("note"))
 
 
+def frame_parameters(modes: DataFrame, wells: DataFrame, tops: DataFrame, survey: DataFrame | None = None) -> DataFrame:
+    """(well_id, kind, surveyed, offset, note): how depths of a well are shown. modes: well_id and mode, which is MD, GL, TVDSS or the name of a top; wells: kb and gl. A frame is a vertical
+    depth less an offset: the KB above ground for GL (nothing, where only the ground is known: depths count from there), the datum for TVDSS, the top's own vertical depth to flatten
+    on it. Where what a frame asks for is missing, the well falls back to MD, and the note says why."""
+    first = tops.groupBy("well_id", F.col("name").alias("mode")).agg(F.min("md").alias("md"))
+    asked = first.join(modes, ["well_id", "mode"])
+    if survey is None:
+        placed, with_survey = asked.withColumn("tvd", F.col("md")), modes.select("well_id").limit(0)
+    else:
+        placed, with_survey = along_survey(asked, survey).withColumn("tvd", F.coalesce("tvd", "md")), survey.select("well_id").distinct()
+    m = modes.join(wells.select("well_id", "kb", "gl"), "well_id", "left").join(placed.select("well_id", "mode", F.col("tvd").alias("_top")), ["well_id", "mode"], "left").join(with_survey.withColumn("_s", F.lit(True)), "well_id", "left")
+    mode, kb, gl = F.col("mode"), F.col("kb"), F.col("gl")
+    offset = F.when(mode == "GL", F.when(gl.isNotNull(), F.coalesce(kb - gl, F.lit(0.0)))).when(mode == "TVDSS", F.coalesce(kb, gl)).when(mode != "MD", F.col("_top"))
+    kind = F.when(offset.isNull(), "MD").when(mode.isin("GL", "TVDSS"), mode).otherwise("FLAT")
+    missing = F.when(mode == "GL", F.when(kb.isNull(), "no elevation").otherwise("no ground level")).when(mode == "TVDSS", "no elevation").when(mode != "MD", F.concat(F.lit("no top "), mode))
+    from_ground = F.when(mode.isin("GL", "TVDSS") & kb.isNull(), "from ground level")
+    surveyed = F.coalesce("_s", F.lit(False)) & (kind != "MD")
+    note = F.when(kind == "MD", missing).otherwise(F.nullif(F.concat_ws(", ", from_ground, F.when(surveyed, "vertical by survey")), F.lit("")))
+    return m.select("well_id", kind.alias("kind"), surveyed.alias("surveyed"), F.coalesce(offset, F.lit(0.0)).alias("offset"), note.alias("note"))
+
+
+def framed(depths: DataFrame, parameters: DataFrame, survey: DataFrame | None = None) -> DataFrame:
+    """depths (well_id, md) with z, kind and note, by frame_parameters()."""
+    placed = depths.withColumn("tvd", F.lit(None).cast("double")) if survey is None else along_survey(depths, survey).drop("north", "east")
+    # one row a well
+    j = placed.join(parameters, "well_id")
+    return j.select(*depths.columns, (F.when(F.col("surveyed"), F.col("tvd")).otherwise(F.col("md")) - F.col("offset")).alias("z"), "kind", "note")
+
+
 def depth_from_frame(targets: DataFrame, frame: DataFrame, z: str = "z") -> DataFrame:
     """targets (well_id, z) with md: the first crossing of z along the hole; the ends of the log beyond it. As in
     depth_from_tvd, the samples that raise the running maximum of z decide, by one carry."""
@@ -205,11 +234,11 @@ def event_at(depths: DataFrame, events: DataFrame, tolerance: float = 0.0, bin_s
     return d.join(e, ["well_id", "_bin"]).where(F.col("md").between(F.col("_low"), F.col("_high"))).drop("_bin", "_low", "_high")
 
 
-def tvd_stations(curve: DataFrame, most: int = 2000) -> DataFrame:
-    """Stations from a TVD curve, strided to `most` per well, with the inclination of each step; only where it is shallower than md."""
+def tvd_stations(curve: DataFrame, most: int | None = None) -> DataFrame:
+    """Stations from a TVD curve, with the inclination of each step; only where it is shallower than md. `most`: every k-th sample, so that a well has about so many."""
     line, well = W.partitionBy("well_id").orderBy("md"), W.partitionBy("well_id")
     rows = curve.where("tvd IS NOT NULL").withColumns({"_k": F.row_number().over(line) - 1, "_n": F.count("*").over(well), "_off": F.max(F.col("md") - F.col("tvd")).over(well)})
-    some = rows.where("_off > 0.5").where(F.pmod("_k", F.greatest(F.lit(1), F.ceil(F.col("_n") / most))) == 0)
+    some = rows.where("_off > 0.5").where(F.pmod("_k", F.greatest(F.lit(1), F.ceil(F.col("_n") / most))) == 0 if most else F.lit(True))
     ratio = (F.lead("tvd").over(line) - F.col("tvd")) / (F.lead("md").over(line) - F.col("md"))
     back = (F.col("tvd") - F.lag("tvd").over(line)) / (F.col("md") - F.lag("md").over(line))
     r = F.coalesce(ratio, back)

@@ -207,19 +207,13 @@ def _export(samples, spark, sf_dir):
 
 
 def curve_export(spark, sf_dir):
-    """Every second sample with its subsea depth and formation; the deepest keeps the last zone."""
-    return _export(B.log_samples(spark, sf_dir).where("idx % 2 = 0"), spark, sf_dir)
-
-
-def curve_export_all(spark, sf_dir):
     """Every sample with its subsea depth and formation; the deepest keeps the last zone."""
     return _export(B.log_samples(spark, sf_dir), spark, sf_dir)
 
 
 SQL["curve_export"] = B.CTE + """
 SELECT w.name AS well, s.md, round(s.md - kb, 6) AS tvdss, round(gr, 6) AS gr, round(rt, 6) AS rdeep, round(rhob, 6) AS rhob, round(nphi, 6) + 0.0 AS nphi, z.zone AS formation
-FROM log_samples s JOIN wells w ON w.well_id = s.well_id ASOF JOIN zones z ON z.well_id = s.well_id AND s.md >= z.top WHERE s.idx % 2 = 0"""
-SQL["curve_export_all"] = SQL["curve_export"].removesuffix(" WHERE s.idx % 2 = 0")
+FROM log_samples s JOIN wells w ON w.well_id = s.well_id ASOF JOIN zones z ON z.well_id = s.well_id AND s.md >= z.top"""
 
 
 def crossplot_rows(spark, sf_dir):
@@ -254,4 +248,6 @@ def sensor_shift(spark, sf_dir):
 
 SQL["sensor_shift"] = B.CTE + "SELECT well_id, idx, round(lead(rt, 20) OVER (PARTITION BY well_id ORDER BY idx), 6) AS rt FROM log_samples"
 
-QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, merge_lineage, unmerged_files, rule_tops, curve_export, curve_export_all, crossplot_rows, cuttings_stack, decimated, sensor_shift)}
+QUERIES |= {f.__name__: f for f in (despike, null_gaps, flat_runs, curve_qc, gr_normalise, coverage_matrix, flag_intervals, crossover_intervals, lithology_runs, resolve_family, merge_runs, merge_lineage, unmerged_files, rule_tops, curve_export, crossplot_rows, cuttings_stack, decimated, sensor_shift)}
+# the name under which the query over every sample was known while the one above kept some
+QUERIES["curve_export_all"], SQL["curve_export_all"] = QUERIES["curve_export"], SQL["curve_export"]

@@ -64,33 +64,20 @@ def _positions(samples, spark, sf_dir):
 
 
 def path_positions(spark, sf_dir):
-    return _positions(_along(spark, sf_dir).where("idx % 50 = 0"), spark, sf_dir)
-
-
-def path_positions_all(spark, sf_dir):
     return _positions(_along(spark, sf_dir), spark, sf_dir)
 
 
 SQL["path_positions"] = SURVEYED + f"""SELECT a.well_id, idx, round(lat + north * degrees({d(0.3048)} / {d(6371008.8)}), 7) AS lat, round(lon + east * degrees({d(0.3048)} / {d(6371008.8)}) / cos(radians(lat)), 7) AS lon
-FROM along a JOIN wells w ON w.well_id = a.well_id WHERE idx % 50 = 0"""
-SQL["path_positions_all"] = SQL["path_positions"].removesuffix(" WHERE idx % 50 = 0")
-
-
-def _md_from_tvd(samples, spark, sf_dir):
-    want = samples.select("well_id", F.col("idx").alias("target_id"), (5000.3 + F.col("idx") * 0.4).alias("tvd"))
-    return B.rounded(D.depth_from_tvd(want, _survey(spark, sf_dir)).select("well_id", "target_id", "md"))
+FROM along a JOIN wells w ON w.well_id = a.well_id"""
 
 
 def md_from_tvd(spark, sf_dir):
-    return _md_from_tvd(B.log_samples(spark, sf_dir).where("idx % 25 = 0"), spark, sf_dir)
-
-
-def md_from_tvd_all(spark, sf_dir):
-    return _md_from_tvd(B.log_samples(spark, sf_dir), spark, sf_dir)
+    want = B.log_samples(spark, sf_dir).select("well_id", F.col("idx").alias("target_id"), (5000.3 + F.col("idx") * 0.4).alias("tvd"))
+    return B.rounded(D.depth_from_tvd(want, _survey(spark, sf_dir)).select("well_id", "target_id", "md"))
 
 
 SQL["md_from_tvd"] = SURVEYED + f""",
-want AS (SELECT well_id, idx AS target_id, {d(5000.3)} + idx * {d(0.4)} AS z FROM log_samples WHERE idx % 25 = 0),
+want AS (SELECT well_id, idx AS target_id, {d(5000.3)} + idx * {d(0.4)} AS z FROM log_samples),
 hits AS (
   SELECT w.well_id, target_id, n.md AS m1, first_value(n.md) OVER (PARTITION BY w.well_id, target_id ORDER BY n.md) AS m0, first_value(n.tvd) OVER (PARTITION BY w.well_id, target_id ORDER BY n.md) AS t0, z, n.tvd AS t1, md2, tvd2, n.inc
   FROM want w JOIN next_station n ON n.well_id = w.well_id),
@@ -98,7 +85,6 @@ found AS (
   SELECT *, CASE WHEN z <= t0 THEN m0 - (t0 - z) WHEN tvd2 > t1 AND z >= t1 AND z <= tvd2 THEN m1 + (z - t1) / (tvd2 - t1) * (md2 - m1)
     WHEN md2 IS NULL AND z > t1 THEN m1 + (z - t1) / greatest(cos(radians(inc)), {d(0.05)}) END AS md FROM hits)
 SELECT w.well_id, w.target_id, round(min_by(md, m1) FILTER (WHERE md IS NOT NULL), 6) + 0.0 AS md FROM want w LEFT JOIN found f ON f.well_id = w.well_id AND f.target_id = w.target_id GROUP BY w.well_id, w.target_id"""
-SQL["md_from_tvd_all"] = SQL["md_from_tvd"].replace("FROM log_samples WHERE idx % 25 = 0)", "FROM log_samples)")
 
 
 def tvdss(spark, sf_dir):
@@ -191,6 +177,35 @@ e AS (SELECT low + o_orderkey % n AS well_id, CAST(5000 + o_orderkey * 3 % 300 A
 SELECT p.well_id, p.point_id, class, count(*) AS events FROM points p JOIN e ON e.well_id = p.well_id AND p.md BETWEEN top_md AND base_md GROUP BY ALL"""
 
 
+def _frames(spark, sf_dir):
+    """(modes, wells): every kind of depth frame, and wells without KB, without ground level or without either."""
+    w = B.wells(spark, sf_dir)
+    k = F.col("well_id")
+    modes = w.select("well_id", F.when(k % 4 == 0, "MD").when(k % 4 == 1, "GL").when(k % 4 == 2, "TVDSS").otherwise("Beta").alias("mode"))
+    return modes, w.select("well_id", F.when(k % 5 != 0, F.col("kb")).alias("kb"), F.when(k % 3 != 0, F.col("kb") - 12.0).alias("gl"))
+
+
+def depth_frames(spark, sf_dir):
+    """Every sample in the frame of its well; every other well has a survey."""
+    modes, wells = _frames(spark, sf_dir)
+    survey = _survey(spark, sf_dir).where("well_id % 2 = 1 OR well_id % 8 = 2")
+    parameters = D.frame_parameters(modes, wells, B.tops(spark, sf_dir), survey)
+    return B.rounded(D.framed(B.log_samples(spark, sf_dir).select("well_id", "idx", "md"), parameters, survey).drop("md"))
+
+
+SQL["depth_frames"] = SURVEYED + f""",
+m AS (SELECT well_id, well_id % 2 = 1 OR well_id % 8 = 2 AS surveyed, CASE well_id % 4 WHEN 0 THEN 'MD' WHEN 1 THEN 'GL' WHEN 2 THEN 'TVDSS' ELSE 'Beta' END AS mode,
+  CASE WHEN well_id % 5 <> 0 THEN kb END AS kb, CASE WHEN well_id % 3 <> 0 THEN kb - 12 END AS gl FROM wells),
+flat AS (SELECT t.well_id, CASE WHEN n.md2 IS NULL THEN n.tvd + (t.md - n.md) * cos(radians(n.inc)) ELSE n.tvd + (t.md - n.md) / (n.md2 - n.md) * (n.tvd2 - n.tvd) END AS top
+  FROM (SELECT * FROM tops WHERE name = 'Beta') t ASOF JOIN next_station n ON t.well_id = n.well_id AND t.md >= n.md),
+f AS (SELECT m.*, CASE mode WHEN 'GL' THEN CASE WHEN gl IS NOT NULL THEN coalesce(kb - gl, 0) END WHEN 'TVDSS' THEN coalesce(kb, gl) WHEN 'Beta' THEN top END AS off FROM m LEFT JOIN flat USING (well_id))
+SELECT a.well_id, a.idx, round((CASE WHEN surveyed AND off IS NOT NULL THEN a.tvd ELSE a.md END) - coalesce(off, 0), 6) + 0.0 AS z,
+  CASE WHEN off IS NULL THEN 'MD' WHEN mode = 'Beta' THEN 'FLAT' ELSE mode END AS kind,
+  CASE WHEN mode = 'MD' THEN NULL WHEN off IS NULL THEN CASE WHEN mode = 'Beta' THEN 'no top Beta' WHEN mode = 'GL' AND kb IS NOT NULL THEN 'no ground level' ELSE 'no elevation' END
+    ELSE nullif(concat_ws(', ', CASE WHEN mode <> 'Beta' AND kb IS NULL THEN 'from ground level' END, CASE WHEN surveyed THEN 'vertical by survey' END), '') END AS note
+FROM along a JOIN f USING (well_id)"""
+
+
 def nad27_shift(spark, sf_dir):
     lat, lon = S.nad27_to_wgs84("lat", "lon")
     return B.rounded(B.wells(spark, sf_dir).select("well_id", lat.alias("lat"), lon.alias("lon")), digits=8)
@@ -338,4 +353,7 @@ SELECT well_id AS surface_id, level, CASE WHEN level < 113 THEN 1 WHEN level < 1
 FROM e JOIN w USING (well_id) GROUP BY well_id, level"""
 
 
-QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, path_positions_all, tvd_at_md, offset_at_md, md_from_tvd, md_from_tvd_all, tvdss, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours, plane_surface, merged_points, cone_contours)}
+QUERIES |= {f.__name__: f for f in (min_curvature, path_positions, tvd_at_md, offset_at_md, md_from_tvd, tvdss, depth_frames, flatten_on_top, md_at_frame, nearest_point_pair, resample_grid, survey_summary, inclination_from_tvd, interval_thickness, events_at_depth, nad27_shift, well_distance, tops_crossing, tops_missing, isochore_values, structure_values, structure_surface, structure_contours, plane_surface, merged_points, cone_contours)}
+# names under which the queries over every sample were known while those above kept some
+for _name in ("path_positions", "md_from_tvd"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
