@@ -12,30 +12,47 @@ from ..functions.scalars import unit_key
 from ..sources.store import written
 from .depth import resample
 
-# Public mnemonics by the kind of tool that records them, as "family: mnemonics". Where a well has several of a family, the
-# earlier kind and the earlier name of a kind are preferred.
-TOOLS: dict[str, str] = {
-    "plain names": """
-        GR: GR GAM GAMMA; SP: SP SSP; CAL: CALI CAL; BS: BS BIT BITSIZE; RD: RT RD RDEEP; RM: RM RMED; RS: RS RSHAL RXO; RHOB: RHOB DEN DENS;
-        NPHI: NPHI NPOR PHIN NEU; DPHI: DPHI DPOR; DRHO: DRHO DCOR; PE: PE PEF; DT: DT DTC AC; ROP: ROP; TG: TG TGAS GAS TOTGAS;
-        CCL: CCL; BOND: BOND BI BONDIX; AMP: AMP CBL""",
-    "natural gamma ray tools, total and then without uranium": "GR: SGR HSGR ECGR GRC GRD GRS GR_EDTC CGR",
-    "induction and laterolog tools": "RD: ILD LLD RILD; RM: ILM LLM RILM; RS: SFL SFLU LLS MSFL",
-    "array induction, by inches of investigation": "RD: AT90 AHT90 AF90; RM: AT60 AT30 AHT60 AHT30 AF60 AF30; RS: AT10 AHT10 AF10",
-    "array laterolog and high-definition induction": "RD: RLA5 M2R9; RM: RLA3 M2R6; RS: RLA1 M2R1",
-    "resistivity while drilling": "RD: RPD; RM: RPM; RS: RPS",
-    "nuclear and sonic tools": "RHOB: RHOZ ZDEN; NPHI: TNPH CNC; DPHI: DPHZ; DRHO: HDRA ZCOR; PE: PEFZ PDPE; DT: DTCO DT24",
-    "calipers": "CAL: HCAL CALS DCAL LCAL C1CAL",
-    "other channels": "GR: MWD_GR; SP: SPC; ROP: ROPA ROP_AVG; CCL: CCLU; AMP: AMP3FT",
+#: How deep a resistivity channel reads, by the letter or the inches that end its name.
+LETTERS = {"D": "RD", "M": "RM", "S": "RS"}
+#: Channels that are named by a rule. Arrays: prefix, what follows it, the suffix; lettered: stems with D, M or S.
+LETTERED = ("R", "IL", "LL", "RP")
+ARRAYS = ((("AT", "AHT", "AF", "AO", "RT"), (90, 60, 30, 20, 10), ""), (("P", "A"), (40, 34, 28, 22, 16), "H"))
+RANKED = {"RLA": (5, 4, 3, 2, 1), "M2R": (9, 6, 3, 2, 1)}
+#: The measurement itself under its own name, which tools of every maker use: symbol, then word.
+OWN = {
+    "GR": ("GR", "GAMMA"), "SP": ("SP", "SSP"), "CAL": ("CALI", "CAL"), "BS": ("BS", "BIT"), "RD": ("RT",), "RHOB": ("RHOB", "DEN", "DENS"), "NPHI": ("NPHI", "NPOR", "PHIN"),
+    "DPHI": ("DPHI", "DPOR"), "DRHO": ("DRHO",), "PE": ("PE", "PEF"), "DT": ("DT", "AC"), "ROP": ("ROP",), "TG": ("TG", "TGAS", "GAS"), "CCL": ("CCL",), "BOND": ("BI", "BOND"), "AMP": ("AMP", "CBL"), "RS": ("RXO", "SFL", "MSFL"),
+}
+#: What single makers' tools call it, by tool.
+TOOLS = {
+    "telemetry and spectral gamma ray": {"GR": ("SGR", "ECGR", "HSGR", "CGR")},
+    "lithology density and compensated neutron": {"RHOB": ("RHOZ", "RHO8"), "NPHI": ("TNPH", "APLC"), "PE": ("PEFZ", "PEF8"), "DRHO": ("HDRA",), "DPHI": ("DPHZ",), "CAL": ("HCAL", "LCAL")},
+    "compensated Z-density": {"RHOB": ("ZDEN", "ZDNC"), "DRHO": ("ZCOR",), "NPHI": ("CNC", "CNCF")},
+    "array sonic": {"DT": ("DTCO", "DTC", "DT24")},
+    "shallow focused": {"RS": ("SFLU", "MCFL")},
+    "surface and cement": {"ROP": ("ROPA",), "TG": ("TOTGAS",), "AMP": ("AMP3FT",), "BOND": ("BONDIX",)},
 }
 
 
 def _families() -> dict[str, tuple[str, ...]]:
-    out: dict[str, tuple[str, ...]] = {}
-    for entry in "; ".join(TOOLS.values()).split(";"):
-        family, names = entry.split(":")
-        out[family.strip()] = (*out.get(family.strip(), ()), *names.split())
-    return out
+    """The names of each family, most preferred first: own names, then those made by a rule, then single tools."""
+    out: dict[str, list[str]] = {f: list(names) for f, names in OWN.items()}
+    put = lambda family, name: out.setdefault(family, []).append(name)
+    for stem in LETTERED:
+        for letter, family in LETTERS.items():
+            put(family, stem + letter)
+    for prefixes, inches, suffix in ARRAYS:
+        for prefix in prefixes:
+            for n in inches:
+                put("RD" if n > (60 if not suffix else 30) else "RM" if n > 20 else "RS", f"{prefix}{n}{suffix}")
+    for prefix, ranks in RANKED.items():
+        for n in ranks:
+            put("RS" if n < 3 else "RD" if n in ranks[:1] or (prefix == "RLA" and n == 4) else "RM", f"{prefix}{n}")
+    for channels in TOOLS.values():
+        for family, names in channels.items():
+            for name in names:
+                put(family, name)
+    return {f: tuple(dict.fromkeys(names)) for f, names in out.items()}
 
 
 FAMILIES = _families()
