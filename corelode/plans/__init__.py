@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import curves, depth, petrophysics, sources, tables, zones
+from . import curves, depth, petrophysics, records, sources, tables, zones
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _part in (petrophysics, zones, depth, curves, tables, sources):
+for _part in (petrophysics, zones, depth, curves, tables, sources, records):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
