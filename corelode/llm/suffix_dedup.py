@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .frames import join_dealt, written
+from .frames import HOT_KEYS, for_shares, in_shares, join_dealt, written
 
 #: Bytes of one text handled at once; classes of an anchor that meet in one task; and shares that equal windows of hot anchors are dealt to first.
 BLOCK, HOT, SHARES = 1 << 22, 4096, 64
+#: Anchors of a key that go to one task where the repeated ones are picked.
+MANY = 20_000
 #: `at` packs the place of an anchor, how far before it its first window starts, and how many more windows follow.
 BITS = 10
 LOW = (1 << BITS) - 1
@@ -342,8 +344,13 @@ def _after_first(rows: DataFrame, keys: list[str | Column]) -> Column:
 
 def repeats(given: DataFrame, width: int) -> DataFrame:
     """(doc_id, start, n): runs of n windows, the first at `start`, that occur earlier. `given` has doc_id, text and base."""
-    again = given.mapInArrow(_keys(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    found = written(given.mapInArrow(_anchors(width), "key long, digest binary, doc_id long, at long").join(again, "key").withColumn("shape", F.col("at").bitwiseAND((1 << (2 * BITS)) - 1)), "anchors")
+    again = written(given.mapInArrow(_keys(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "again")
+    most = max(MANY, (again.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    # fewer than HOT_KEYS rows: each key has more than a HOT_KEYS-th part of these anchors
+    hot = written(again.where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).alias("_shares")), "hot")
+    anchors = in_shares(given.mapInArrow(_anchors(width), "key long, digest binary, doc_id long, at long"), hot, ["key"], "doc_id")
+    found = anchors.join(for_shares(again.select("key"), hot, ["key"]), ["key", "_share"]).drop("_share")
+    found = written(found.withColumn("shape", F.col("at").bitwiseAND((1 << (2 * BITS)) - 1)), "anchors")
     kind = ["key", "digest", "shape"]
     classes = written(found.groupBy(*kind).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "classes")
     firsts = classes.where("n > 1").select(*kind, "first")

@@ -207,6 +207,7 @@ def test_suffix_dedup_of_periodic_texts(spark, alphabet):
 def test_suffix_dedup_of_hot_anchors_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     monkeypatch.setattr(suffix_dedup, "SHARES", 2)
+    monkeypatch.setattr(suffix_dedup, "MANY", 4)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 128)
     rows = byte_corpus(5, 20, 80)
     assert deduped(spark, rows, 20) == plain_suffixes(rows, 20)
