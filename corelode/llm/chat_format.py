@@ -11,8 +11,8 @@ backslash (`\\` becomes `\\\\`, `<|` becomes `<\\|`, and a newline in a role bec
 parse() gives back exactly what was formatted. The loss mask covers the texts of assistant turns.
 
 Defined results: a null text or role is empty; turns are ordered by turn, then place in their record, then role and text (repeated rows stay, nulls
-first); a null conversation id is a conversation of its own; an unknown layout gives no turns and is returned with its fingerprint by unmapped(). An empty table gives
-an empty result. Columns of records named layout, place, role or text are replaced by those of the turns; other columns of turns are left out of the formatted
+first); a null conversation id is a conversation of its own; an unknown layout, or a record that isn't JSON, gives no turns and is returned with its fingerprint by unmapped(); a list
+of texts is one text of their lines; a list without messages has no turns. An empty table gives an empty result. Columns of records named layout, place, role or text are replaced by those of the turns; other columns of turns are left out of the formatted
 conversations. A conversation is one row, however long its texts, so its length is bounded by what a string may hold.
 """
 
@@ -80,9 +80,19 @@ def _read(record, path: str) -> list:
 
 
 def _text(value) -> str:
+    if isinstance(value, list) and all(isinstance(x, str) for x in value):
+        return "\n".join(value)
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
+def read_record(raw: str | None):
+    """What a JSON text holds; None where it is none."""
+    try:
+        return json.loads(raw) if raw else {}
+    except (ValueError, RecursionError):
+        return None
+
+
 def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
     """(role, text) turns of a record."""
     turns = []
@@ -97,8 +107,10 @@ def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
 
 
 def select(paths: frozenset, mappings: tuple) -> dict | None:
-    """The mapping that reads most of the paths of a layout, of those that find all they read."""
-    fit = [m for m in mappings if mapping_paths(m) <= paths]
+    """The mapping that reads most of the paths of a layout, of those that find all they read. A list of texts may stand for a text, and what a list without items would hold is there."""
+    lists = {p for p in paths if p.endswith("[]")}
+    there = paths | {p.removesuffix("[]") for p in lists}
+    fit = [m for m in mappings if all(p in there or p.startswith(tuple(f"{q}." for q in lists)) for p in mapping_paths(m))]
     return max(fit, key=lambda m: len(mapping_paths(m)), default=None)
 
 
@@ -111,7 +123,7 @@ def _canonicalise(mappings: tuple, keys: list[str]):
                 part = batch.slice(lo, 1024)
                 row, prints, place, roles, texts = [], [], [], [], []
                 for i, raw in enumerate(part.column("record").to_pylist()):
-                    record = json.loads(raw) if raw else {}
+                    record = read_record(raw)
                     paths = frozenset(field_paths(record)) if isinstance(record, dict) else frozenset()
                     if paths not in seen:
                         if len(seen) > 10_000:

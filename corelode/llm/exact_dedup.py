@@ -68,10 +68,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay."""
-    stay = copies(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    docs = without(docs, "_id")
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    """The rows of docs that stay. Of an id with several texts each stays or goes by itself."""
+    stay = copies(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    docs = without(docs, "_id", "_sha")
+    same = docs[id_col].eqNullSafe(stay["_id"]) & (F.sha2(normalised(docs[text_col]), 256) == stay["_sha"])
+    return docs.join(stay, same, "left_semi")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

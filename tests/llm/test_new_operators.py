@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corelode.llm import centroids, filter_audit, suffix_dedup
+from corelode.llm import centroids, chat_format, exact_dedup, filter_audit, suffix_dedup
 from corelode.llm.queries import QUERIES, SQL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -281,3 +281,19 @@ def test_new_queries_agree_with_their_sql(spark, sf, name):
 def test_op13(spark, sf):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op13_suffix_dedup"](spark, sf[0]).collect())
     assert got == plain_suffixes([r[:2] for r in sf[1]], 100)
+
+
+# --- earlier operators
+
+
+def test_exact_dedup_of_ids_with_several_texts(spark):
+    df = spark.createDataFrame([(0, "zzz"), (1, "aaa"), (1, "zzz"), (1, "aaa"), (None, "n"), (2, None), (3, "")], "doc_id long, text string").withColumn("_sha", F.lit("clash"))
+    assert sorted(map(str, exact_dedup.exact_dedup(df).select("doc_id", "text").collect())) == sorted(["Row(doc_id=0, text='zzz')", *["Row(doc_id=1, text='aaa')"] * 2, "Row(doc_id=None, text='n')", "Row(doc_id=2, text=None)"])
+
+
+def test_records_that_are_no_json_or_hold_lists(spark):
+    records = ["not json", "[1, 2", "7", None, '{"prompt": ["p", "q"], "response": "r"}', '{"messages": []}', '{"messages": [{"role": "user", "content": "a"}]}', "[" * 100_000]
+    turns = chat_format.turns_of(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string"))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.read_back(chat_format.format_chat(turns)).collect()}
+    assert got == {4: [("user", "p\nq"), ("assistant", "r")], 6: [("user", "a")]}
+    assert chat_format.unmapped(turns).agg(F.sum("records")).first()[0] == 5
