@@ -222,3 +222,41 @@ def test_order_of_a_log_recorded_upwards(spark, folder, monkeypatch):
     head, _, recs = parsed(las.lines(las.read_files(spark, folder, "up.las")))
     got = [r.md for r in las.samples(recs, las.curves(head)).where("col_no = 1").orderBy("idx").collect()]
     assert got == [1000 + 0.5 * k for k in range(500)]
+
+
+# --- ingest that replaces
+
+
+def test_batches_replace_move_and_repeat(spark, tmp_path):
+    from corelode.streaming import replace
+
+    def batch(*rows):
+        return spark.createDataFrame([(f"/in/{day}/{file}", day, value) for file, day, value in rows], "path string, modified string, value string").withColumn("modified", F.col("modified").cast("timestamp"))
+
+    wells_of = lambda files: files.select("file", F.substring_index("value", ":", 1).alias("well_id"))
+    build = lambda files: files.groupBy("well_id").agg(F.sum(F.substring_index("value", ":", -1).cast("int")).alias("total"), F.count("*").alias("files"))
+    handle = replace.replaced(replace.Files(spark, f"{tmp_path}/kept", buckets=4), f"{tmp_path}/wells", wells_of, build)
+    now = lambda: {r.well_id: (r.total, r.files) for r in replace.table(spark, f"{tmp_path}/wells").collect()}
+    first = batch(("a", "2024-01-02", "w1:1"), ("b", "2024-01-02", "w1:10"), ("c", "2024-01-02", "w2:5"), ("d", "2024-01-02", "w3:7"))
+    handle(first, 0)
+    assert now() == {"w1": (11, 2), "w2": (5, 1), "w3": (7, 1)}
+    # b is opened again and belongs to w2 now, c came earlier than what is there, d moves away from w3, two copies of a come at once
+    second = batch(("b", "2024-02-01", "w2:20"), ("c", "2023-01-01", "w2:500"), ("d", "2024-02-01", "w4:8"), ("a", "2024-02-01", "w1:2"), ("a", "2024-02-03", "w1:3"))
+    for _ in range(2):
+        handle(second, 1)
+        assert now() == {"w1": (3, 1), "w2": (25, 2), "w4": (8, 1)}
+    handle(first, 0)  # an old batch once more knows nothing of later ones, which come again after it
+    handle(second, 1)
+    assert now() == {"w1": (3, 1), "w2": (25, 2), "w4": (8, 1)}
+    handle(batch(("e", "2024-03-01", "w3:1")).where("false"), 2)
+    assert now() == {"w1": (3, 1), "w2": (25, 2), "w4": (8, 1)}
+
+
+def test_sensor_offsets_name_their_curves(spark):
+    head = "~V\nVERS. 2.0 :\n~W\nNULL. -999.25 :\n~P\nGROF.FT 45 : GR OFFSET TO BIT\nRESO.FT 90 : BIT TO SENSOR RESISTIVITY\nDENS.FT 250 : DENSITY OFFSET\nBHT.DEGF 180 : TEMPERATURE\nDREF. BIT : DEPTH REFERENCE\n~C\nDEPT.{u} : depth\nGR.GAPI :\nRPD.OHMM :\nRPS.OHMM :\n~A\n1 2 3 4\n"
+    files = spark.createDataFrame([("feet", head.format(u="FT")), ("metres", head.format(u="M")), ("sensor", head.format(u="FT").replace("DREF. BIT", "DREF. SENSOR, NOT BIT"))], "file string, value string")
+    h = las.headers(las.lines(files))
+    got = {(r.file, r.tool): (r.offset, r.curves, r.at_bit) for r in las.sensor_offsets(h, las.curves(h)).collect()}
+    both = {("GR", 45.0): ["GR"], ("Resistivity", 90.0): ["RPD", "RPS"]}
+    want = {(f, t): (v, c, f == "feet") for f in ("feet", "sensor") for (t, v), c in both.items()}
+    assert got == want | {("metres", "GR"): (45.0, ["GR"], True)}
