@@ -102,8 +102,8 @@ def _edges_of(ids: np.ndarray, owner: np.ndarray, local: np.ndarray, hashes: np.
     start = np.flatnonzero(start)
     first = k[start]
     rows, more = len(first), len(done[0])
-    ends = np.append(start, len(k)) * 4
-    blob = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((win[k] >> _U(32)).astype(np.uint32))])
+    ends = np.append(start, len(k)) * 8
+    blob = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(win[k])])
     none = lambda n, t: pa.nulls(n, t)
     i64 = pa.int64()
     cat = lambda a, b: pa.concat_arrays([a, b])
@@ -150,16 +150,21 @@ def _anchor_counts(width: int):
     return run
 
 
+def _placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What tells edges of one anchor apart: their whole hash, and their place against the anchor."""
+    return hashes ^ X.mix(place.astype(np.uint64) + _U(1))
+
+
 def _opened(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Edge rows as open edges, one row each."""
     anchor, doc, pos, off = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "pos", "off"))
     column = batch.column("hashes")
     _, offs, data = column.buffers()
     ends = np.frombuffer(offs, np.int32, len(batch) + 1, column.offset * 4)
-    count = np.diff(ends) // 4
-    hashes = np.frombuffer(data, np.uint32, count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
+    count = np.diff(ends) // 8
+    hashes = np.frombuffer(data, np.uint64, count=int(ends[-1] - ends[0]) // 8, offset=int(ends[0]))
     row, step = np.repeat(np.arange(len(anchor)), count), X.ranges(count)
-    h = hashes + ((off[row] - step).astype(np.uint64) << _U(32))
+    h = _placed(hashes, off[row] - step)
     none = pa.nulls(len(row), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pos[row] + step), none, none, none, pa.array(anchor[row]), pa.array(h.view(np.int64))], names=[x.split()[0] for x in FOUND.split(", ")])
 
@@ -189,8 +194,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, doc, pos, off = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "pos", "off"))
         _, offs, data = batch.column("hashes").buffers()
         ends = np.frombuffer(offs, np.int32, len(batch) + 1, batch.column("hashes").offset * 4)
-        count = np.diff(ends) // 4
-        hashes = np.frombuffer(data, np.uint32, count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
+        count = np.diff(ends) // 8
+        hashes = np.frombuffer(data, np.uint64, count=int(ends[-1] - ends[0]) // 8, offset=int(ends[0]))
         many = np.zeros(len(anchor), bool)
         many[1:] = anchor[1:] == anchor[:-1]
         many[:-1] |= many[1:]
@@ -201,7 +206,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(anchor)), count)[pick]
         step = X.ranges(count)[pick]
         # an edge is known by its anchor, its place against it, and its hash
-        h, a, d, p = hashes[pick] + ((off[row] - step).astype(np.uint64) << _U(32)), anchor[row], doc[row], pos[row] + step
+        h, a, d, p = _placed(hashes[pick], off[row] - step), anchor[row], doc[row], pos[row] + step
         if held is not None and len(a) and a[0] == last:
             h, d, p = (np.concatenate(x) for x in zip(held, (h, d, p), strict=True))
             a = np.concatenate([np.full(len(h) - len(a), last), a])

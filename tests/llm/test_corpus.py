@@ -358,7 +358,7 @@ def test_embedding_recall_at_the_threshold(spark):
 def hot_edges(n, distinct):
     """Edge rows of one minimiser: n documents with two edges, of which the second repeats after `distinct` documents."""
     doc = np.arange(n)
-    hashes = [np.array([2 * k, 2 * (k % distinct) + 1], np.uint32).tobytes() for k in range(n)]
+    hashes = [np.array([2 * k, 2 * (k % distinct) + 1], np.uint64).tobytes() for k in range(n)]
     none = pa.nulls(n, pa.int64())
     zero = np.zeros(n, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(zero + 7), pa.array(doc), pa.array(zero), pa.array(zero.astype(np.int32) + 9), pa.array(hashes, pa.binary()), none, none, none], names=["anchor", "doc_id", "pos", "off", "hashes", "n", "src_doc", "src_pos"])

@@ -104,7 +104,7 @@ def test_op9(spark, sf, rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_agree_with_their_sql(spark, sf, name):
     con = pytest.importorskip("duckdb").connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
