@@ -34,14 +34,15 @@ def thickness(z: str = "md", keys: tuple[str, ...] = ("well_id",), order: str =
     return F.abs(F.when(up.isNotNull() & down.isNotNull(), (down - up) / 2.0).otherwise(F.coalesce(down, F.col(z)) - F.coalesce(up, F.col(z))))
 
 
-def summarize(zoned: DataFrame, value: str, keys: list[str], weight: str = "h", log: bool = False) -> DataFrame:
+def summarize(zoned: DataFrame, value: str, keys: list[str], weight: str = "h", log: bool = False, more: list[Column] | None = None) -> DataFrame:
     """Weighted statistics of a curve: n, total, null_pct, mean (geometric for log curves), sd (population, not for log
-    curves), min, unweighted P10 to P90 (linear between ranks), max. Rows outside any zone must be gone."""
+    curves), min, unweighted P10 to P90 (linear between ranks), max, and `more` named aggregates of the same pass. Rows outside any zone must be gone. The spread is a second pass
+    about the means of the first."""
     x = F.when(F.col(value) > 0, F.col(value)) if log else F.col(value)
     h = F.when(x.isNotNull(), F.col(weight))
     mean = F.exp(F.sum(F.log(x) * h) / F.sum(h)) if log else F.sum(x * h) / F.sum(h)
-    # around the zone's first value, so that the squares don't swallow the spread
-    parts = zoned.groupBy(*keys).agg(F.count(x).alias("n"), F.count("*").alias("total"), mean.alias("mean"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("q"), F.max(x).alias("max"))
+    parts = zoned.groupBy(*keys).agg(F.count(x).alias("n"), F.count("*").alias("total"), mean.alias("mean"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias("q"), F.max(x).alias("max"), *(more or []))
+    extra = parts.columns[len(keys) + 6 :]
     if not log:
         centre = zoned.groupBy(*keys).agg((F.sum(x * h) / F.sum(h)).alias("m"))
         spread = zoned.join(centre, keys).groupBy(*keys).agg(F.sqrt(F.sum(h * (x - F.col("m")) * (x - F.col("m"))) / F.sum(h)).alias("sd"))
@@ -49,7 +50,7 @@ def summarize(zoned: DataFrame, value: str, keys: list[str], weight: str = "h",
     else:
         parts = parts.withColumn("sd", F.lit(None).cast("double"))
     names = [f"p{int(100 * q)}" for q in QUANTILES]
-    return parts.select(*keys, "n", "total", (100.0 * (1.0 - F.col("n") / F.col("total"))).alias("null_pct"), "mean", "sd", "min", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(names)], "max")
+    return parts.select(*keys, "n", "total", (100.0 * (1.0 - F.col("n") / F.col("total"))).alias("null_pct"), "mean", "sd", "min", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(names)], "max", *extra)
 
 
 def net_pay(zoned: DataFrame, zones: DataFrame, gr_cutoff: float = 75.0) -> DataFrame:

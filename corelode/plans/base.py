@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import depth as D
 from ..operators import zones as Z
+from ..sources import store
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,14 +72,19 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.build_zones(Z.extent(log_samples(spark, sf_dir)), tops(spark, sf_dir))
+def samples_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_samples(), written: for queries that read them several times."""
+    return store.written(log_samples(spark, sf_dir), "samples")
 
 
-def zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def zones(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
+    return Z.build_zones(Z.extent(log_samples(spark, sf_dir) if samples is None else samples), tops(spark, sf_dir))
+
+
+def zoned(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
     """Samples inside zones, with their thickness h."""
-    s = log_samples(spark, sf_dir).withColumn("h", Z.thickness())
-    return D.zone_at(s, zones(spark, sf_dir)).where("zone IS NOT NULL")
+    s = (log_samples(spark, sf_dir) if samples is None else samples).withColumn("h", Z.thickness())
+    return D.zone_at(s, zones(spark, sf_dir, samples)).where("zone IS NOT NULL")
 
 
 #: The same tables in SQL, as the head of a WITH clause.

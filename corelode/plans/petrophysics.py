@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import petro as P
 from ..functions import sql
 from ..operators import interpret as I
+from ..sources import store
 from . import base as B
 
 QUERIES, SQL = {}, {}
@@ -131,8 +132,10 @@ def net_flags(spark, sf_dir):
 
 
 def organic_carbon(spark, sf_dir):
-    above = B.zones(spark, sf_dir).where("zone_no = 0 AND zone != 'Whole well'")
-    s = I.organic_carbon(I.interpret(B.log_samples(spark, sf_dir)), above)
+    samples = B.samples_once(spark, sf_dir)
+    above = B.zones(spark, sf_dir, samples).where("zone_no = 0 AND zone != 'Whole well'")
+    # the baselines and the result both read what was interpreted
+    s = I.organic_carbon(store.written(I.interpret(samples), "interpreted"), above)
     return B.rounded(s.select("well_id", "idx", "rt_base", "rhob_base", "toc"))
 
 

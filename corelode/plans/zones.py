@@ -8,6 +8,7 @@ from ..functions import petro as P
 from ..operators import depth as D
 from ..operators import interpret as I
 from ..operators import zones as Z
+from ..sources import store
 from . import base as B
 from .petrophysics import BASELINES, INTERPRETED, d
 
@@ -33,10 +34,13 @@ SQL["sample_weights"] = B.CTE + "SELECT well_id, idx, h FROM weighted"
 
 def zone_summary(spark, sf_dir):
     """Shale volume over zones: the flagship query."""
-    s = B.zoned(spark, sf_dir)
-    s = s.join(I.gr_baselines(B.log_samples(spark, sf_dir)), "well_id").withColumns({"vsh": P.vshale("gr", "gr_clean", "gr_shale"), "phid": P.porosity_density("rhob")})
-    out = Z.summarize(s, "vsh", ["well_id", "zone"]).join(s.groupBy("well_id", "zone").agg((F.sum(F.col("phid") * F.col("h")) / F.sum("h")).alias("phid_mean")), ["well_id", "zone"])
-    return B.rounded(out)
+    samples = B.samples_once(spark, sf_dir)
+    s = B.zoned(spark, sf_dir, samples).join(I.gr_baselines(samples), "well_id")
+    s = s.select("well_id", "zone", "h", P.vshale("gr", "gr_clean", "gr_shale").alias("vsh"), P.porosity_density("rhob").alias("phid"))
+    # summarize() reads its rows twice
+    s = store.written(s, "zoned")
+    mean = (F.sum(F.col("phid") * F.col("h")) / F.sum("h")).alias("phid_mean")
+    return B.rounded(Z.summarize(s, "vsh", ["well_id", "zone"], more=[mean]))
 
 
 def zone_summary_log(spark, sf_dir):
@@ -58,8 +62,9 @@ FROM (SELECT well_id, zone, h, rt AS x FROM zoned) GROUP BY well_id, zone"""
 
 
 def zone_netpay(spark, sf_dir):
-    s = I.interpret(B.log_samples(spark, sf_dir)).withColumn("h", Z.thickness())
-    z = B.zones(spark, sf_dir)
+    samples = B.samples_once(spark, sf_dir)
+    s = store.written(I.interpret(samples), "interpreted").withColumn("h", Z.thickness())
+    z = B.zones(spark, sf_dir, samples)
     inside = D.zone_at(s, z).where("zone IS NOT NULL")
     return B.rounded(Z.net_pay(inside, z).withColumn("zone_no", F.col("zone_no").cast("long")))
 
