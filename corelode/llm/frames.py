@@ -18,19 +18,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where none is set, a temporary one is made if everything runs in
-    this process, and otherwise it is an error: a folder of one machine can't hold what executors write."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the checkpoint folder that was set, else one below the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            return have.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and have.isDefined():
+        return have.get()
+    at = at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if not have.isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
