@@ -30,17 +30,22 @@ MEMO = 1 << 17
 
 
 class _Memo(dict):
-    """What `make` gives for a key; emptied by trim() when it is large."""
+    """What `make` gives for a key. When it is large, trim() sets what it holds aside until it is large again: what is asked for in between is taken over, the rest
+    goes, so frequent keys aren't made anew."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.aside = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.aside.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
     def trim(self):
         if len(self) > MEMO:
+            self.aside = dict(self)
             self.clear()
 
 
@@ -68,9 +73,13 @@ class Codec:
         self.bytes = token_bytes(ranks)
         self.size = len(self.bytes)
         self.find = regex.compile(pattern).findall
+        # single bytes are looked up, so that the automaton doesn't report one at every place
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.length = [len(t) for t in self.bytes]
         self.tree = ahocorasick.Automaton()
         for token, r in ranks.items():
-            self.tree.add_word(token.decode("latin-1"), (len(token), r))
+            if len(token) > 1:
+                self.tree.add_word(token.decode("latin-1"), (len(token) - 1, r))
         self.tree.make_automaton()
         # the next shorter token that begins the same way
         self.shorter = [-1] * self.size
@@ -114,30 +123,31 @@ class Codec:
         raw = word.encode("utf-8", "surrogatepass")
         if (whole := self.ranks.get(raw)) is not None:
             return (whole,)
-        longest: list[int] = [-1] * len(raw)
-        for end, (n, r) in self.tree.iter(raw.decode("latin-1")):
-            longest[end - n + 1] = r
+        longest = list(map(self.single.__getitem__, raw))
+        for end, (before, r) in self.tree.iter(raw.decode("latin-1")):
+            longest[end - before] = r
+        length, shorter, fits = self.length, self.shorter, self.fits
         out: list[int] = []
-        dead = bytearray(len(raw) + 1)
-        at, token = 0, longest[0]
-        while at < len(raw):
-            last = out[-1] if out else -1
+        stop = len(raw)
+        dead = bytearray(stop + 1)
+        at, token, last = 0, longest[0], -1
+        while at < stop:
             while token >= 0:
-                end = at + len(self.bytes[token])
-                if not dead[end] and (last < 0 or self.fits[last, token]):
+                end = at + length[token]
+                if not dead[end] and (last < 0 or fits[last, token]):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                token = longest[at] if at < len(raw) else -1
+                at, last = end, token
+                token = longest[at] if at < stop else -1
             else:  # nothing may follow `last` here
                 dead[at] = 1
                 if not out:
                     raise ValueError("the vocabulary lacks single bytes")
                 token = out.pop()
-                at -= len(self.bytes[token])
-                token = self.shorter[token]
+                at -= length[token]
+                token, last = shorter[token], out[-1] if out else -1
         return tuple(out)
 
     def encode(self, text: str) -> np.ndarray:
