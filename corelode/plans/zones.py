@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import petro as P
 from ..operators import depth as D
 from ..operators import interpret as I
+from ..operators import sketch as K
 from ..operators import zones as Z
 from ..sources import store
 from . import base as B
@@ -135,4 +136,26 @@ r AS (SELECT well_id, rt, row_number() OVER (PARTITION BY well_id ORDER BY rt) -
 SELECT well_id, count(*) AS n, round(max(CASE WHEN k = floor(CAST(0.02 AS DOUBLE) * (n - 1)) THEN rt END), 6) AS low, round(max(CASE WHEN k = floor(CAST(0.98 AS DOUBLE) * (n - 1)) THEN rt END), 6) AS high
 FROM r GROUP BY well_id HAVING count(*) >= 10"""
 
-QUERIES |= {f.__name__: f for f in (zones, zone_assign, sample_weights, zone_summary, zone_summary_log, zone_netpay, histogram_by_zone, weighted_quantiles, equal_count_groups, zone_order, auto_scale)}
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles of the resistivity by zone and, rolled up, of each zone over all wells, and whether they are as near to the exact ones as they should be."""
+    s = store.written(B.zoned(spark, sf_dir).select("well_id", "zone", "rt", "h"), "zoned")
+    by_well = store.written(K.sketch(s, "rt", ["well_id", "zone"]), "sketch")
+    out = None
+    for level, keys in (("well", ["well_id", "zone"]), ("all", ["zone"])):
+        near = K.quantiles(by_well if level == "well" else K.merged(by_well, keys), keys)
+        exact = Z.weighted_quantiles(s, "rt", keys).select(*keys, *[F.col(f"wp{p}").alias(f"e{p}") for p in (10, 50, 90)])
+        both = near.join(exact, keys)
+        fine = [F.abs(F.col(f"wp{p}") - F.col(f"e{p}")) <= 0.005 * (1 + 1e-9) * F.abs(F.col(f"e{p}")) for p in (10, 50, 90)]
+        part = both.select(F.lit(level).alias("level"), (F.col("well_id") if level == "well" else F.lit(None).cast("long")).alias("well_id"), "zone", F.col("e50").alias("wp50"), (fine[0] & fine[1] & fine[2]).alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return B.rounded(out)
+
+
+SQL["sketched_quantiles"] = B.CTE + """,
+c AS (SELECT well_id, zone, rt, sum(h) OVER (PARTITION BY well_id, zone ORDER BY rt) AS c, sum(h) OVER (PARTITION BY well_id, zone) AS t FROM zoned WHERE rt IS NOT NULL AND h > 0),
+a AS (SELECT zone, rt, sum(h) OVER (PARTITION BY zone ORDER BY rt) AS c, sum(h) OVER (PARTITION BY zone) AS t FROM zoned WHERE rt IS NOT NULL AND h > 0)
+SELECT 'well' AS level, well_id, zone, round(min(rt) FILTER (WHERE c >= 0.5 * t - 1e-12), 6) AS wp50, true AS near FROM c GROUP BY well_id, zone
+UNION ALL SELECT 'all', NULL, zone, round(min(rt) FILTER (WHERE c >= 0.5 * t - 1e-12), 6), true FROM a GROUP BY zone"""
+
+
+QUERIES |= {f.__name__: f for f in (zones, zone_assign, sample_weights, zone_summary, zone_summary_log, zone_netpay, histogram_by_zone, weighted_quantiles, sketched_quantiles, equal_count_groups, zone_order, auto_scale)}

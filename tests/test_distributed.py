@@ -260,3 +260,25 @@ def test_sensor_offsets_name_their_curves(spark):
     both = {("GR", 45.0): ["GR"], ("Resistivity", 90.0): ["RPD", "RPS"]}
     want = {(f, t): (v, c, f == "feet") for f in ("feet", "sensor") for (t, v), c in both.items()}
     assert got == want | {("metres", "GR"): (45.0, ["GR"], True)}
+
+
+# --- sketches
+
+
+def test_sketched_quantiles_are_near_and_merge(spark):
+    from corelode.operators import sketch
+
+    g = np.random.default_rng(4)
+    rows = [(int(k % 3), float(v), float(h)) for k, (v, h) in enumerate(zip(np.concatenate([np.exp(g.standard_normal(900) * 3), -np.exp(g.standard_normal(300)), np.zeros(30)]), g.uniform(0.1, 2, 1230), strict=True))]
+    df = spark.createDataFrame([*rows, (0, None, 1.0), (0, 5.0, 0.0), (0, 5.0, None), (0, float("nan"), 1.0)], "k int, v double, h double").repartition(5)
+    at = (0.05, 0.25, 0.5, 0.75, 0.95)
+    whole = sketch.sketch(df, "v", ["k"])
+    names = [f"wp{int(100 * p)}" for p in at]
+    clean = df.where("NOT isnan(v)")
+    for near, exact in ((sketch.quantiles(whole, ["k"], at), zones.weighted_quantiles(clean, "v", ["k"], at)), (sketch.quantiles(sketch.merged(whole, []), [], at), zones.weighted_quantiles(clean, "v", [], at))):
+        a, b = ({r.asDict().get("k"): [r[n] for n in names] for r in x.collect()} for x in (near, exact))
+        assert a.keys() == b.keys()
+        for k in a:
+            assert all(abs(x - y) <= 0.005 * (1 + 1e-9) * abs(y) for x, y in zip(a[k], b[k], strict=True)), (k, a[k], b[k])
+    assert sketch.merged(whole, []).count() < 2200
+    assert sketch.quantiles(sketch.sketch(df.where("false"), "v", ["k"]), ["k"]).count() == 0
