@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from . import textops as X
 from .frames import without
 
-#: Entries kept of each memo.
-MEMO = 1 << 17
+#: Entries of each memo that are held before they are set aside; twice as many are kept at most.
+MEMO = 1 << 16
 
 
 class _Memo(dict):
