@@ -26,7 +26,7 @@ from . import textops as X
 from .frames import without
 
 #: Entries of each memo that are held before they are set aside; twice as many are kept at most.
-MEMO = 1 << 16
+MEMO = 1 << 17
 
 
 class _Memo(dict):
