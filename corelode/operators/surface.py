@@ -229,8 +229,10 @@ def contour_paths(segments: DataFrame) -> DataFrame:
     of a level by their first segment in the order of grid edges; rings begin there and return to it. Points that follow each other in one place (a corner on a level) are kept."""
     key = ["surface_id", "level"]
     rows = written(segments, "segments")
+    # written edges take a few bits each, so that Spark would take millions of them for a table to broadcast
+    wide = lambda df: df.hint("merge")
     nodes = rows.select(*key, F.col("a").alias("id"), F.col("b").alias("next"))
-    nodes = nodes.join(nodes.select(*key, F.col("id").alias("next"), F.lit(True).alias("on")), [*key, "next"], "left")
+    nodes = nodes.join(wide(nodes.select(*key, F.col("id").alias("next"), F.lit(True).alias("on"))), [*key, "next"], "left")
     # ends point nowhere; low is the smallest edge seen so far
     state = written(nodes.select(*key, "id", F.when(F.col("on"), F.col("next")).alias("next"), F.col("id").alias("low")), "links")
     most = rows.groupBy(*key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
@@ -238,7 +240,7 @@ def contour_paths(segments: DataFrame) -> DataFrame:
     def joined(state: DataFrame, *more: str) -> DataFrame:
         """What each segment sees, with what the one that it points at sees."""
         far = state.select(*key, F.col("id").alias("next"), F.col("next").alias("next2"), *[F.col(c).alias(f"{c}2") for c in more])
-        return state.join(far, [*key, "next"], "left")
+        return state.join(wide(far), [*key, "next"], "left")
 
     links = state.select(*key, "id", "next")
     for _ in range(max(1, most.bit_length())):  # a ring sees all of itself after as many
@@ -247,7 +249,7 @@ def contour_paths(segments: DataFrame) -> DataFrame:
         state = written(joined(state, "low").select(*key, "id", F.col("next2").alias("next"), F.least("low", "low2").alias("low")), "links")
     rings = state.where("next IS NOT NULL").select(*key, "id", "low")
     # rings are cut before their smallest edge
-    cut = links.join(rings, [*key, "id"], "left").select(*key, "id", F.when(~F.coalesce(F.col("next") == F.col("low"), F.lit(False)), F.col("next")).alias("next"), "low")
+    cut = links.join(wide(rings), [*key, "id"], "left").select(*key, "id", F.when(~F.coalesce(F.col("next") == F.col("low"), F.lit(False)), F.col("next")).alias("next"), "low")
     begin = written(cut.select(*key, "id", "next", "low"), "cut")
     state = begin.select(*key, "id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("far"))
     # how far each segment is from the end of its line, and which end that is
@@ -258,7 +260,7 @@ def contour_paths(segments: DataFrame) -> DataFrame:
     lines = ranked_.groupBy(*key, "end").agg(F.max("far").alias("length"), F.max_by("id", "far").alias("first"))
     lines = lines.withColumn("line", F.row_number().over(W.partitionBy(*key).orderBy("first")) - 1)
     closed = rings.select(*key, "id", F.lit(True).alias("closed"))
-    at = ranked_.join(lines, [*key, "end"]).join(closed, [*key, "id"], "left").join(rows.withColumnRenamed("a", "id"), [*key, "id"])
+    at = ranked_.join(wide(lines), [*key, "end"]).join(wide(closed), [*key, "id"], "left").join(wide(rows.withColumnRenamed("a", "id")), [*key, "id"])
     seq = F.col("length") - F.col("far")
     point = F.struct(seq.alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"))
     # the last segment also gives the end of the line

@@ -282,3 +282,12 @@ def test_sketched_quantiles_are_near_and_merge(spark):
             assert all(abs(x - y) <= 0.005 * (1 + 1e-9) * abs(y) for x, y in zip(a[k], b[k], strict=True)), (k, a[k], b[k])
     assert sketch.merged(whole, []).count() < 2200
     assert sketch.quantiles(sketch.sketch(df.where("false"), "v", ["k"]), ["k"]).count() == 0
+
+
+def test_contours_join_no_side_through_the_driver(spark):
+    """Written edges take a few bits each, so their size says nothing of how large they are in memory."""
+    cells = spark.range(144).select(F.lit(1).alias("surface_id"), (F.col("id") % 12).cast("int").alias("i"), F.floor(F.col("id") / 12).cast("int").alias("j"))
+    cells = cells.withColumns({"x": F.col("i") * 10.0, "y": F.col("j") * 10.0}).withColumn("z", F.hypot(F.col("x") - 57.0, F.col("y") - 53.0))
+    lines = surface.contour_paths(surface.contour_segments(cells, spark.createDataFrame([(1, 20.0)], "surface_id int, step double")))
+    assert lines.select("level", "line").distinct().count() > 1
+    assert "BroadcastHashJoin" not in lines._jdf.queryExecution().toString()
