@@ -114,10 +114,13 @@ SQL["survey_check"] = SURVEYED + f"SELECT well_id, round((well_id % 100) / {d(10
 
 
 def zone_table(spark, sf_dir):
-    """Statistics of two curves side by side, a row for each zone."""
+    """Statistics of two curves side by side, a row for each zone. Means are sums in the order of depth: in any other order the last bit, and so a mean half-way between two
+    roundings, changes from run to run. A zone's values are held, as by its percentiles."""
     z = B.zoned(spark, sf_dir)
-    long = z.select("well_id", "zone", F.explode(F.array(F.struct(F.lit("rt").alias("curve"), F.col("rt").alias("v")), F.struct(F.lit("nphi").alias("curve"), F.col("nphi").alias("v")))).alias("c")).select("well_id", "zone", "c.*")
-    by = long.groupBy("well_id", "zone", "curve").agg(F.avg("v").alias("mean"), *[F.percentile("v", F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)], F.count("v").alias("n"))
+    long = z.select("well_id", "zone", "md", F.explode(F.array(F.struct(F.lit("rt").alias("curve"), F.col("rt").alias("v")), F.struct(F.lit("nphi").alias("curve"), F.col("nphi").alias("v")))).alias("c")).select("well_id", "zone", "md", "c.*")
+    held = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("md", "v"))))
+    mean = F.aggregate(held, F.lit(0.0), lambda s, x: s + x["v"]) / F.count("v")
+    by = long.groupBy("well_id", "zone", "curve").agg(mean.alias("mean"), *[F.percentile("v", F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)], F.count("v").alias("n"))
     return B.rounded(export.statistics_table(by, ["rt", "nphi"]))
 
 

@@ -6,9 +6,11 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corelode import plans
+from corelode.plans import base as B
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -51,3 +53,25 @@ def test_entry_and_registry(spark):
 def test_entry_imports_without_a_session():
     at = os.path.dirname(os.path.abspath(entry.__file__))
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=at, check=True, timeout=120)
+
+
+def test_zone_means_are_sums_in_the_order_of_depth(spark, tmp_path):
+    """Over several partitions and in any order of the rows: to the last bit as summed down the well."""
+    for name in ("supplier", "lineitem"):
+        spark.read.parquet(f"{SF}/{name}.parquet").orderBy(F.rand(3)).repartition(5).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = B.rounded
+    try:
+        B.rounded = lambda df, *a, **k: df
+        got = {(r.well_id, r.zone): r for r in plans.QUERIES["zone_table"](spark, str(tmp_path)).collect()}
+    finally:
+        B.rounded = kept
+    rows = {}
+    for r in B.zoned(spark, SF).select("well_id", "zone", "md", "rt", "nphi").collect():
+        rows.setdefault((r.well_id, r.zone), []).append(r)
+    assert set(got) == set(rows)
+    for key, each in rows.items():
+        for c in ("rt", "nphi"):
+            total = 0.0
+            for r in sorted(each, key=lambda r: r.md):
+                total += r[c]
+            assert getattr(got[key], f"{c}_mean") == total / len(each)
