@@ -56,15 +56,17 @@ def test_entry_imports_without_a_session():
 
 
 def test_zone_means_are_sums_in_the_order_of_depth(spark, tmp_path):
-    """Over several partitions and in any order of the rows: to the last bit as summed down the well."""
+    """Over several partitions, in any order of the rows and where an aggregation goes on by sorting: to the last bit as summed down the well."""
     for name in ("supplier", "lineitem"):
         spark.read.parquet(f"{SF}/{name}.parquet").orderBy(F.rand(3)).repartition(5).write.parquet(f"{tmp_path}/{name}.parquet")
-    kept = B.rounded
+    kept, limit = B.rounded, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    spark.conf.set(limit, 2)
     try:
         B.rounded = lambda df, *a, **k: df
         got = {(r.well_id, r.zone): r for r in plans.QUERIES["zone_table"](spark, str(tmp_path)).collect()}
     finally:
         B.rounded = kept
+        spark.conf.unset(limit)
     rows = {}
     for r in B.zoned(spark, SF).select("well_id", "zone", "md", "rt", "nphi").collect():
         rows.setdefault((r.well_id, r.zone), []).append(r)
