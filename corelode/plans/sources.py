@@ -20,20 +20,23 @@ def _files(spark, sf_dir):
     """LAS text of every well, as whole files."""
     survey = D.minimum_curvature(B.stations(spark, sf_dir))
     lines = export.las_lines(B.log_samples(spark, sf_dir), CURVES, B.wells(spark, sf_dir), B.tops(spark, sf_dir), survey, digits=10)
-    # the text is read several times below, as files on disk would be
-    return export.las_texts(lines).select(F.col("well_id").cast("string").alias("file"), "value").cache()
+    return export.las_texts(lines).select(F.col("well_id").cast("string").alias("file"), "value")
 
 
-def _parsed(spark, sf_dir):
-    rows = las.lines(_files(spark, sf_dir))
-    head = las.headers(rows)
-    data = las.data_rows(rows, las.file_facts(head))
-    return rows, head, data, las.records(data)
+def _parsed(files):
+    """(lines, headers) of texts, written: each is read several times by what follows, and made but once."""
+    rows = store.written(las.lines(files), "lines")
+    return rows, store.written(las.headers(rows), "headers")
+
+
+def _records(data):
+    """Records, written: samples() counts them and then reads them again."""
+    return store.written(las.records(data), "records")
 
 
 def las_round_trip(spark, sf_dir):
-    _, head, _, recs = _parsed(spark, sf_dir)
-    long = las.samples(recs, las.curves(head))
+    rows, head = _parsed(_files(spark, sf_dir))
+    long = las.samples(_records(las.data_rows(rows, las.file_facts(head))), las.curves(head))
     return B.rounded(long.select(F.col("file").cast("long").alias("well_id"), "mnemonic", "unit", F.col("idx").cast("long").alias("idx"), "md", "value"), digits=5)
 
 
@@ -41,7 +44,7 @@ SQL["las_round_trip"] = B.CTE + " UNION ALL ".join(f"SELECT well_id, '{c.upper()
 
 
 def las_wells(spark, sf_dir):
-    _, head, _, _ = _parsed(spark, sf_dir)
+    _, head = _parsed(_files(spark, sf_dir))
     w = las.wells(head, las.curves(head))
     return B.rounded(w.select(F.col("file").cast("long").alias("well_id"), "name", "lat", "lon", "kb", "depth_unit", "kb_suspect", las.datum_elevation().alias("datum")), digits=4)
 
@@ -50,7 +53,7 @@ SQL["las_wells"] = B.CTE + "SELECT well_id, name, round(lat, 4) AS lat, round(lo
 
 
 def las_survey(spark, sf_dir):
-    rows, _, _, _ = _parsed(spark, sf_dir)
+    rows, _ = _parsed(_files(spark, sf_dir))
     return B.rounded(las.survey(rows).select(F.col("file").cast("long").alias("well_id"), "md", "inc", "azi", "tvd"), digits=2)
 
 
@@ -60,9 +63,8 @@ SQL["las_survey"] = SURVEYED + "SELECT well_id, md, round(inc, 2) + 0.0 AS inc,
 def las_problems(spark, sf_dir):
     """Problems by kind, with a stray line in every fifth file."""
     files = _files(spark, sf_dir).withColumn("value", F.when(F.col("file").cast("long") % 5 == 0, F.concat("value", F.lit("\nbad row here"))).otherwise(F.col("value")))
-    rows = las.lines(files)
-    head = las.headers(rows)
-    data = las.data_rows(rows, las.file_facts(head))
+    rows, head = _parsed(files)
+    data = store.written(las.data_rows(rows, las.file_facts(head)), "data")
     return las.diagnose(rows, head, data, las.records(data)).groupBy("level", "category").agg(F.count("*").alias("files"))
 
 
@@ -87,9 +89,10 @@ def _dialect_folder(spark, sf_dir):
 
 def _ranged(spark, sf_dir):
     """(lines, their ranges) of those files, read in ranges of bytes."""
-    raw = las.read_ranges(spark, _dialect_folder(spark, sf_dir))
+    # read once from many small files, and from the table as often as needed
+    raw = store.written(las.read_ranges(spark, _dialect_folder(spark, sf_dir)), "raw")
     known = store.written(las.ranges(raw), "ranges")
-    return las.range_lines(raw, known), known
+    return store.written(las.range_lines(raw, known), "lines"), known
 
 
 def _well():
@@ -99,7 +102,7 @@ def _well():
 def las_ranges(spark, sf_dir):
     rows, known = _ranged(spark, sf_dir)
     head = store.written(las.headers(rows), "headers")
-    recs = las.records(las.data_rows(rows, las.file_facts(head), known))
+    recs = _records(las.data_rows(rows, las.file_facts(head), known))
     long = las.samples(recs, las.curves(head))
     return B.rounded(long.select(_well(), "mnemonic", F.col("idx").cast("long").alias("idx"), "md", "value"), digits=5)
 
@@ -120,7 +123,7 @@ SQL["las_dialects"] = "SELECT s_suppkey AS well_id, s_name AS name, s_suppkey %
 
 def reopened_files(spark, sf_dir):
     """Two batches of logs, the second of them twice. It opens every fifth file again, with doubled values and in every tenth the name of another well, and brings older copies of every seventh."""
-    s = B.log_samples(spark, sf_dir)
+    s = B.samples_once(spark, sf_dir)
 
     def batch(wells, factor, modified, moved=None):
         gr = F.coalesce((F.col("gr") * factor).cast("string"), F.lit(export.NULL_TEXT))
@@ -135,9 +138,8 @@ def reopened_files(spark, sf_dir):
         return head.where("section = 'W' AND mnemonic = 'WELL'").select("file", F.col("value").alias("well_id"))
 
     def build(files):
-        rows = las.lines(files.select("file", "value"))
-        head = las.headers(rows)
-        long = las.samples(las.records(las.data_rows(rows, las.file_facts(head))), las.curves(head))
+        rows, head = _parsed(files.select("file", "value"))
+        long = las.samples(_records(las.data_rows(rows, las.file_facts(head))), las.curves(head))
         by = long.groupBy("file").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
         return files.select("file", "well_id").join(by, "file").groupBy(F.col("well_id").cast("long").alias("well_id")).agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
 
