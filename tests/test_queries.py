@@ -77,3 +77,9 @@ def test_zone_means_are_sums_in_the_order_of_depth(spark, tmp_path):
             for r in sorted(each, key=lambda r: r.md):
                 total += r[c]
             assert getattr(got[key], f"{c}_mean") == total / len(each)
+
+
+@pytest.mark.parametrize("name", ["las_round_trip", "las_problems", "merge_runs"])
+def test_what_is_read_several_times_is_made_once(spark, name):
+    """Nothing of the result is derived from the samples again: it reads tables that were written."""
+    assert "l_suppkey" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
