@@ -291,3 +291,11 @@ def test_contours_join_no_side_through_the_driver(spark):
     lines = surface.contour_paths(surface.contour_segments(cells, spark.createDataFrame([(1, 20.0)], "surface_id int, step double")))
     assert lines.select("level", "line").distinct().count() > 1
     assert "BroadcastHashJoin" not in lines._jdf.queryExecution().toString()
+
+
+def test_close_groups_deal_points_to_few_blocks(spark):
+    g = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(g.uniform(-2000, 2000, (500, 2)))], "point_id long, x double, y double")
+    assert proximity._around(df, "x", "y", 15.0).count() < 2 * 500
+    odd = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, float("nan"), 1.0), (0, 3, None, 1.0), (0, 4, 2.0, float("inf")), (None, 5, 1.0, 1.0), (0, 6, 2.0, 2.0)], "s long, point_id long, x double, y double")
+    assert {r.point_id: r.centre for r in proximity.close_groups(odd, 15.0, ("s",)).collect()} == {1: 1, 2: None, 3: None, 4: None, 5: None, 6: 1}
