@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import depth as D
 from ..operators import proximity as X
+from ..operators import spread
 from ..operators import surface as M
 from . import base as B
 from .petrophysics import d
@@ -111,7 +112,8 @@ SQL["md_at_frame"] = B.CTE + f"""SELECT t.well_id, name, round(least(t.md + {d(0
 
 
 def nearest_point_pair(spark, sf_dir):
-    out = D.nearest(B.points(spark, sf_dir).select("well_id", "point_id", "md", "core_phi"), B.log_samples(spark, sf_dir).select("well_id", "md", "nphi"), ["nphi"], 1.0)
+    plugs = spread.dealt(B.points(spark, sf_dir).select("well_id", "point_id", "md", "core_phi"), B.parts(spark, sf_dir), "well_id")
+    out = D.nearest(plugs, B.log_samples(spark, sf_dir).select("well_id", "md", "nphi"), ["nphi"], 1.0)
     return B.rounded(out.select("well_id", "point_id", "core_phi", "near_md", "near_nphi"))
 
 

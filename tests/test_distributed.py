@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corelode.operators import order, proximity, surface, zones
+from corelode import plans
+from corelode.operators import curves, order, proximity, spread, surface, zones
 from corelode.sources import las
 
 from .test_sources import COMMAS, LAS3, PLAIN, WRAPPED
@@ -299,3 +300,21 @@ def test_close_groups_deal_points_to_few_blocks(spark):
     assert proximity._around(df, "x", "y", 15.0).count() < 2 * 500
     odd = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, float("nan"), 1.0), (0, 3, None, 1.0), (0, 4, 2.0, float("inf")), (None, 5, 1.0, 1.0), (0, 6, 2.0, 2.0)], "s long, point_id long, x double, y double")
     assert {r.point_id: r.centre for r in proximity.close_groups(odd, 15.0, ("s",)).collect()} == {1: 1, 2: None, 3: None, 4: None, 5: None, 6: 1}
+
+
+@pytest.mark.parametrize("name", ["edited_curve", "nearest_point_pair", "sensor_shift", "flat_runs", "null_gaps"])
+def test_partitions_follow_the_samples(spark, monkeypatch, name):
+    query, at = plans.QUERIES[name], "/root/testdata/sf0.001"
+    want = sorted(map(repr, query(spark, at).collect()))
+    monkeypatch.setattr(spread, "ROWS", 500)
+    got = query(spark, at)
+    n = -(-spark.read.parquet(f"{at}/lineitem.parquet").count() // 500)
+    assert got.rdd.getNumPartitions() == n > 4
+    assert sorted(map(repr, got.collect())) == want
+
+
+def test_edits_keep_wells_without_any(spark):
+    rows = [(w, 0.5 * k, float(k)) for w in (1, 2) for k in range(4)]
+    edits = spark.createDataFrame([(1, None, None, 2.0, None)], "well_id long, offset double, despike boolean, a double, b double")
+    got = curves.apply_edits(spark.createDataFrame(rows, "well_id long, md double, v double"), "v", edits).collect()
+    assert sorted((r.well_id, r.md, r.v_edited) for r in got) == [(w, md, v * (2 if w == 1 else 1)) for w, md, v in rows]
