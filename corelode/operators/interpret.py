@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import petro as P
 from ..functions.scalars import round_half_up
+from ..sources.store import written
 
 CURVES = ("gr", "sp", "rhob", "nphi", "rt", "dt", "nmr", "cali", "drho", "pe")
 
@@ -42,11 +43,13 @@ class Parameters:
 def gr_baselines(samples: DataFrame, gr: str = "gr") -> DataFrame:
     """(well_id, gr_clean, gr_shale, hot, hot_fraction): P2, and P95 of the values up to median + 2.5 median deviations, both rounded to whole units."""
     x = samples.where(F.col(gr).isNotNull())
-    mid = x.groupBy("well_id").agg(F.percentile(gr, F.lit(0.5)).alias("med"), F.percentile(gr, F.lit(0.02)).alias("p2"))
-    dev = x.join(mid, "well_id").groupBy("well_id", "med", "p2").agg(F.percentile(F.abs(F.col(gr) - F.col("med")), F.lit(0.5)).alias("mad"))
+    # each value once, with how often it occurs: three passes go over these
+    x = x.groupBy("well_id", gr).agg(F.count("*").alias("_m"))
+    mid = x.groupBy("well_id").agg(F.percentile(gr, F.lit(0.5), F.col("_m")).alias("med"), F.percentile(gr, F.lit(0.02), F.col("_m")).alias("p2"))
+    dev = x.join(mid, "well_id").groupBy("well_id", "med", "p2").agg(F.percentile(F.abs(F.col(gr) - F.col("med")), F.lit(0.5), F.col("_m")).alias("mad"))
     dev = dev.withColumn("hot", F.col("med") + 2.5 * F.col("mad"))
     cool = F.when(F.col(gr) <= F.col("hot"), F.col(gr))
-    out = x.join(dev, "well_id").groupBy("well_id", "p2", "hot").agg(F.percentile(cool, F.lit(0.95)).alias("p95"), (1.0 - F.count(cool) / F.count("*")).alias("hot_fraction"))
+    out = x.join(dev, "well_id").groupBy("well_id", "p2", "hot").agg(F.percentile(cool, F.lit(0.95), F.col("_m")).alias("p95"), (1.0 - F.coalesce(F.sum(F.when(F.col(gr) <= F.col("hot"), F.col("_m"))), F.lit(0)) / F.sum("_m")).alias("hot_fraction"))
     return out.select("well_id", round_half_up("p2").cast("double").alias("gr_clean"), round_half_up("p95").cast("double").alias("gr_shale"), "hot", "hot_fraction")
 
 
@@ -89,7 +92,8 @@ def interpret(samples: DataFrame, wells: DataFrame | None = None, p: Parameters
     Missing porosity fails the net cutoff, missing shale volume passes it. Without a bottom-hole temperature the water
     resistivity stays as given. Wells without porosity get net sand from shale volume alone, and pay from the resistivity index over the P10
     of at least 50 net samples."""
-    s = _complete(samples).join(sources(samples, wells, p), "well_id")
+    # one row a well, joined twice
+    s = _complete(samples).join(written(sources(samples, wells, p), "sources"), "well_id")
     by_gr = P.vshale("gr", F.col("gr_clean"), F.col("gr_shale"), p.vsh_method)
     by_sp = P.vshale_of_index(P.vshale_sp("sp", F.col("sp_sand"), F.col("sp_shale")), p.vsh_method)
     vsh = F.when(F.col("vsh_source") == "GR", by_gr).when(F.col("vsh_source") == "SP", by_sp)

@@ -8,6 +8,7 @@ from ..functions import petro as P
 from ..operators import depth as D
 from ..operators import interpret as I
 from ..operators import sketch as K
+from ..operators import spread
 from ..operators import zones as Z
 from ..sources import store
 from . import base as B
@@ -64,9 +65,10 @@ FROM (SELECT well_id, zone, h, rt AS x FROM zoned) GROUP BY well_id, zone"""
 
 def zone_netpay(spark, sf_dir):
     samples = B.samples_once(spark, sf_dir)
-    s = store.written(I.interpret(samples), "interpreted").withColumn("h", Z.thickness())
-    z = B.zones(spark, sf_dir, samples)
-    inside = D.zone_at(s, z).where("zone IS NOT NULL")
+    n, z = B.parts(spark, sf_dir), store.written(B.zones(spark, sf_dir, samples), "zones")
+    # dealt by well once: thickness, zones and sums need no further exchange of samples
+    s = spread.dealt(I.interpret(samples).select("well_id", "md", "gr", "phi", "sw", "net_res", "net_pay"), n, "well_id").withColumn("h", Z.thickness())
+    inside = D.zone_at(s, spread.dealt(z, n, "well_id")).where("zone IS NOT NULL")
     return B.rounded(Z.net_pay(inside, z).withColumn("zone_no", F.col("zone_no").cast("long")))
 
 
