@@ -140,12 +140,17 @@ FROM r GROUP BY well_id HAVING count(*) >= 10"""
 
 def sketched_quantiles(spark, sf_dir):
     """Quantiles of the resistivity by zone and, rolled up, of each zone over all wells, and whether they are as near to the exact ones as they should be."""
-    s = store.written(B.zoned(spark, sf_dir).select("well_id", "zone", "rt", "h"), "zoned")
-    by_well = store.written(K.sketch(s, "rt", ["well_id", "zone"]), "sketch")
+    samples = store.written(B.log_samples(spark, sf_dir).select("well_id", "md", "rt"), "samples")
+    n, z = B.parts(spark, sf_dir), B.zones(spark, sf_dir, samples)
+    weighed = spread.dealt(samples, n, "well_id").withColumn("h", Z.thickness())
+    s = store.written(D.zone_at(weighed, spread.dealt(z, n, "well_id")).where("zone IS NOT NULL").select("well_id", "zone", "rt", "h"), "zoned")
+    # dealt by well: sums and quantiles of a well's zones need no further exchange
+    wells = spread.dealt(s, n, "well_id")
+    by_well = store.written(K.sketch(wells, "rt", ["well_id", "zone"]), "sketch")
     out = None
     for level, keys in (("well", ["well_id", "zone"]), ("all", ["zone"])):
         near = K.quantiles(by_well if level == "well" else K.merged(by_well, keys), keys)
-        exact = Z.weighted_quantiles(s, "rt", keys).select(*keys, *[F.col(f"wp{p}").alias(f"e{p}") for p in (10, 50, 90)])
+        exact = Z.weighted_quantiles(wells if level == "well" else s, "rt", keys).select(*keys, *[F.col(f"wp{p}").alias(f"e{p}") for p in (10, 50, 90)])
         both = near.join(exact, keys)
         fine = [F.abs(F.col(f"wp{p}") - F.col(f"e{p}")) <= 0.005 * (1 + 1e-9) * F.abs(F.col(f"e{p}")) for p in (10, 50, 90)]
         part = both.select(F.lit(level).alias("level"), (F.col("well_id") if level == "well" else F.lit(None).cast("long")).alias("well_id"), "zone", F.col("e50").alias("wp50"), (fine[0] & fine[1] & fine[2]).alias("near"))
