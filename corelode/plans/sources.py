@@ -155,19 +155,23 @@ SQL["reopened_files"] = B.CTE + f"""SELECT CASE WHEN well_id % 10 = 0 THEN well_
   round(sum(gr) * CASE WHEN well_id % 5 = 0 THEN {d(2)} ELSE {d(1)} END, 4) + 0.0 AS total FROM log_samples GROUP BY well_id"""
 
 
-def page_tokens(spark, sf_dir):
+def page_tokens(spark, sf_dir, samples=None):
     """Page text made of lineitem: a depth label every 60 samples of a well, pages of 300 samples, and stray numbers."""
-    s = B.log_samples(spark, sf_dir)
+    s = B.log_samples(spark, sf_dir) if samples is None else samples
+    # no sample is both
+    label, stray = F.col("idx") % 60 == 0, F.col("idx") % 150 == 75
+    text = F.when(label, F.format_number("md", 0)).otherwise(F.col("idx").cast("string"))
+    y = (F.col("idx") % 300).cast("double") * 2.0 + F.when(label, 0.0).otherwise(7.0)
     page = F.floor(F.col("idx") / 300).cast("int")
-    y = (F.col("idx") % 300).cast("double") * 2.0
-    labels = s.where("idx % 60 = 0").select(F.col("well_id").alias("doc_id"), page.alias("page"), F.format_number("md", 0).alias("text"), F.lit(40.0).alias("x"), y.alias("y"), F.lit(30.0).alias("w"), F.lit(10.0).alias("h"))
-    stray = s.where("idx % 150 = 75").select(F.col("well_id").alias("doc_id"), page.alias("page"), F.col("idx").cast("string").alias("text"), F.lit(40.0).alias("x"), (y + 7.0).alias("y"), F.lit(30.0).alias("w"), F.lit(10.0).alias("h"))
-    return labels.unionByName(stray)
+    return s.where(label | stray).select(F.col("well_id").alias("doc_id"), page.alias("page"), text.alias("text"), F.lit(40.0).alias("x"), y.alias("y"), F.lit(30.0).alias("w"), F.lit(10.0).alias("h"))
 
 
 def page_scales(spark, sf_dir):
-    fits = K.consistent_pages(K.fit_pages(K.depth_labels(page_tokens(spark, sf_dir))))
-    pages = B.log_samples(spark, sf_dir).groupBy(F.col("well_id").alias("doc_id"), F.floor(F.col("idx") / 300).cast("int").alias("page")).agg(F.lit(600.0).alias("height"))
+    # places and labels are read several times
+    s = store.written(B.log_samples(spark, sf_dir).select("well_id", "idx", "md"), "places")
+    labels = store.written(K.depth_labels(page_tokens(spark, sf_dir, s)), "labels")
+    fits = K.consistent_pages(K.fit_pages(labels))
+    pages = s.groupBy(F.col("well_id").alias("doc_id"), F.floor(F.col("idx") / 300).cast("int").alias("page")).agg(F.lit(600.0).alias("height"))
     return B.rounded(K.solve_pages(pages, fits).select("doc_id", "page", "slope", "intercept", "basis"), digits=4)
 
 

@@ -2,14 +2,16 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corelode import plans
-from corelode.operators import curves, order, proximity, spread, surface, zones
+from corelode.operators import curves, interpret, order, proximity, spread, surface, zones
 from corelode.sources import las
+from corelode.sources.store import written
 
 from .test_sources import COMMAS, LAS3, PLAIN, WRAPPED
 
@@ -318,3 +320,28 @@ def test_edits_keep_wells_without_any(spark):
     edits = spark.createDataFrame([(1, None, None, 2.0, None)], "well_id long, offset double, despike boolean, a double, b double")
     got = curves.apply_edits(spark.createDataFrame(rows, "well_id long, md double, v double"), "v", edits).collect()
     assert sorted((r.well_id, r.md, r.v_edited) for r in got) == [(w, md, v * (2 if w == 1 else 1)) for w, md, v in rows]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_scales_read_their_samples_once(spark):
+    assert "lineitem" not in plan_of(plans.QUERIES["page_scales"](spark, "/root/testdata/sf0.001"))
+
+
+def test_quantiles_by_well_need_no_exchange_by_value(spark):
+    assert not re.search(r"hashpartitioning\(well_id#\d+L?, zone#\d+, rt#", plan_of(plans.QUERIES["sketched_quantiles"](spark, "/root/testdata/sf0.001")))
+
+
+def test_interpretation_reads_samples_twice_at_most(spark):
+    g = np.random.default_rng(6)
+    rows = [(w, 0.5 * k, float(v)) for w in (1, 2) for k, v in enumerate(g.integers(20, 40, 300) * 5)]
+    samples = written(spark.createDataFrame(rows, "well_id long, md double, gr double"), "samples")
+    assert plan_of(interpret.interpret(samples)).count("FileScan") <= 4  # two of them of the wells' sources
+    for r in interpret.gr_baselines(samples).collect():
+        v = np.array([x for w, _, x in rows if w == r.well_id])
+        hot = np.median(v) + 2.5 * np.median(np.abs(v - np.median(v)))
+        cool = v[v <= hot]
+        assert r.hot == hot and abs(r.hot_fraction - (1 - len(cool) / len(v))) < 1e-12
+        assert (r.gr_clean, r.gr_shale) == tuple(np.floor(np.quantile(*a) + 0.5) for a in ((v, 0.02), (cool, 0.95)))
