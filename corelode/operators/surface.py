@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .proximity import merge_close
 SMOOTHING, CLOSE_M, MARGIN, LEAST_MARGIN, CELLS = 1e-4, 15.0, 0.15, 200.0, 160
 #: Control points that one surface may have: the solve is cubic in them.
 MOST_POINTS = 2000
+#: Grid edges along the side of a tile in which one task links the segments of a level.
+TILE = 256
 
 
 def on_plane(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -223,50 +226,155 @@ def contour_lines(cells: DataFrame, steps: DataFrame) -> DataFrame:
     return contour_segments(cells, steps).select("surface_id", "level", "x1", "y1", "x2", "y2")
 
 
-def contour_paths(segments: DataFrame) -> DataFrame:
-    """(surface_id, level, line, seq, x, y, closed): contour_segments() linked to lines, by pointer jumping. Every grid edge that a line crosses ends one segment and begins the next, so
-    the segments are linked lists and rings; each round doubles how far a segment sees, and the rounds are as many as the logarithm of a level's segments. `line` numbers the lines
-    of a level by their first segment in the order of grid edges; rings begin there and return to it. Points that follow each other in one place (a corner on a level) are kept."""
+def chains(segments: DataFrame) -> DataFrame:
+    """(surface_id, level, first, end, n, low, low_at, closed, out, x, y): contour_segments() linked within tiles of TILE by TILE grid edges, one row for each chain: the edge it begins at
+    and the one it ends at, its n segments' smallest edge and which segment that is, whether it is a ring, whether it ends in another tile, and its n + 1 points. A chain begins where none of its
+    tile leads to, a ring at its smallest edge. A level of a tile has at most two segments for each of its cells; that is all that a task holds at a time besides a batch of rows."""
+    tile, types = TILE, dict(segments.dtypes)
+    at = lambda e, v: F.floor(F.col(f"{e}.{v}") / tile)
+    # segments of a level of a tile follow each other, in the order of their edges
+    own = W.partitionBy("surface_id", "ti", "tj", "level").orderBy("a")
+    rows = segments.withColumns({"ti": at("a", "i"), "tj": at("a", "j")}).withColumn("no", F.row_number().over(own))
+    way = lambda e: F.col(f"{e}.way").cast("long").alias(f"{e}w")
+    inner = lambda e, v: (F.col(f"{e}.{v}") - F.col(f"t{v}") * tile).alias(f"{e}{v}")
+    rows = rows.select("surface_id", "level", "no", "ti", "tj", *[c for e in "ab" for c in (inner(e, "i"), inner(e, "j"), way(e))], "x1", "y1", "x2", "y2")
+    edge = lambda e: F.struct(*[(F.col(f"t{v}") * tile + F.col(f"{e}{v}")).cast("int").alias(v) for v in "ij"], F.col(f"{e}w").cast("int").alias("way"))
+    three = "fi long, fj long, fw long, ei long, ej long, ew long, li long, lj long, lw long"
+    linked = rows.mapInArrow(lambda batches: _link(batches, tile), f"surface_id {types['surface_id']}, level double, ti long, tj long, {three}, n long, low_at long, closed boolean, out boolean, x array<double>, y array<double>")
+    return linked.select("surface_id", "level", edge("f").alias("first"), edge("e").alias("end"), "n", edge("l").alias("low"), "low_at", "closed", "out", "x", "y")
+
+
+def _link(batches, tile: int):
+    """chains() of batches of rows, which stand group by group, numbered from 1 (`no`) in the order of their edges."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        begins = np.flatnonzero(rows["no"].to_numpy() == 1)
+        # the last group may go on in the next batch
+        if len(begins) > 1:
+            yield _linked(rows.slice(0, begins[-1]), tile)
+        held = rows.slice(begins[-1])
+    if held is not None and held.num_rows:
+        yield _linked(held, tile)
+
+
+def _linked(rows: pa.Table, tile: int) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    c = {name: rows[name].to_numpy() for name in rows.column_names if name != "surface_id"}
+    n = rows.num_rows
+    each, none = np.arange(n), n
+    ways, w = np.unique(np.concatenate([c["aw"], c["bw"]]), return_inverse=True)
+    group = np.cumsum(c["no"] == 1)
+    place = lambda e, way: ((group * tile + c[f"{e}i"]) * tile + c[f"{e}j"]) * len(ways) + way
+    inside = (c["bi"] >= 0) & (c["bi"] < tile) & (c["bj"] >= 0) & (c["bj"] < tile)
+    a, b = place("a", w[:n]), place("b", w[n:])
+    to = np.minimum(np.searchsorted(a, b), n - 1)
+    # nothing is pointed at twice; `none` points at itself
+    joined = np.flatnonzero(inside & (a[to] == b))
+    target, first = np.unique(to[joined], return_index=True)
+    follow = np.full(n + 1, none)
+    follow[joined[first]] = target
+    # rounds that double how far each sees: what still sees something after all of them lies on a ring, whose smallest edge is that of the lowest row
+    rounds = int(n).bit_length()
+    jump, low = follow.copy(), np.append(each, none)
+    for _ in range(rounds):
+        if (jump == none).all():
+            break
+        low, jump = np.minimum(low, low[jump]), jump[jump]
+    ring = jump[:n] != none
+    follow[:n][ring & (follow[:n] == low[:n])] = none
+    jump, far, end = follow.copy(), np.append((follow[:n] != none).astype(np.int64), 0), np.append(each, none)
+    for _ in range(rounds):
+        if (jump == none).all():
+            break
+        end, far, jump = np.where(jump == none, end, end[jump]), far + far[jump], jump[jump]
+    end, far = end[:n], far[:n]
+    order = np.lexsort((-far, end))
+    begin = np.flatnonzero(np.append(True, end[order][1:] != end[order][:-1]))
+    size = np.diff(np.append(begin, n))
+    head, last = order[begin], order[begin + size - 1]
+    lowest = np.minimum.reduceat(order, begin)
+    # the points of each chain: where its segments begin, and where its last one ends
+    offsets = np.append(0, np.cumsum(size + 1))
+    starts = np.ones(offsets[-1], bool)
+    starts[offsets[1:] - 1] = False
+
+    def points(v: str) -> pa.Array:
+        out = np.empty(offsets[-1])
+        out[starts], out[~starts] = c[f"{v}1"][order], c[f"{v}2"][last]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
+
+    column = lambda name, at: pa.array(c[name][at].astype(np.int64))
+    closed = ring[head]
+    out = {"surface_id": rows["surface_id"].combine_chunks().take(pa.array(head)), "level": pa.array(c["level"][head]), "ti": column("ti", head), "tj": column("tj", head)}
+    out = {k: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for k, v in out.items()}
+    out |= {f"{name}{v}": column(f"{e}{v}", at) for name, e, at in (("f", "a", head), ("e", "b", last), ("l", "a", lowest)) for v in "ijw"}
+    out |= {"n": pa.array(size.astype(np.int64)), "low_at": pa.array(far[head] - far[lowest]), "closed": pa.array(closed), "out": pa.array(~inside[last] & ~closed), "x": points("x"), "y": points("y")}
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _lines_of_chains(rows: DataFrame) -> DataFrame:
+    """(surface_id, level, id, start, length, first, turn, closed): for each open chain (by its first edge) how many segments of its line stand before it, how many there are, and the edge by which
+    lines are numbered; a ring of several chains is closed, begins in the chain that holds its smallest edge, and turn segments later than that chain. Found by pointer jumping over chains: each
+    round doubles how far a chain sees, and the rounds are as many as the logarithm of a level's chains."""
     key = ["surface_id", "level"]
-    rows = written(segments, "segments")
     # written edges take a few bits each, so that Spark would take millions of them for a table to broadcast
     wide = lambda df: df.hint("merge")
-    nodes = rows.select(*key, F.col("a").alias("id"), F.col("b").alias("next"))
+    nodes = rows.where("NOT closed").select(*key, F.col("first").alias("id"), F.when(F.col("out"), F.col("end")).alias("next"), "n", F.struct("low", F.col("first").alias("chain"), F.col("low_at").alias("at")).alias("low"))
     nodes = nodes.join(wide(nodes.select(*key, F.col("id").alias("next"), F.lit(True).alias("on"))), [*key, "next"], "left")
     # ends point nowhere; low is the smallest edge seen so far
-    state = written(nodes.select(*key, "id", F.when(F.col("on"), F.col("next")).alias("next"), F.col("id").alias("low")), "links")
-    most = rows.groupBy(*key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    links = written(nodes.select(*key, "id", F.when(F.col("on"), F.col("next")).alias("next"), "n", "low"), "links")
+    most = links.groupBy(*key).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
 
     def joined(state: DataFrame, *more: str) -> DataFrame:
-        """What each segment sees, with what the one that it points at sees."""
+        """What each chain sees, with what the one that it points at sees."""
         far = state.select(*key, F.col("id").alias("next"), F.col("next").alias("next2"), *[F.col(c).alias(f"{c}2") for c in more])
         return state.join(wide(far), [*key, "next"], "left")
 
-    links = state.select(*key, "id", "next")
+    state = links.select(*key, "id", "next", "low")
     for _ in range(max(1, most.bit_length())):  # a ring sees all of itself after as many
         if state.where("next IS NOT NULL").isEmpty():
             break
         state = written(joined(state, "low").select(*key, "id", F.col("next2").alias("next"), F.least("low", "low2").alias("low")), "links")
-    rings = state.where("next IS NOT NULL").select(*key, "id", "low")
-    # rings are cut before their smallest edge
-    cut = links.join(wide(rings), [*key, "id"], "left").select(*key, "id", F.when(~F.coalesce(F.col("next") == F.col("low"), F.lit(False)), F.col("next")).alias("next"), "low")
-    begin = written(cut.select(*key, "id", "next", "low"), "cut")
-    state = begin.select(*key, "id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("far"))
-    # how far each segment is from the end of its line, and which end that is
-    state = state.withColumn("end", F.when(F.col("next").isNull(), F.col("id")))
+    rings = state.where("next IS NOT NULL").select(*key, "id", F.col("low").alias("ring"))
+    # rings are cut before the chain with their smallest edge
+    cut = links.join(wide(rings), [*key, "id"], "left")
+    begin = written(cut.select(*key, "id", F.when(~F.coalesce(F.col("next") == F.col("ring.chain"), F.lit(False)), F.col("next")).alias("next"), F.col("n").alias("far"), "ring"), "cut")
+    # how many segments there are from each chain on to the end of its line, and which chain that is
+    state = begin.select(*key, "id", "next", "far", F.when(F.col("next").isNull(), F.col("id")).alias("end"))
     while not (state := written(state, "ranks")).where("next IS NOT NULL").isEmpty():
         state = joined(state, "far", "end").select(*key, "id", F.col("next2").alias("next"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.coalesce("end", "end2").alias("end"))
-    ranked_ = state.select(*key, "id", "far", "end")
-    lines = ranked_.groupBy(*key, "end").agg(F.max("far").alias("length"), F.max_by("id", "far").alias("first"))
-    lines = lines.withColumn("line", F.row_number().over(W.partitionBy(*key).orderBy("first")) - 1)
-    closed = rings.select(*key, "id", F.lit(True).alias("closed"))
-    at = ranked_.join(wide(lines), [*key, "end"]).join(wide(closed), [*key, "id"], "left").join(wide(rows.withColumnRenamed("a", "id")), [*key, "id"])
-    seq = F.col("length") - F.col("far")
-    point = F.struct(seq.alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    # the last segment also gives the end of the line
-    tail = F.when(F.col("far") == 0, F.struct((seq + 1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")))
-    points = at.withColumn("p", F.explode(F.array_compact(F.array(point, tail))))
-    return points.select(*key, "line", "p.seq", "p.x", "p.y", F.coalesce("closed", F.lit(False)).alias("closed"))
+    ends = state.groupBy(*key, "end").agg(F.max("far").alias("length"), F.max_by("id", "far").alias("head"))
+    ring = F.col("ring")
+    placed = state.select(*key, "id", "far", "end").join(wide(ends), [*key, "end"]).join(wide(begin.select(*key, "id", "ring")), [*key, "id"])
+    return placed.select(*key, "id", (F.col("length") - F.col("far")).alias("start"), "length", F.coalesce(ring["low"], "head").alias("first"), F.coalesce(ring["at"], F.lit(0)).alias("turn"), ring.isNotNull().alias("closed"))
+
+
+def contour_paths(segments: DataFrame) -> DataFrame:
+    """(surface_id, level, line, seq, x, y, closed): contour_segments() linked to lines. Every grid edge that a line crosses ends one segment and begins the next, so the segments are linked
+    lists and rings. They are linked within tiles first (chains()); only where a chain ends in another tile are chains linked with each other. `line` numbers the lines of a level by their first
+    segment in the order of grid edges; rings begin at their smallest edge and return to it. Points that follow each other in one place (a corner on a level) are kept."""
+    key = ["surface_id", "level"]
+    wide = lambda df: df.hint("merge")
+    rows = written(chains(segments), "chains")
+    if rows.where("out").isEmpty():
+        at = rows.withColumn("line", F.row_number().over(W.partitionBy(*key).orderBy("first")) - 1).select(*key, "line", "closed", F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), "x", "y")
+    else:
+        whole = rows.where("closed").select(*key, F.col("first").alias("id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("length"), "first", F.lit(0).cast("long").alias("turn"), "closed")
+        placed = written(_lines_of_chains(rows).unionByName(whole), "placed")
+        lines = placed.select(*key, "first").distinct().withColumn("line", F.row_number().over(W.partitionBy(*key).orderBy("first")) - 1)
+        at = rows.select(*key, F.col("first").alias("id"), "n", "x", "y").join(wide(placed), [*key, "id"]).join(wide(lines), [*key, "first"])
+        # the chain in which a ring begins and ends is two pieces of it
+        turn = F.col("turn").cast("int")
+        piece = lambda start, lo, n: F.struct(start.alias("start"), *[F.slice(c, lo, n).alias(c) for c in "xy"])
+        two = F.array(piece(F.lit(0).cast("long"), turn + 1, F.size("x")), piece(F.col("length") - F.col("turn"), F.lit(1), turn + 1))
+        one = F.array(F.struct((F.col("start") - F.col("turn")).alias("start"), "x", "y"))
+        at = at.withColumn("p", F.explode(F.when((F.col("turn") > 0) & (F.col("start") == 0), two).otherwise(one))).select(*key, "line", "closed", "length", "p.start", "p.x", "p.y")
+    points = at.select(*key, "line", "closed", "start", "length", (F.size("x") - 1).alias("n"), F.posexplode(F.arrays_zip("x", "y")).alias("pos", "p"))
+    # the last point of a piece is the first of the next one, but for the end of the line
+    points = points.withColumn("seq", F.col("start") + F.col("pos")).where("pos < n OR seq = length")
+    return points.select(*key, "line", "seq", "p.x", "p.y", "closed")
 
 
 def section_order(wells: DataFrame) -> DataFrame:

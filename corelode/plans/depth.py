@@ -328,21 +328,23 @@ FROM g GROUP BY surface_id, three, centre"""
 
 
 def _cone(spark, sf_dir):
-    """A cone on a grid of 24 by 24 cells of 10 m for each well with so many samples."""
+    """(cells, surfaces): a cone on a grid of 24 by 24 cells of 10 m for each well with so many samples."""
     i, j = (F.col("idx") % 24).cast("int"), F.floor(F.col("idx") / 24).cast("int")
     x, y = 10.0 * i, 10.0 * j
+    # counted in the table itself, so that the samples are numbered only once
+    whole = B.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("surface_id")).count().where("count >= 576").select("surface_id")
     s = B.log_samples(spark, sf_dir).where("idx < 576")
-    whole = s.groupBy("well_id").count().where("count = 576").select("well_id")
-    return s.join(whole, "well_id").select(F.col("well_id").alias("surface_id"), i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y"), F.sqrt((x - 117.0) * (x - 117.0) + (y - 113.0) * (y - 113.0)).alias("z"))
+    return s.select(F.col("well_id").alias("surface_id"), i.alias("i"), j.alias("j"), x.alias("x"), y.alias("y"), F.sqrt((x - 117.0) * (x - 117.0) + (y - 113.0) * (y - 113.0)).alias("z")), whole
 
 
 def cone_contours(spark, sf_dir):
     """Rings about the top of a cone, and arcs where the grid ends: lines, points, and how far those are from the ring's radius at most."""
-    cells = _cone(spark, sf_dir)
-    steps = cells.select("surface_id").distinct().withColumn("step", F.lit(20.0))
-    points = M.contour_paths(M.contour_segments(cells, steps))
+    cells, whole = _cone(spark, sf_dir)
+    # only wells with all samples have a step; those without are left out there
+    points = M.contour_paths(M.contour_segments(cells, whole.withColumn("step", F.lit(20.0)).hint("merge")))
     radius = F.sqrt((F.col("x") - 117.0) * (F.col("x") - 117.0) + (F.col("y") - 113.0) * (F.col("y") - 113.0))
-    by = points.groupBy("surface_id", "level").agg(F.countDistinct("line").alias("lines"), F.countDistinct(F.when(F.col("closed"), F.col("line"))).alias("rings"), F.count(F.when(~F.col("closed") | (F.col("seq") > 0), 1)).alias("crossings"), F.max(F.abs(radius - F.col("level"))).alias("off"))
+    lines = points.groupBy("surface_id", "level", "line").agg(F.max("closed").alias("closed"), F.count(F.when(~F.col("closed") | (F.col("seq") > 0), 1)).alias("crossings"), F.max(F.abs(radius - F.col("level"))).alias("off"))
+    by = lines.groupBy("surface_id", "level").agg(F.count("*").alias("lines"), F.count(F.when(F.col("closed"), 1)).alias("rings"), F.sum("crossings").alias("crossings"), F.max("off").alias("off"))
     return by.select("surface_id", "level", "lines", "rings", "crossings", (F.col("off") < 1.3).alias("round"))
 
 

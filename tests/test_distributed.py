@@ -161,6 +161,46 @@ def test_open_lines_and_holes(spark):
     assert lines_of(spark, grid(spark, lambda i, j: 1.0), 5.0) == {}
 
 
+def walked(segments):
+    """contour_paths() of collected segments, by walking them one by one."""
+    levels = {}
+    for r in segments:
+        levels.setdefault(r.level, {})[tuple(r.a)] = r
+    out = {}
+    for level, at in levels.items():
+        reached, firsts = {tuple(r.b) for r in at.values()}, []
+        left = dict(at)
+        for closed, begins in ((False, [a for a in at if a not in reached]), (True, sorted(at))):
+            for a in begins:
+                points, edge = [], a
+                while edge in left:
+                    r = left.pop(edge)
+                    points.append((r.x1, r.y1))
+                    edge = tuple(r.b)
+                if points:
+                    firsts.append((a, closed, [*points, (r.x2, r.y2)]))
+        for line, (_, closed, points) in enumerate(sorted(firsts)):
+            out[(level, line)] = [(k, x, y, closed) for k, (x, y) in enumerate(points)]
+    return out
+
+
+@pytest.mark.parametrize("tile", [256, 5, 2])
+def test_lines_do_not_depend_on_tiles(spark, monkeypatch, tile):
+    """Rings and open lines, also about a hole, that lie in one tile or pass through many, in batches of a few rows; where none leaves its tile, there is nothing to link between tables."""
+    tables = []
+    monkeypatch.setattr(surface, "TILE", tile)
+    monkeypatch.setattr(surface, "written", lambda df, what: tables.append(what) or written(df, what))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        cells = grid(spark, lambda i, j: None if (i, j) == (7, 12) else 3 * math.sin(i / 2.3) + 2 * math.cos(j / 1.9) + 0.01 * i * j)
+        want = walked(surface.contour_segments(cells, spark.createDataFrame([(1, 1.0)], "surface_id long, step double")).collect())
+        assert sum(p[0][3] for p in want.values()) > 3 and sum(not p[0][3] for p in want.values()) > 3
+        assert lines_of(spark, cells, 1.0) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tables == ["chains"] or tile < 20
+
+
 # --- logs in ranges
 
 

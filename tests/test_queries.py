@@ -83,3 +83,12 @@ def test_zone_means_are_sums_in_the_order_of_depth(spark, tmp_path):
 def test_what_is_read_several_times_is_made_once(spark, name):
     """Nothing of the result is derived from the samples again: it reads tables that were written."""
     assert "l_suppkey" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cones_number_their_samples_once(spark, monkeypatch):
+    from corelode.operators import surface
+
+    plans_ = []
+    monkeypatch.setattr(surface, "written", lambda df, what: plans_.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    plans.QUERIES["cone_contours"](spark, SF)
+    assert [p.count("row_number() windowspecdefinition(l_suppkey") for p in plans_] == [1]
