@@ -24,14 +24,14 @@ def _files(spark, sf_dir):
 
 
 def _parsed(files):
-    """(lines, headers) of texts, written: each is read several times by what follows, and made but once."""
-    rows = store.written(las.lines(files), "lines")
-    return rows, store.written(las.headers(rows), "headers")
+    """(lines, headers) of texts, which are written: they are read several times by what follows, and made but once. Texts are dealt by file before they fall into lines."""
+    texts = store.written(files.select("file", "value"), "texts")
+    return las.lines(texts.repartition("file")), store.written(las.headers(las.lines(texts)), "headers")
 
 
 def _records(data):
-    """Records, written: samples() counts them and then reads them again."""
-    return store.written(las.records(data), "records")
+    """Records, written: samples() counts them and then reads them again. The numbers of lines are written, too: wrapped lines are put together from them, others taken as they are."""
+    return store.written(las.records(store.written(data, "data")), "records")
 
 
 def las_round_trip(spark, sf_dir):
@@ -72,39 +72,42 @@ SQL["las_problems"] = " UNION ALL ".join(f"SELECT 'warn' AS level, '{c}' AS cate
 
 
 def _dialect_folder(spark, sf_dir):
-    """Logs as text files in the shared folder: every third well unwrapped, wrapped with swapped labels, and as LAS 3 with commas."""
+    """Logs one after another in text files of the shared folder, as many as there are tasks (a file for each would take longer to make than to read): every third well unwrapped,
+    wrapped with swapped labels, and as LAS 3 with commas."""
     number = lambda c: F.coalesce(F.round(c, 6).cast("string"), F.lit(export.NULL_TEXT))
     s = B.log_samples(spark, sf_dir).select("well_id", F.col("well_id") % 3, *[number(c).alias(c) for c in ("md", "gr", "rhob", "rt")], F.col("md").alias("depth")).toDF("well_id", "kind", "md", "gr", "rhob", "rt", "depth")
     wrapped = F.concat_ws("\n", "md", F.concat_ws(" ", "gr", "rhob"), "rt")
     row = F.when(F.col("kind") == 0, F.concat_ws(" ", "md", "gr", "rhob", "rt")).when(F.col("kind") == 1, wrapped).otherwise(F.concat_ws(",", "md", "gr", "rhob", "rt"))
     body = s.groupBy("well_id", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
     version = F.when(F.col("kind") == 0, "~Version\nVERS. 2.0 :\nWRAP. NO :\n").when(F.col("kind") == 1, "~Version\nVERS. 1.2 :\nWRAP. YES :\n").otherwise("~Version\nVERS. 3.0 :\nDLM. COMMA :\n")
-    well = F.when(F.col("kind") == 1, F.concat(F.lit("WELL. WELL : "), F.col("name"))).otherwise(F.concat(F.lit("WELL. "), F.col("name"), F.lit(" : WELL")))
+    label = lambda m, label, v: F.when(F.col("kind") == 1, F.concat(F.lit(f"{m}. {label} : "), F.col(v))).otherwise(F.concat(F.lit(f"{m}. "), F.col(v), F.lit(f" : {label}")))
+    well = F.concat_ws("\n", label("WELL", "WELL", "name"), label("UWI", "UNIQUE WELL ID", "well_id"))
     curves = F.concat(F.when(F.col("kind") == 2, "\n~Log_Definition\n").otherwise("\n~Curves\n"), F.lit("DEPT.FT :\nGR.GAPI :\nRHOB.G/CC :\nRT.OHMM :\n"), F.when(F.col("kind") == 2, "~Log_Data | Log_Definition\n").otherwise("~A\n"))
     text = F.concat(version, F.lit(f"~Well\nNULL. {export.NULL_TEXT} : NULL\n"), well, curves, F.col("body"))
     path = store.new_path(spark, "logs")
-    export.write_las(body.join(B.wells(spark, sf_dir).select("well_id", "name"), "well_id").select("well_id", text.alias("value")), path)
+    export.write_logs(body.join(B.wells(spark, sf_dir).select("well_id", "name"), "well_id").select(text.alias("value")), path)
     return path
 
 
 def _ranged(spark, sf_dir):
     """(lines, their ranges) of those files, read in ranges of bytes."""
-    # read once from many small files, and from the table as often as needed
-    raw = store.written(las.read_ranges(spark, _dialect_folder(spark, sf_dir)), "raw")
+    # numbered once, and read from the table as often as needed
+    raw = store.written(las.read_ranges(spark, _dialect_folder(spark, sf_dir), logs=True), "raw")
     known = store.written(las.ranges(raw), "ranges")
     return store.written(las.range_lines(raw, known), "lines"), known
 
 
-def _well():
-    return F.regexp_extract("file", "well_id=([0-9]+)", 1).cast("long").alias("well_id")
+def _well_ids(head):
+    """(file, well_id) as the logs tell."""
+    return head.where("section = 'W' AND mnemonic = 'UWI'").select("file", F.col("value").cast("long").alias("well_id"))
 
 
 def las_ranges(spark, sf_dir):
     rows, known = _ranged(spark, sf_dir)
     head = store.written(las.headers(rows), "headers")
     recs = _records(las.data_rows(rows, las.file_facts(head), known))
-    long = las.samples(recs, las.curves(head))
-    return B.rounded(long.select(_well(), "mnemonic", F.col("idx").cast("long").alias("idx"), "md", "value"), digits=5)
+    long = las.samples(recs, las.curves(head).join(_well_ids(head), "file"))
+    return B.rounded(long.select("well_id", "mnemonic", "idx", "md", "value"), digits=5)
 
 
 SQL["las_ranges"] = B.CTE + " UNION ALL ".join(f"SELECT well_id, '{c.upper()}' AS mnemonic, idx, md, round({c}, 5) + 0.0 AS value FROM log_samples" for c, _ in CURVES)
@@ -114,8 +117,8 @@ def las_dialects(spark, sf_dir):
     """The name of each well, also where label and value are swapped, and what kind of file it is."""
     rows, _ = _ranged(spark, sf_dir)
     head = store.written(las.headers(rows), "headers")
-    w = las.wells(head, las.curves(head)).join(las.file_facts(head), "file")
-    return w.select(_well(), "name", "wrap", "las3", "delimiter", F.col("n_curves").cast("long").alias("n_curves"))
+    w = las.wells(head, las.curves(head)).join(las.file_facts(head), "file").join(_well_ids(head), "file")
+    return w.select("well_id", "name", "wrap", "las3", "delimiter", F.col("n_curves").cast("long").alias("n_curves"))
 
 
 SQL["las_dialects"] = "SELECT s_suppkey AS well_id, s_name AS name, s_suppkey % 3 = 1 AS wrap, s_suppkey % 3 = 2 AS las3, CASE WHEN s_suppkey % 3 = 2 THEN 'COMMA' ELSE 'SPACE' END AS delimiter, 4 AS n_curves FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)"

@@ -83,6 +83,11 @@ def write_las(texts: DataFrame, path: str) -> None:
     texts.select("well_id", "value").write.partitionBy("well_id").text(path)
 
 
+def write_logs(texts: DataFrame, path: str) -> None:
+    """Texts one after another, a file for each task; las.read_ranges(logs=True) takes them apart again."""
+    texts.select("value").write.text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").csv(path)
 

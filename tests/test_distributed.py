@@ -260,6 +260,49 @@ def test_ranges_give_what_whole_files_give(spark, folder, monkeypatch):
         spark.conf.set("spark.sql.files.openCostInBytes", opened)
 
 
+def test_logs_one_after_another_give_what_each_gives(spark, tmp_path):
+    """Logs longer and shorter than a range, after lines of no log."""
+    texts = [long_log(300), long_log(3), long_log(200, True), long_log(4, True), long_log(5), long_log(250, reverse=True), LAS3, "﻿" + long_log(6)]
+    (tmp_path / "a.txt").write_text("\n".join(texts[:4]) + "\n")
+    (tmp_path / "b.txt").write_text("# logs of a year\n\n" + "\n".join(t.removeprefix("\ufeff") for t in texts[4:]))
+    whole = las.lines(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "file string, value string"))
+    before, opened = (spark.conf.get(f"spark.sql.files.{c}") for c in ("maxPartitionBytes", "openCostInBytes"))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        raw = las.read_ranges(spark, str(tmp_path), "*.txt", logs=True)
+        known = las.ranges(raw).cache()
+        rows = las.range_lines(raw, known).cache()
+        assert known.agg(F.max("parts")).first()[0] > 3 and known.groupBy("text_file", "range").count().agg(F.max("count")).first()[0] > 2
+        a, b = parsed(rows.where("text != '# logs of a year'"), known), parsed(whole)
+        assert a[0].select("file").distinct().count() == len(texts)
+        same = lambda x, y, *columns: sorted(map(str, x.select(*columns).collect())) == sorted(map(str, y.select(*columns).collect()))
+        assert same(rows.where("text != '# logs of a year'"), whole, "line", "text", "section")
+        assert same(a[1], b[1], "line", "tokens", "bad", "comma") and same(a[2], b[2], "row_no", "md", "values")
+        assert same(las.samples(a[2], las.curves(a[0])), las.samples(b[2], las.curves(b[0])), "col_no", "mnemonic", "idx", "md", "value")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+
+
+def test_logs_of_many_wells_are_few_files(spark):
+    """A file for each well takes longer to make than its well to read."""
+    from corelode.plans import base, sources
+
+    sf = "/root/testdata/sf0.001"
+    at = sources._dialect_folder(spark, sf)
+    assert len(spark.read.text(at).inputFiles()) <= base.log_samples(spark, sf).rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("line", ["1,2,3", " 1.5 , -2e-3,.25 ", "1,,3", "1,1.2.3,4", "1,1e999,3", "1,2-3,4", '"1",2,3', "a,1,2", "1,NA,x", "1,1234567890123456789012345,2"])
+def test_listed_numbers_are_read_like_any_others(spark, monkeypatch, line):
+    rows = las.lines(spark.createDataFrame([("f", LAS3[: LAS3.index("1.0,")] + line + "\n")], "file string, value string"))
+    facts = las.file_facts(las.headers(rows))
+    got = las.data_rows(rows, facts).select("tokens", "bad").collect()
+    monkeypatch.setattr(las, "LISTED", "^(?!)")
+    assert got == las.data_rows(rows, facts).select("tokens", "bad").collect() and len(got) == 1
+
+
 def test_order_of_a_log_recorded_upwards(spark, folder, monkeypatch):
     monkeypatch.setattr(las, "STRETCH", 64)
     head, _, recs = parsed(las.lines(las.read_files(spark, folder, "up.las")))
