@@ -23,12 +23,16 @@ def _files(spark, sf_dir):
     return export.las_texts(lines).select(F.col("well_id").cast("string").alias("file"), "value")
 
 
-def _parsed(files):
-    """(lines, headers) of texts, which are written: they are read several times by what follows, and made but once. Texts are dealt by file before they fall into lines."""
-    texts = store.written(files.select("file", "value"), "texts")
+def _dealt(texts):
+    """(lines, headers) of texts that are a table; headers are written, and texts are dealt by file before they fall into lines."""
     return las.lines(texts.repartition("file")), store.written(las.headers(las.lines(texts)), "headers")
 
 
+def _parsed(files):
+    """(lines, headers) of texts, which are written: they are read several times by what follows, and made but once."""
+    return _dealt(store.written(files.select("file", "value"), "texts"))
+
+
 def _records(data):
     """Records, written: samples() counts them and then reads them again. The numbers of lines are written, too: wrapped lines are put together from them, others taken as they are."""
     return store.written(las.records(store.written(data, "data")), "records")
@@ -141,7 +145,7 @@ def reopened_files(spark, sf_dir):
         return head.where("section = 'W' AND mnemonic = 'WELL'").select("file", F.col("value").alias("well_id"))
 
     def build(files):
-        rows, head = _parsed(files.select("file", "value"))
+        rows, head = _dealt(files.select("file", "value"))
         long = las.samples(_records(las.data_rows(rows, las.file_facts(head))), las.curves(head))
         by = long.groupBy("file").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
         return files.select("file", "well_id").join(by, "file").groupBy(F.col("well_id").cast("long").alias("well_id")).agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))

@@ -338,6 +338,28 @@ def test_batches_replace_move_and_repeat(spark, tmp_path):
     assert now() == {"w1": (3, 1), "w2": (25, 2), "w4": (8, 1)}
 
 
+def test_batches_make_only_their_wells(spark, tmp_path):
+    """All wells share one bucket; a batch hands the files of its own wells on, whichever batch they came in, and the others stay as they are."""
+    from corelode.streaming import replace
+
+    seen = []
+
+    def build(files):
+        seen.append(sorted((r.well_id, r.value) for r in files.collect()))
+        return files.groupBy("well_id").agg(F.sum(F.substring_index("value", ":", -1).cast("int")).alias("total"))
+
+    batch = lambda day, *rows: spark.createDataFrame([(f"/in/{day}/{f}", day, v) for f, v in rows], "path string, modified string, value string").withColumn("modified", F.col("modified").cast("timestamp"))
+    wells_of = lambda files: files.select("file", F.substring_index("value", ":", 1).alias("well_id"))
+    handle = replace.replaced(replace.Files(spark, f"{tmp_path}/kept", buckets=1), f"{tmp_path}/wells", wells_of, build)
+    now = lambda: {r.well_id: r.total for r in replace.table(spark, f"{tmp_path}/wells").collect()}
+    first, second = batch("2024-01-01", ("a", "w1:1"), ("b", "w2:2"), ("c", "w3:3"), ("d", "w1:4")), batch("2024-02-01", ("a", "w1:10"), ("b", "w4:20"))
+    for n, files in ((0, first), (1, second), (1, second), (0, first)):
+        handle(files, n)
+    again = [("w1", "w1:10"), ("w1", "w1:4"), ("w4", "w4:20")]
+    assert seen[1:3] == [again, again] and len(seen[0]) == len(seen[3]) == 4
+    assert now() == {"w1": 14, "w3": 3, "w4": 20}
+
+
 def test_sensor_offsets_name_their_curves(spark):
     head = "~V\nVERS. 2.0 :\n~W\nNULL. -999.25 :\n~P\nGROF.FT 45 : GR OFFSET TO BIT\nRESO.FT 90 : BIT TO SENSOR RESISTIVITY\nDENS.FT 250 : DENSITY OFFSET\nBHT.DEGF 180 : TEMPERATURE\nDREF. BIT : DEPTH REFERENCE\n~C\nDEPT.{u} : depth\nGR.GAPI :\nRPD.OHMM :\nRPS.OHMM :\n~A\n1 2 3 4\n"
     files = spark.createDataFrame([("feet", head.format(u="FT")), ("metres", head.format(u="M")), ("sensor", head.format(u="FT").replace("DREF. BIT", "DREF. SENSOR, NOT BIT"))], "file string, value string")
