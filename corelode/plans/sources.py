@@ -98,7 +98,7 @@ def _ranged(spark, sf_dir):
     # numbered once, and read from the table as often as needed
     raw = store.written(las.read_ranges(spark, _dialect_folder(spark, sf_dir), logs=True), "raw")
     known = store.written(las.ranges(raw), "ranges")
-    return store.written(las.range_lines(raw, known), "lines"), known
+    return las.range_lines(raw, known), known
 
 
 def _well_ids(head):
@@ -111,7 +111,8 @@ def las_ranges(spark, sf_dir):
     head = store.written(las.headers(rows), "headers")
     recs = _records(las.data_rows(rows, las.file_facts(head), known))
     long = las.samples(recs, las.curves(head).join(_well_ids(head), "file"))
-    return B.rounded(long.select("well_id", "mnemonic", "idx", "md", "value"), digits=5)
+    # depths are written in full
+    return B.rounded(long.select("well_id", "mnemonic", "idx", "md", "value"), "md", digits=5)
 
 
 SQL["las_ranges"] = B.CTE + " UNION ALL ".join(f"SELECT well_id, '{c.upper()}' AS mnemonic, idx, md, round({c}, 5) + 0.0 AS value FROM log_samples" for c, _ in CURVES)
